@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from placespark.llm import decontaminate, knn, packing, pii, secrets, simhash, toxicity
+from placespark.llm import decontaminate, knn, ngram_lm, packing, pii, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return ngram_lm.lm_scores(documents, ~ngram_lm.is_held_out(documents["doc_id"]))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(table(spark, sf_dir, "documents"))
 
@@ -83,7 +88,7 @@ SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FRO
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_pack, op5_secrets, op7_simhash, op8_pii, op9_knn, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_pack, op4_ngram_lm, op5_secrets, op7_simhash, op8_pii, op9_knn, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,17 +27,19 @@ from pyspark.sql import functions as F
 from placespark.llm.tables import arrow_map
 from placespark.llm.text import LOWER, NON_SPACE, span_hashes, text_blocks, word_bounds
 
-DECAY = 0.6
+DECAY = 0.5
 WIDTH = 24
 MOST = 3000
 LANDMARKS = 64
-PREFIXES = (4, 5, 6)
+ROUNDS = 2
+PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 NONE = -2.0
 
 _CODES = np.arange(256)
-#: 64 character classes: a-z, 0-9, everything else in ASCII, bytes of other characters by their low bits.
-CLASSES = np.where((_CODES >= 97) & (_CODES <= 122), _CODES - 97, np.where((_CODES >= 48) & (_CODES <= 57), _CODES - 22, np.where(_CODES < 128, 36, 37 + _CODES % 27))).astype(np.int64)
+#: 64 character classes: a-z, 0-9, everything else in ASCII, bytes of other characters by their low bits, and START.
+CLASSES = np.where((_CODES >= 97) & (_CODES <= 122), _CODES - 97, np.where((_CODES >= 48) & (_CODES <= 57), _CODES - 22, np.where(_CODES < 128, 36, 37 + _CODES % 26))).astype(np.int64)
+START = 63
 _PUNCT = (_CODES < 128) & ~((_CODES >= 97) & (_CODES <= 122)) & ~((_CODES >= 48) & (_CODES <= 57))
 
 
@@ -47,6 +49,11 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return i, j, k, DECAY ** (k - i + 1.0)
 
 
+def _rows(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Character classes of tokens of one size, after START."""
+    return np.hstack([np.full((len(start), 1), START), CLASSES[data[start[:, None] + np.arange(size)]]])
+
+
 def _codes(chars: np.ndarray) -> np.ndarray:
     i, j, k, _ = _triples(chars.shape[1])
     return (chars[:, i] << 12) | (chars[:, j] << 6) | chars[:, k]
@@ -72,7 +79,7 @@ def responses(chars: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def spread(token: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The token's triples and their normalised weights."""
-    chars = CLASSES[np.frombuffer(token, np.uint8)][None, :]
+    chars = _rows(np.frombuffer(token, np.uint8), np.zeros(1, np.int64), len(token))
     return _codes(chars)[0], _triples(chars.shape[1])[3] / norms(chars)[0]
 
 
@@ -108,8 +115,20 @@ def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts[order], ends[order], docs[order]
 
 
+def decisions(data: np.ndarray, start: np.ndarray, size: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
+    """The machine's decision value of each span."""
+    value = np.empty(len(start))
+    for n in np.unique(size).tolist():
+        own = np.flatnonzero(size == n)
+        rows = max(1, 400_000 // len(_triples(n + 1)[0]))
+        for at in range(0, len(own), rows):
+            some = own[at : at + rows]
+            value[some] = responses(_rows(data, start[some], n), table) + bias
+    return value
+
+
 def highest_two(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
-    """The two highest decision values of each text's tokens; NONE where there is none."""
+    """The two highest decision values of each text's tokens, up to 1; NONE where there is none."""
     out = np.full((len(texts), 2), NONE)
     for lo, hi, data, offsets in text_blocks(texts):
         data = LOWER[data]
@@ -118,14 +137,8 @@ def highest_two(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
             continue
         hashes = span_hashes(data, start, end)
         _, place, back = np.unique(hashes, return_index=True, return_inverse=True)
-        value, size = np.empty(len(place)), (end - start)[place]
-        for n in np.unique(size).tolist():
-            own = np.flatnonzero(size == n)
-            rows = max(1, 400_000 // len(_triples(n)[0]))
-            for at in range(0, len(own), rows):
-                some = own[at : at + rows]
-                value[some] = responses(CLASSES[data[start[place[some]][:, None] + np.arange(n)]], table)
-        value = np.maximum(value[back] + bias, NONE)
+        value = decisions(data, start[place], (end - start)[place], table, bias)
+        value = np.clip(value[back], NONE, 1.0)
         order = np.lexsort([-value, doc])
         rows, first = np.unique(doc[order], return_index=True)
         out[lo + rows, 0] = value[order[first]]
@@ -147,12 +160,12 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: int) -> DataFra
 
 
 def _witnesses(rows: DataFrame) -> DataFrame:
-    """(token, n1, n0): different left neighbours of each token, or beginning of one, in toxic and in clean rows."""
+    """(token, whole, n1, n0): different left neighbours of each token, or beginning of one, in toxic and in clean rows."""
 
     def tokens(batches):
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            found: set[tuple[bytes, int, int]] = set()
+            found: set[tuple[bytes, int, int, bool]] = set()
             for lo, _, data, offsets in text_blocks(batch.column("text")):
                 data = LOWER[data]
                 start, end, doc = token_spans(data, offsets)
@@ -160,13 +173,26 @@ def _witnesses(rows: DataFrame) -> DataFrame:
                 for a, b, d, h in zip(start.tolist(), end.tolist(), doc.tolist(), before, strict=True):
                     token = data[a:b].tobytes()
                     kind = int(toxic[lo + d])
-                    found.update((t, int(h), kind) for t in {token, *(token[:n] for n in PREFIXES if n < len(token))})
+                    found.add((token, int(h), kind, True))
+                    found.update((token[:n], int(h), kind, False) for n in PREFIXES if n < len(token))
             if found:
-                t, h, k = zip(*sorted(found), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(h, pa.int64()), pa.array(k, pa.int32())], names=["token", "before", "toxic"])
+                t, h, k, w = zip(*sorted(found), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(h, pa.int64()), pa.array(k, pa.int32()), pa.array(w)], names=["token", "before", "toxic", "whole"])
+
+    pairs = rows.mapInArrow(tokens, "token binary, before bigint, toxic int, whole boolean").groupBy("token", "before", "toxic").agg(F.max("whole").alias("whole"))
+    return pairs.groupBy("token").agg(F.max("whole").alias("whole"), F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
 
-    pairs = rows.mapInArrow(tokens, "token binary, before bigint, toxic int").distinct()
-    return pairs.groupBy("token").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
+
+def _decided(tokens: DataFrame, table: np.ndarray, bias: float) -> DataFrame:
+    """(token, n0, value) of whole clean tokens."""
+    shared = tokens.sparkSession.sparkContext.broadcast(table)
+
+    def decide(t: pa.Array) -> list[pa.Array]:
+        data = np.frombuffer(b"".join(x.as_py() for x in t), np.uint8)
+        size = np.array([len(x.as_py()) for x in t], np.int64)
+        return [pa.array(decisions(data, np.cumsum(size) - size, size, shared.value, bias))]
+
+    return arrow_map(tokens.where("whole"), {"tokens": F.col("token")}, "value double", decide, keep=["token", "n0"])
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -200,14 +226,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _fit(pos: list[tuple[bytes, int]], neg: list[tuple[bytes, int]], landmarks: int) -> tuple[np.ndarray, float]:
-    """Table of triple weights and bias from witnesses and clean tokens (token, support)."""
+def _fit(pos: list[tuple[bytes, int]], neg: list[tuple[bytes, int]], hard: list[tuple[bytes, int]], landmarks: int) -> tuple[np.ndarray, float]:
+    """Table of triple weights and bias from witnesses, clean tokens and clean tokens that look like witnesses (token, support)."""
+    split = np.cumsum([0, len(pos), len(neg), len(hard)]).tolist()
+    neg = neg + hard
     tokens = [spread(t) for t, _ in pos + neg]
     used = np.unique(np.concatenate([c for c, _ in tokens]))
     tokens = [(np.searchsorted(used, c), w) for c, w in tokens]
-    z = np.zeros((2 * landmarks, len(used)), np.float32)
+    z = np.zeros((3 * landmarks, len(used)), np.float32)
     n = 0
-    for group in (range(len(pos)), range(len(pos), len(tokens))):
+    for group in map(range, split, split[1:]):
         first = n
         for i in group:
             codes, weights = tokens[i]
@@ -247,14 +275,18 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MOST, landmarks:
         pos = [(bytes(r[0]), r[1]) for r in strong.select("token", "n1").collect()]
         clean = found.where((F.col("n0") >= 1) & (share <= rate))
         neg = {bytes(r[0]): r[1] for part in (clean.orderBy(F.desc("n0"), "token").limit(1200), clean.orderBy(F.xxhash64("token"), "token").limit(2500)) for r in part.select("token", "n0").collect()}
-        found.unpersist()
         if not pos or not neg:
             return {"constant": constant}
-        table, bias = _fit(pos, list(neg.items()), landmarks)
+        table, bias = _fit(pos, list(neg.items()), [], landmarks)
+        for _ in range(ROUNDS):
+            nearest = _decided(clean, table, bias).orderBy(F.desc("value"), "token").limit(1500)
+            neg_hard = {bytes(r[0]): r[1] for r in nearest.collect()}
+            table, bias = _fit(pos, [x for x in neg.items() if x[0] not in neg_hard], list(neg_hard.items()), landmarks)
+        found.unpersist()
         model = {"table": table.astype(np.float32), "bias": bias}
         tops = arrow_map(rows, {"texts": F.col("text")}, "first double, second double", lambda t: [pa.array(x) for x in highest_two(t, model["table"], model["bias"]).T], keep=["toxic"])
-        found = np.array([tuple(r) for r in tops.collect()], float)
-        model["weights"] = _logistic(found[:, 1:], found[:, 0])
+        known = np.array([tuple(r) for r in tops.collect()], float)
+        model["weights"] = _logistic(known[:, 1:], known[:, 0])
         return model
     finally:
         rows.unpersist()
