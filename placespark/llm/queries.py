@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from placespark.llm import decontaminate, knn, ngram_lm, packing, pii, secrets, simhash, toxicity
+from placespark.llm import decontaminate, knn, ngram_lm, packing, pii, quality, secrets, simhash, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
@@ -31,6 +35,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return token_count.with_token_count(documents, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", simhash.hex_digits(found["fingerprint"]))
@@ -88,7 +97,7 @@ SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FRO
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_pack, op4_ngram_lm, op5_secrets, op7_simhash, op8_pii, op9_knn, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_pack, op4_ngram_lm, op5_secrets, op6_token_counts, op7_simhash, op8_pii, op9_knn, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -259,3 +259,17 @@ def component_ids(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def hex_digits(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
+
+
+def one_of_each_group(documents: DataFrame, *, shingle: int = 4, threshold: int = 4, parts: int = 3) -> DataFrame:
+    """documents with one row of each group of near-duplicates: that of least doc_id, one of equal rows of it.
+
+    Rows carry a number of their own, given when the fingerprints are written, so that repeated rows stay apart.
+    """
+    rows = documents.select(F.struct("*").alias("doc"), "text", "doc_id", F.monotonically_increasing_id().alias("number"))
+    rows = written(with_fingerprint(rows, shingle, keep=["doc", "doc_id", "number"]))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "number")).alias("least")
+    classes = rows.groupBy("fingerprint").agg(least)
+    nodes = connected_components(links_of(classes, threshold, parts))
+    grouped = classes.join(nodes, classes["fingerprint"] == nodes["node"], "left").groupBy(F.coalesce("component", "fingerprint").alias("group")).agg(F.min("least").alias("least"))
+    return rows.join(grouped.select(F.col("least.number").alias("number")), "number", "left_semi").select("doc.*")
