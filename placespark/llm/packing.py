@@ -29,19 +29,20 @@ from placespark.llm.text import ragged
 CAPACITY = 2048
 END_ID = 0
 ROWS_A_BUCKET = 500_000
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
-_ROWS = 64
+_PLAIN = re.compile(r"""([a-zß-öø-ÿ]+)([-.,:;!?"#$%&()*+/=>@^_`{}~\[\]\\]*)""")
+_ROWS = 512
 
 
 class WordIds:
     """Ids of texts by a tokenizer that drops white space, kept by the pieces of text between ASCII white space.
 
     Such a tokenizer never joins across white space, so a text's ids are those of its pieces. A-Z are lower-cased first,
-    as the tokenizer does, except in texts that may name a special token. Plain words are encoded many at a time and told
-    apart by the tokens that end a word.
+    as the tokenizer does, except in texts that may name a special token. Words of Latin letters, without the punctuation
+    after them, are encoded many at a time and told apart by the tokens that end a word. When more than `most` pieces are
+    kept, those of the last batch stay.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,52 +51,60 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, words: list[str]) -> None:
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone."""
+        out = []
+        for at in range(0, len(words), 1024):
+            some = words[at : at + 1024]
             ids = self._encode([" ".join(some)])[0]
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            parts = np.split(ids, cuts[:-1]) if len(cuts) == len(some) and cuts[-1] == len(ids) else self._encode(some)
-            self.kept.update((w.encode(), p.tobytes()) for w, p in zip(some, parts, strict=True))
+            cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, np.uint32)]) + 1)).tolist()
+            fits = len(cuts) == len(some) and cuts[-1] == len(ids)
+            out += [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)] if fits else self._encode(some)
+        return out
 
-    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
         """Keeps the missing pieces' ids; returns those of long ones, which aren't kept."""
-        split, other, long = {}, [], {}
+        split, other, long, kept = [], [], {}, self.kept
+        words: dict[str, bytes | None] = {}
         for piece in missing:
-            found = _PLAIN.fullmatch(piece.decode()) if len(piece) <= 64 else None
+            word = piece.decode()
+            found = _PLAIN.fullmatch(word if word.isascii() or max(word) > "ÿ" else word.lower()) if len(piece) <= 64 else None
             if found:
-                split[piece] = found.groups()
+                word, mark = found.groups()
+                split.append((piece, word, mark))
+                words[word] = kept.get(word.encode())
+                if mark and mark not in words:
+                    words[mark] = kept.get(mark.encode()) or self._encode([mark])[0]
             else:
                 other.append(piece)
-        self._plain([w for w in {w for w, _ in split.values()} if w.encode() not in self.kept])
-        marks = {m for _, m in split.values() if m and m.encode() not in self.kept}
-        other += [m.encode() for m in marks]
-        for at in range(0, len(other), 512):
-            some = other[at : at + 512]
+        new = [w for w, ids in words.items() if ids is None]
+        words.update(zip(new, self._words(new), strict=True))
+        for piece, word, mark in split:
+            kept[piece] = words[word] + words[mark] if mark else words[word]
+        for at in range(0, len(other), 1024):
+            some = other[at : at + 1024]
             for piece, ids in zip(some, self._encode([x.decode() for x in some]), strict=True):
-                (self.kept if len(piece) <= 64 else long)[piece] = ids.tobytes()
-        self.kept.update((piece, self.kept[w.encode()] + (self.kept[m.encode()] if m else b"")) for piece, (w, m) in split.items())
+                (kept if len(piece) <= 64 else long)[piece] = ids
         return long
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.kept) > self.most:
-            self.kept.clear()
-        pieces = []
+        pieces, seen, kept = [], set(), self.kept
         for text in texts:
             raw = (text or "").encode()
             pieces.append((raw if b"<|" in raw else raw.lower()).split())
-        missing = set()
-        for x in pieces:
-            missing.update(x)
-        missing -= self.kept.keys()
-        long = self._learn(missing) if missing else {}
+            seen.update(pieces[-1])
+        long = self._learn([x for x in seen if x not in kept])
         if long:
-            return [b"".join([self.kept[w] if w in self.kept else long[w] for w in x]) for x in pieces]
-        return [b"".join(map(self.kept.__getitem__, x)) for x in pieces]
+            out = [b"".join([kept[w] if w in kept else long[w] for w in x]) for x in pieces]
+        else:
+            out = [b"".join(map(kept.__getitem__, x)) for x in pieces]
+        if len(kept) > self.most:
+            self.kept = {x: kept[x] for x in seen if x in kept}
+        return out
 
 
 @lru_cache(maxsize=2)
