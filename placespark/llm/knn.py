@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,7 +33,7 @@ EXACT = float(1 << 53)
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = np.asarray(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False), np.int64)
+    sizes = np.asarray(pc.list_value_length(lists).to_numpy(zero_copy_only=False), np.int64)
     values = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.int64)
     out = np.zeros((len(sizes), width), np.int64)
     out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
