@@ -7,7 +7,7 @@ bound, for each cell of queries, the distance of its k-th neighbours, and so by
 matter to it: only those are replicated to that cell, and in parts of at most rows_a_task rows, so that no cell, however
 many equal vectors it holds, is a single task. Each part gives its k best for each query; the k best of all parts stay.
 
-Components become floor(scale * x), and scores are sums of their products, exact as 64-bit integers. Vectors that are
+Components become floor(scale * x), and scores are sums of their products, exact as 64-bit integers (larger sums aren't supported). Vectors that are
 null or hold null, NaN or infinity, and rows without id, take no part; shorter vectors count as filled up with zeros, an
 empty one scores 0 with all. A query doesn't meet rows of its own id; of several query rows of one id the least vector
 asks. Ties go to the smaller id. Fewer than k candidates: all of them.

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placespark.llm.spans import digest, with_matches
+from placespark.llm.spans import count_of, digest, with_matches
 
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE = 4
@@ -48,7 +48,7 @@ def mod97(value: Column) -> Column:
     """Remainder of an account number: first four characters last, letters as 10 to 35, digit by digit."""
     plain = F.regexp_replace(value, "[^A-Z0-9]", "")
     turned = F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))
-    numbers = F.transform(F.split(turned, "(?!^)"), lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1)
+    numbers = F.transform(F.split(turned, ""), lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1)
     return F.aggregate(numbers, F.lit(0), lambda a, x: F.when(x > 9, a * 100 + x).otherwise(a * 10 + x) % 97)
 
 
@@ -82,5 +82,5 @@ def pii_report(documents: DataFrame) -> DataFrame:
     """Counts and digests of find_pii for each document."""
     df = find_pii(documents.select("doc_id", "text")).drop("text")
     base = F.filter("pii", lambda s: s["kind"] < BASE)
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(BASE)]
+    counts = [count_of(F.col("pii"), k).alias(f"n_{KINDS[k]}") for k in range(BASE)]
     return df.select("doc_id", *counts, F.sha2(digest(base, KINDS, False), 256).alias("base_sha256"), digest(F.col("pii"), KINDS, False).alias("spans"))

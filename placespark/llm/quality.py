@@ -82,6 +82,8 @@ def pattern_of(votes: np.ndarray) -> np.ndarray:
 def posteriors(counts: dict[int, int], rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """P(good) of every pattern of votes, and the labellers' accuracies among their votes."""
     n = len(LABELLERS)
+    if not counts:
+        return np.full(3**n, 0.5), np.full(n, 0.5)
     patterns = np.array(sorted(counts), np.int64)
     weights = np.array([counts[p] for p in patterns.tolist()], float)
     votes = patterns[:, None] // 3 ** np.arange(n) % 3

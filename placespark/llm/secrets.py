@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placespark.llm.spans import digest, masked, total, with_matches
+from placespark.llm.spans import count_of, digest, masked, total, with_matches
 from placespark.llm.tables import written
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -61,7 +61,7 @@ def _test_columns(value: Column) -> Column:
 
 def _statistics(s: Column) -> Column:
     n, size = s["n"], s["encoding"]["size"]
-    chars = F.split(s["plain"], "(?!^)")
+    chars = F.split(s["plain"], "")
     squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(s["plain"], c, F.lit(""))), F.lit(2.0)))
     numbers = F.transform(chars, lambda c: F.instr(s["encoding"]["alphabet"], c).cast("double") - 0.5 - size / 2)
     return F.struct(n.alias("n"), (size - 1).alias("df"), s["encoding"]["excess"].alias("excess"), (size / n * squares - n).alias("chi"), numbers.alias("x"))
@@ -138,7 +138,7 @@ def secrets_report(documents: DataFrame) -> DataFrame:
     """Counts and digests of find_secrets for each document."""
     found = find_secrets(documents.select("doc_id", "text"), keep=["doc_id"])
     base = F.filter("secrets", lambda s: s["kind"] < BASE)
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(BASE)]
+    counts = [count_of(F.col("secrets"), k).alias(f"n_{KINDS[k]}") for k in range(BASE)]
     return found.select("doc_id", *counts, F.sha2(digest(base, KINDS, True), 256).alias("base_sha256"), digest(F.col("secrets"), KINDS, True).alias("spans"))
 
 

@@ -40,11 +40,20 @@ def with_matches(df: DataFrame, text: str, kinds: list[tuple[str, Column | None]
     df = df.select("*", *[F.when(F.size(v) > 0, F.slice(F.split("own_text", p, -1), F.lit(1), F.size(v))).otherwise(nothing).alias(x) for v, x, (p, _) in zip(values, parts, kinds, strict=True)])
     widths = [F.zip_with(x, v, lambda a, b: (F.length(a) + F.length(b)).cast("bigint")) for v, x in zip(values, parts, strict=True)]
     df = df.select("*", *[F.when(F.size(v) > 0, running_total(w)).otherwise(F.array().cast("array<bigint>")).alias(e) for v, w, e in zip(values, widths, ends, strict=True)])
-    spans = [F.transform(F.arrays_zip(F.col(v).alias("v"), F.col(x).alias("x"), F.col(e).alias("e")), lambda z, k=k: F.struct(F.lit(k).alias("kind"), (z["e"] - F.length(z["v"])).alias("start"), z["e"].alias("end"), z["v"].alias("value"), F.right(z["x"], F.lit(BEFORE)).alias("before"))).cast(SPAN).alias(f) for k, (v, x, e, f) in enumerate(zip(values, parts, ends, found, strict=True))]
+    spans = [_spans(k, v, x, e).alias(f) for k, (v, x, e, f) in enumerate(zip(values, parts, ends, found, strict=True))]
     df = df.select("row", *spans)
     return df.select(*[F.col("row")[c].alias(c) for c in own], F.array(*found).alias(name))
 
 
+def _spans(kind: int, value: str, part: str, end: str) -> Column:
+    zipped = F.arrays_zip(F.col(value).alias("v"), F.col(part).alias("x"), F.col(end).alias("e"))
+    return F.transform(zipped, lambda z: F.struct(F.lit(kind).alias("kind"), (z["e"] - F.length(z["v"])).alias("start"), z["e"].alias("end"), z["v"].alias("value"), F.right(z["x"], F.lit(BEFORE)).alias("before"))).cast(SPAN)
+
+
+def count_of(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def digest(spans: Column, names: list[str], by_start: bool) -> Column:
     """kind:start:end of spans, comma-joined, by start and then kind, or by kind and then start."""
     keyed = F.transform(spans, lambda s: F.struct(*[s[x].alias(x) for x in (("start", "kind") if by_start else ("kind", "start"))], s["end"].alias("end")))
