@@ -49,7 +49,7 @@ def parsed_query(q: Column, cities: list[str] = CITIES) -> Column:
     part that is a city is a city). The others become country (2 or 3 capitals), city, suburb and state in turn.
     """
     raw = normal_text(q)
-    parts = F.filter(F.transform(F.split(raw, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda p: p != "")
     is_code = lambda p: p.rlike(r"^\d{4,6}$")
     rest = F.filter(parts, lambda p: ~is_code(p))
     known = F.array(*[F.lit(c) for c in sorted(cities, key=len, reverse=True)])

@@ -51,8 +51,8 @@ def cells_of_box(south: Column, west: Column, north: Column, east: Column, step:
 
 def _circle_box(lat: Column, lon: Column, metres: Column | float) -> tuple[Column, Column, Column, Column]:
     up = (metres if isinstance(metres, Column) else F.lit(float(metres))) / METRES_A_DEGREE * 1.0000001
-    worst = F.least(F.greatest(F.abs(lat - up), F.abs(lat + up)), F.lit(89.9))
-    wide = F.least(up / F.cos(F.radians(worst)), F.lit(180.0))
+    worst = F.greatest(F.abs(lat - up), F.abs(lat + up))
+    wide = F.when(worst >= 89.999, 180.0).otherwise(F.least(up / F.cos(F.radians(worst)), F.lit(180.0)))  # a circle over a pole has all longitudes
     return F.greatest(lat - up, F.lit(-90.0)), lon - wide, F.least(lat + up, F.lit(90.0)), lon + wide
 
 
