@@ -27,9 +27,10 @@ def prominent(places: DataFrame, n: int = PLACES) -> DataFrame:
     return places.orderBy(F.desc("offline_rank"), F.desc("popularity"), "osm_id").limit(n)
 
 
-def build_prefix_index(places: DataFrame, n: int = PLACES, k: int = TOP_K) -> DataFrame:
-    """(scope, prefix, osm_id, score, rank): the k best places of each prefix, in scope 'global' and in their geohash."""
-    best = prominent(places, n)
+def build_prefix_index(places: DataFrame, n: int | None = PLACES, k: int = TOP_K) -> DataFrame:
+    """(scope, prefix, osm_id, score, rank): the k best places of each prefix, in scope 'global' and in their geohash; of
+    the n most prominent places, or of all (None)."""
+    best = places if n is None else prominent(places, n)
     forms = F.array_distinct(F.filter(F.array(*[suggestion_form(F.col(c)) for c in ("name", "name_en", "name_fr") if c in places.columns]), lambda s: s != ""))
     rows = best.select("osm_id", index_score(F.col("offline_rank"), F.col("popularity")).alias("score"), geohash(F.col("lat"), F.col("lon")).alias("cell"), F.explode(prefixes(forms, SHORTEST, LONGEST)).alias("prefix"))
     rows = rows.select("osm_id", "score", "prefix", F.explode(F.array_distinct(F.filter(F.array(F.lit("global"), F.col("cell")), lambda c: c.isNotNull()))).alias("scope"))

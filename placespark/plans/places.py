@@ -208,14 +208,14 @@ w AS (SELECT osm_id, score, f AS w FROM t UNION SELECT osm_id, score, unnest(str
 SELECT prefix, osm_id, round(score, 5) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY prefix ORDER BY round(score, 9) DESC, osm_id) AS INTEGER) AS rank FROM x) WHERE rank <= 30""")
 def prefix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "names").withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")})
-    return prefix.build_prefix_index(names, 10**9).where("scope = 'global'").select("prefix", "osm_id", F.round("score", 5).alias("score"), "rank")
+    return prefix.build_prefix_index(names, None).where("scope = 'global'").select("prefix", "osm_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query()
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions for the first words of all part names, near each supplier's point."""
     names = table(spark, sf_dir, "names").withColumns({"lat": 29.7 + F.col("offline_rank") / 100, "lon": 31.0 + F.col("popularity") / 1000})
-    index = prefix.build_prefix_index(names, 10**9)
+    index = prefix.build_prefix_index(names, None)
     asked = table(spark, sf_dir, "names").select(F.substring("name", 1, 5).alias("q")).distinct().select(F.col("q").alias("query"), "q", F.lit(29.75).alias("bias_lat"), F.lit(31.05).alias("bias_lon"))
     return prefix.suggest(asked, index, names)
 
