@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine over a gap-weighted subsequence kernel with Nystroem landmarks.
 
-Instances are the tokens of a text's sentences (white space apart, outer punctuation off; three or more single letters
-in a row make one; tokens over WIDTH bytes are seen through overlapping windows). The kernel of two tokens sums, over
+Instances are the tokens of a text's sentences (white space apart, punctuation off; three or more single letters in a row
+make one; tokens over WIDTH bytes are seen through overlapping windows). The kernel of two tokens sums, over
 all subsequences of three characters, DECAY to the power of their spans in both, and is normalised: inserted characters
 and gaps lower it but don't break it. Sentences of toxic rows are positive bags: their witnesses are the tokens, and
 beginnings of tokens, whose different left neighbours stand in toxic rows beyond chance. Landmarks are the strongest
@@ -30,9 +30,9 @@ from placespark.llm.text import LOWER, NON_SPACE, span_hashes, text_blocks, word
 DECAY = 0.5
 WIDTH = 24
 MOST = 3000
-LANDMARKS = 64
-ROUNDS = 2
-PREFIXES = (4, 5, 6, 7, 8)
+LANDMARKS = 96
+ROUNDS = 6
+PREFIXES = (5, 6, 7, 8)
 THRESHOLD = 0.7
 NONE = -2.0
 
@@ -83,25 +83,23 @@ def spread(token: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _codes(chars)[0], _triples(chars.shape[1])[3] / norms(chars)[0]
 
 
-def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of the tokens of lower-cased data, in order of place; all have 3 to WIDTH bytes."""
+def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The letters and digits of lower-cased data, and start, end and text number of the tokens there, in order of place;
+    all have 3 to WIDTH bytes."""
     start, end, doc = word_bounds(data, offsets, NON_SPACE)
+    solid = ~_PUNCT[data]
+    letters, place = data[solid], np.concatenate([[0], np.cumsum(solid)])
     if not len(doc):
-        return start, end, doc
-    solid = np.concatenate([[0], np.cumsum(~_PUNCT[data])])
-    places = np.append(np.flatnonzero(~_PUNCT[data]), len(data))
-    inner = solid[end] > solid[start]
-    single = inner & (solid[end] - solid[start] == 1)
-    a = np.where(inner, places[np.minimum(solid[start], len(places) - 1)], start)
-    b = np.where(inner, places[np.maximum(solid[end] - 1, 0)] + 1, start)
+        return letters, start, end, doc
+    a, b = place[start], place[end]
+    single = b - a == 1
     # runs of single letters
     edge = np.ones(len(doc) + 1, bool)
     edge[1:-1] = ~(single[1:] & single[:-1] & (doc[1:] == doc[:-1]))
     cuts = np.flatnonzero(edge)
     runs = np.flatnonzero((np.diff(cuts) >= 3) & single[cuts[:-1]])
-    starts, ends, docs = [a, a[cuts[runs]]], [b, b[cuts[runs + 1] - 1]], [doc, doc[cuts[runs]]]
-    size = np.concatenate(ends) - np.concatenate(starts)
-    starts, ends, docs = np.concatenate(starts), np.concatenate(ends), np.concatenate(docs)
+    starts, ends, docs = np.concatenate([a, a[cuts[runs]]]), np.concatenate([b, b[cuts[runs + 1] - 1]]), np.concatenate([doc, doc[cuts[runs]]])
+    size = ends - starts
     long = np.flatnonzero(size > WIDTH)
     if len(long):
         half = WIDTH // 2
@@ -112,7 +110,7 @@ def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         size = ends - starts
     keep = np.flatnonzero((size >= 3) & (size <= WIDTH))
     order = keep[np.argsort(starts[keep], kind="stable")]
-    return starts[order], ends[order], docs[order]
+    return letters, starts[order], ends[order], docs[order]
 
 
 def decisions(data: np.ndarray, start: np.ndarray, size: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
@@ -132,7 +130,7 @@ def highest_two(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     out = np.full((len(texts), 2), NONE)
     for lo, hi, data, offsets in text_blocks(texts):
         data = LOWER[data]
-        start, end, doc = token_spans(data, offsets)
+        data, start, end, doc = token_spans(data, offsets)
         if not len(doc):
             continue
         hashes = span_hashes(data, start, end)
@@ -168,7 +166,7 @@ def _witnesses(rows: DataFrame) -> DataFrame:
             found: set[tuple[bytes, int, int, bool]] = set()
             for lo, _, data, offsets in text_blocks(batch.column("text")):
                 data = LOWER[data]
-                start, end, doc = token_spans(data, offsets)
+                data, start, end, doc = token_spans(data, offsets)
                 before = np.concatenate([[0], span_hashes(data, start, end).view(np.int64)[:-1]]) if len(doc) else []
                 for a, b, d, h in zip(start.tolist(), end.tolist(), doc.tolist(), before, strict=True):
                     token = data[a:b].tobytes()
@@ -244,16 +242,15 @@ def _fit(pos: list[tuple[bytes, int]], neg: list[tuple[bytes, int]], hard: list[
                 n += 1
     z = z[:n]
     kernel = np.array([z[:, c] @ w for c, w in tokens], float)
-    z = z.astype(float)
-    values, vectors = np.linalg.eigh(z @ z.T)
+    values, vectors = np.linalg.eigh((z @ z.T).astype(float))
     good = values > 1e-6
     root = vectors[:, good] / np.sqrt(values[good])
     y = np.array([1.0] * len(pos) + [-1.0] * len(neg))
-    support = np.log1p(np.array([n for _, n in pos + neg], float))
-    cost = np.where(y > 0, support / max(1e-9, support[y > 0].sum()), support / max(1e-9, support[y < 0].sum())) * 2000
+    support = np.sqrt(np.array([n for _, n in pos + neg], float))
+    cost = np.where(y > 0, support / support[y > 0].sum(), 2 * support / support[y < 0].sum()) * 20_000
     w, bias = _machine(kernel @ root, y, cost)
     table = np.zeros(1 << 18)
-    table[used] = z.T @ (root @ w)
+    table[used] = z.T @ (root @ w).astype(np.float32)
     return table, bias
 
 
@@ -278,9 +275,10 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MOST, landmarks:
         if not pos or not neg:
             return {"constant": constant}
         table, bias = _fit(pos, list(neg.items()), [], landmarks)
+        neg_hard: dict[bytes, int] = {}
         for _ in range(ROUNDS):
-            nearest = _decided(clean, table, bias).orderBy(F.desc("value"), "token").limit(1500)
-            neg_hard = {bytes(r[0]): r[1] for r in nearest.collect()}
+            nearest = _decided(clean, table, bias).orderBy(F.desc(F.col("value") + 0.1 * F.log("n0")), "token").limit(1000)
+            neg_hard = {bytes(r[0]): r[1] for r in nearest.select("token", "n0").collect()} | neg_hard
             table, bias = _fit(pos, [x for x in neg.items() if x[0] not in neg_hard], list(neg_hard.items()), landmarks)
         found.unpersist()
         model = {"table": table.astype(np.float32), "bias": bias}
