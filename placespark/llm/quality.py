@@ -4,8 +4,8 @@ labels train a hashed linear scorer.
 Every text gets a vote (bad, none, good) from each labeller. What the estimation needs of the corpus is how often each
 pattern of votes occurs: at most 3 ** 8 counts, over all documents. EM fits, for each class, each labeller's vote
 probabilities, beginning with the majority; it gives every pattern a posterior. The scorer sees hashed words, shapes of
-words and pairs of shapes, averaged over the text; it is fitted by gradient steps to the posteriors of a sample of `most`
-documents, those of least hash, and scores all.
+words and pairs of shapes, averaged over the text; it is fitted by gradient steps to the posteriors of a sample of about
+`most` texts, chosen by their hashes and one of each copy, and scores all.
 
 Null and empty texts have no words: most labellers don't vote, and the scorer gives its bias. With no documents there
 are no rows. Repeated rows score alike.
@@ -51,9 +51,9 @@ def votes_of(texts: pa.Array) -> np.ndarray:
         words = np.bincount(doc, minlength=n)
         symbols = _mean((solid & ~letters & ~_DIGIT[raw]).astype(float)[solid], of[solid], n)
         capitals = _mean(_UP[raw[letters]].astype(float), of[letters], n)
-        pairs, counts = np.unique(np.stack([doc.astype(np.uint64), hashes]), axis=1, return_counts=True)
+        _, place, counts = np.unique(mix(hashes ^ mix(doc.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
         top = np.zeros(n)
-        np.maximum.at(top, pairs[0].astype(np.int64), counts)
+        np.maximum.at(top, doc[place], counts)
         repeats = top / np.maximum(1, words)
         same = np.zeros(len(doc))
         same[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
@@ -61,9 +61,9 @@ def votes_of(texts: pa.Array) -> np.ndarray:
         inner = np.concatenate([[0], np.cumsum(letters | _DIGIT[raw])])
         bare = (inner[end] == inner[start]).astype(float)
         line_start, line_end, line_doc = word_bounds(raw, offsets, _C != 10)
-        line_pairs = np.unique(np.stack([line_doc.astype(np.uint64), span_hashes(raw, line_start, line_end)]), axis=1)
+        _, line_place = np.unique(mix(span_hashes(raw, line_start, line_end) ^ mix(line_doc.astype(np.uint64) + np.uint64(1))), return_index=True)
         lines = np.bincount(line_doc, minlength=n)
-        again = 1 - np.bincount(line_pairs[0].astype(np.int64), minlength=n) / np.maximum(1, lines)
+        again = 1 - np.bincount(line_doc[line_place], minlength=n) / np.maximum(1, lines)
         odd = _mean(((size < 2) | (size > 14)).astype(float), doc, n)
         values = [symbols, repeats, _mean(same, doc, n), capitals, odd, _mean(bare, doc, n), np.where(lines > 1, again, np.nan)]
         for k, value in enumerate(values):
@@ -148,33 +148,37 @@ def train(documents: DataFrame, text: str = "text", most: int = MOST, rounds: in
     """Posteriors of the patterns and the scorer's weights."""
     votes = documents.select(F.col(text).alias("text"), F.lit(1).alias("one"))
     patterns = arrow_map(votes, {"texts": F.col("text")}, "pattern int", lambda t: [pa.array(pattern_of(votes_of(t)).astype(np.int32))], keep=["one"])
-    table, _ = posteriors({r[0]: r[1] for r in patterns.groupBy("pattern").count().collect()})
-    sample = votes.select("text", F.xxhash64("text").alias("place")).orderBy("place").limit(most).select("text")
+    counts = {r[0]: r[1] for r in patterns.groupBy("pattern").count().collect()}
+    table, _ = posteriors(counts)
+    hashed = votes.select("text", F.xxhash64("text").alias("place"))
+    share = min(1.0, most / max(1, sum(counts.values())))
+    sample = hashed.where(F.pmod("place", F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def features(texts: pa.Array) -> list[pa.Array]:
-        places, counts = features_of(texts)
-        return [pa.array(pattern_of(votes_of(texts)).astype(np.int32)), ragged(places, counts, pa.int32())]
+        places, n = features_of(texts)
+        return [pa.array(pattern_of(votes_of(texts)).astype(np.int32)), ragged(places, n, pa.int32())]
 
-    rows = arrow_map(sample, {"texts": F.col("text")}, "pattern int, places array<int>", features, keep=[]).select("pattern", F.slice(F.shuffle("places", F.lit(7)), 1, 1500).alias("places")).toArrow()
+    rows = arrow_map(sample, {"texts": F.col("text")}, "pattern int, places array<int>", features, keep=["place"])
+    rows = rows.select("place", "pattern", F.slice(F.shuffle("places", F.lit(7)), 1, 1500).alias("places")).dropDuplicates(["place"]).toArrow()
     target = table[rows.column("pattern").to_numpy()] if rows.num_rows else np.zeros(0)
     places = [np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in rows.column("places")]
     return table, _fit(places, target, rounds) if places else np.zeros(DIMENSIONS + 1)
 
 
-def with_quality(documents: DataFrame, table: np.ndarray, weights: np.ndarray, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """documents (or its columns keep) with posterior (of the votes) and score (of the scorer), both from 0 to 1."""
-    shared = documents.sparkSession.sparkContext.broadcast((table, weights.astype(np.float32)))
+def with_quality(documents: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """documents (or its columns keep) with name: the scorer's score from 0 to 1."""
+    shared = documents.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def score(texts: pa.Array) -> list[pa.Array]:
-        posterior, w = shared.value
+        w = shared.value
         places, counts = features_of(texts)
         z = np.bincount(np.repeat(np.arange(len(counts)), counts), w[places], minlength=len(counts)) / np.maximum(1, counts) + w[-1]
-        return [pa.array(posterior[pattern_of(votes_of(texts))]), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))]
+        return [pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))]
 
-    return arrow_map(documents, {"texts": F.col(text)}, "posterior double, score double", score, keep)
+    return arrow_map(documents, {"texts": F.col(text)}, f"{name} double", score, keep)
 
 
 def quality_report(documents: DataFrame) -> DataFrame:
-    """(doc_id, posterior, score, keep) of every document."""
+    """(doc_id, score, keep) of every document."""
     rows = documents.select("doc_id", "text")
-    return with_quality(rows, *train(rows), keep=["doc_id"]).withColumn("keep", F.col("score") >= 0.5)
+    return with_quality(rows, train(rows)[1], keep=["doc_id"]).withColumn("keep", F.col("score") >= 0.5)
