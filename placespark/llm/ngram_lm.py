@@ -5,7 +5,7 @@ level, every chunk sends its distinct n-grams with their training counts to shar
 key of a chunk); a shard adds them up, packs its level of the trie into mapped bytes, looks up every chunk's n-grams and
 answers. Level 1 gives words their numbers and counts; level k keys are (number of the k-1-gram before, word). A key goes
 to the shard of its context; contexts counted more than hot times (so at most tokens / hot of them) are dealt by the
-whole n-gram instead. Contexts need a count of MIN_CONTEXT.
+whole n-gram instead. Contexts need a count of min_context; the query has three levels and takes all contexts.
 
 Probabilities: P1(w) = (c + 0.5) / (N + 0.5 (V + 1)), c, N and V from the training tokens, one end token a text included.
 Pk(w | context) = c(context, w) / (c(context) + m) + m / (c(context) + m) * Pk-1(w), m = MASS * c(context) ** POWER (the
@@ -175,7 +175,7 @@ def _words_answered(shards: int, hot: int):
     return answer
 
 
-def _grams_answered(level: int, shards: int, hot: int, hot_counts, last: bool):
+def _grams_answered(level: int, shards: int, hot: int, hot_counts, last: bool, min_context: int):
     """Level 2 and on: a shard's level of the trie, packed, mapped and asked."""
 
     def answer(table: pa.Table) -> pa.Table:
@@ -195,8 +195,8 @@ def _grams_answered(level: int, shards: int, hot: int, hot_counts, last: bool):
             at = np.maximum(place, 0)
             seen = place >= 0
             codes, backoffs = (np.where(seen, x[at], 0) if len(sums) else np.zeros(len(own)) for x in (trie.codes, trie.backoffs))
-            numbers = np.where(seen & (sums[at] >= MIN_CONTEXT), at * shards + shard, -1) if len(sums) else np.full(len(own), -1)
-            rows.append((chunk, shard, level, None if last else packed(numbers, np.int32), packed(codes, np.uint16), None if last else packed(backoffs, np.uint16), None, None, None))
+            numbers = np.where(seen & (sums[at] >= min_context), at * shards + shard, -1) if len(sums) else np.full(len(own), -1)
+            rows.append((chunk, shard, level, None if last else packed(numbers, np.int64), packed(codes, np.uint16), None if last else packed(backoffs, np.uint16), None, None, None))
         often = np.flatnonzero(sums > hot)
         rows.append((-1, shard, level, None, None, None, len(grams), (often * shards + shard).tolist(), sums[often].tolist()))
         return _answer(rows)
@@ -207,7 +207,7 @@ def _grams_answered(level: int, shards: int, hot: int, hot_counts, last: bool):
 class Chunk:
     """A chunk with the answers of some levels: for each token (BEGIN and END around each text) what is known of it."""
 
-    def __init__(self, row: dict, answers: list[dict], shards: int, hot: list[set], n_texts: int):
+    def __init__(self, row: dict, answers: list[dict], shards: int, hot: list[set], n_texts: int, min_context: int):
         self.number, self.ids, self.train = row["chunk"], row["doc_ids"], np.array(row["train"], bool)
         self.sizes = np.array(row["sizes"], np.int64)
         words = np.frombuffer(row["vocabulary"], np.uint64)
@@ -230,7 +230,7 @@ class Chunk:
         self.count[self.first] = self.count[self.last] = n_texts
         self.trained = np.repeat(self.train, self.sizes + 2)
         # what stands before each token, as a context: its number and backoff
-        self.node = np.where(self.count >= MIN_CONTEXT, self.word, -1)
+        self.node = np.where(self.count >= min_context, self.word, -1)
         self.node[self.last] = -1
         self.backoff = mass(self.count) / (self.count + mass(self.count))
         self.shards, self.hot, self.level, self.terms = shards, hot, 1, []
@@ -257,7 +257,7 @@ class Chunk:
             a = answers[int(s)]
             codes[own] = unpacked(a["codes"], np.uint16)
             if a["numbers"] is not None:
-                numbers[own], backoffs[own] = unpacked(a["numbers"], np.int32), unpacked(a["backoffs"], np.uint16)
+                numbers[own], backoffs[own] = unpacked(a["numbers"], np.int64), unpacked(a["backoffs"], np.uint16)
         share, rest = np.zeros(len(self.word)), np.ones(len(self.word))
         after = np.flatnonzero(self.node[:-1] >= 0) + 1  # unknown words too
         share[place], rest[after] = probability(codes)[which], self.backoff[after - 1]
@@ -289,7 +289,7 @@ def word_shard(words: np.ndarray, shards: int) -> np.ndarray:
     return (words % np.uint64(shards)).astype(np.int64)
 
 
-def lm_scores(documents: DataFrame, train: Column, *, order: int = ORDER, text: str = "text", doc_id: str = "doc_id", chunk_tokens: int = CHUNK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def lm_scores(documents: DataFrame, train: Column, *, order: int = ORDER, min_context: int = MIN_CONTEXT, text: str = "text", doc_id: str = "doc_id", chunk_tokens: int = CHUNK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document; train says which ones teach."""
     spark = documents.sparkSession
     chunks = written(chunked(documents, train, text, doc_id, chunk_tokens))
@@ -314,7 +314,7 @@ def lm_scores(documents: DataFrame, train: Column, *, order: int = ORDER, text:
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             rows = right.to_pylist()
-            return pa.Table.from_batches([work(Chunk(c, rows, shards, sets, n)) for c in left.to_pylist()])
+            return pa.Table.from_batches([work(Chunk(c, rows, shards, sets, n, min_context)) for c in left.to_pylist()])
 
         return chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, schema)
 
@@ -329,5 +329,5 @@ def lm_scores(documents: DataFrame, train: Column, *, order: int = ORDER, text:
         counts = hot_of(level - 1)
         hot_sets.append(set(counts))
         asked = with_answers(lambda c: c.asked(), ASKED)
-        answers = answers.unionByName(written(asked.groupBy("shard").applyInArrow(_grams_answered(level, shards, hot, spark.sparkContext.broadcast(counts), level == order), ANSWER)))
+        answers = answers.unionByName(written(asked.groupBy("shard").applyInArrow(_grams_answered(level, shards, hot, spark.sparkContext.broadcast(counts), level == order, min_context), ANSWER)))
     return with_answers(lambda c: c.scores(total, types), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

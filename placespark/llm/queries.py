@@ -28,7 +28,7 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return ngram_lm.lm_scores(documents, ~ngram_lm.is_held_out(documents["doc_id"]))
+    return ngram_lm.lm_scores(documents, ~ngram_lm.is_held_out(documents["doc_id"]), order=3, min_context=1)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

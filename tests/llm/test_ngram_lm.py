@@ -118,3 +118,15 @@ def test_edges(spark, edges, nothing):
     assert {(r.train_tokens, r.n_known) for r in untrained} == {(0, 0)}
     silent = edges.where("text is null or text = ''")
     assert all(r.n_tokens == 1 for r in ngram_lm.lm_scores(silent, silent["made"] == 1).collect())
+
+
+def test_query_has_three_levels_and_contexts_seen_once(spark, tmp_path):
+    from placespark.llm import queries
+
+    doc_id = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1)
+    spark.createDataFrame([(doc_id, "a b c")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    (r,) = queries.op4_ngram_lm(spark, str(tmp_path)).collect()
+    p1 = 1.5 / (4 + 0.5 * 5)
+    p2 = (1 + ngram_lm.MASS * p1) / (1 + ngram_lm.MASS)
+    p3 = (1 + ngram_lm.MASS * p2) / (1 + ngram_lm.MASS)
+    assert abs(r.base_score - 4 * math.log10(p1)) < 1e-9 and abs(r.score - math.log10(p2) - 3 * math.log10(p3)) < 5e-3
