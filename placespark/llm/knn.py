@@ -2,7 +2,7 @@
 
 The greatest inner products are the least distances once every data vector gets one more component, which gives all of
 them the same length, and queries get 0 there. Pivots from a bounded sample split the space; data and queries go to
-their nearest pivot's cell. Summaries of the cells (count, greatest distance and the k + 1 least distances to the pivot)
+their nearest pivot's cell. Summaries of the cells (count, greatest distance and the k + 1 nearest ids to the pivot)
 bound, for each cell of queries, the distance of its k-th neighbours, and so by the triangle inequality which data can
 matter to it: only those are replicated to that cell, and in parts of at most rows_a_task rows, so that no cell, however
 many equal vectors it holds, is a single task. Each part gives its k best for each query; the k best of all parts stay.
@@ -70,13 +70,16 @@ class Cells:
         cell = squares.argmin(axis=1)
         return cell, np.linalg.norm(points - self.pivots[cell], axis=1)
 
-    def bounds(self, queries: dict[int, float], data: dict[int, list[float]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, queries: dict[int, float], data: dict[int, list[tuple[float, int]]], k: int) -> tuple[np.ndarray, np.ndarray]:
         """For each query cell and data cell: the range of distances to the pivot of data that can be among the k nearest."""
         n = len(self.pivots)
         low, high = np.full((n, n), np.inf), np.full((n, n), -np.inf)
         for i, reach in queries.items():
-            upper = sorted(reach + self.between[i, j] + d for j, least in data.items() for d in least)
-            limit = upper[k] if len(upper) > k else np.inf  # one of the k + 1 can be the query's own row
+            upper: dict[int, float] = {}
+            for j, least in data.items():
+                for d, vec_id in least:
+                    upper[vec_id] = min(upper.get(vec_id, np.inf), reach + self.between[i, j] + d)
+            limit = sorted(upper.values())[k] if len(upper) > k else np.inf  # one of the k + 1 ids can be the query's own
             slack = 1e-6 * (1 + reach + self.between[i].max())
             low[i] = self.between[i] - reach - limit - slack
             high[i] = self.between[i] + reach + limit + slack
@@ -116,11 +119,12 @@ def top_k(data: DataFrame, is_query: Column, *, k: int = 5, vec_id: str = "vec_i
     shape = "vec_id bigint, x array<bigint>, cell int, distance double"
     stored = whole.select("vec_id", "x", F.lit(False).alias("as_query")).mapInArrow(assign, shape)
     asked = whole.where("asks").groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("as_query", F.lit(True)).mapInArrow(assign, shape)
-    stored, asked = written(stored), written(asked)
+    stored, asked = written(stored.withColumn("number", F.monotonically_increasing_id())), written(asked)
     # summaries: a few numbers for each of at most `pivots` cells
     place = F.row_number().over(Window.partitionBy("cell", "part").orderBy("distance"))
-    nearest = stored.select("cell", "distance", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part")).withColumn("place", place).where(F.col("place") <= k + 1)
-    least = {r[0]: sorted(r[1])[: k + 1] for r in nearest.groupBy("cell").agg(F.collect_list("distance")).collect()}
+    by_id = stored.groupBy("cell", "vec_id").agg(F.min("distance").alias("distance"))
+    nearest = by_id.select("cell", "vec_id", "distance", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part")).withColumn("place", place).where(F.col("place") <= k + 1)
+    least = {r[0]: sorted(r[1])[: k + 1] for r in nearest.groupBy("cell").agg(F.collect_list(F.struct("distance", "vec_id"))).collect()}
     count = {r[0]: r[1] for r in stored.groupBy("cell").count().collect()}
     queries = {r[0]: (r[1], r[2]) for r in asked.groupBy("cell").agg(F.max("distance"), F.count("*")).collect()}
     if not queries:
@@ -136,8 +140,8 @@ def top_k(data: DataFrame, is_query: Column, *, k: int = 5, vec_id: str = "vec_i
         for batch in batches:
             low, high, parts, blocks = plan.value
             cell, distance = batch.column("cell").to_numpy(), batch.column("distance").to_numpy()
-            ids = batch.column("vec_id").to_numpy().view(np.uint64)
-            spread = ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            number = batch.column("number").to_numpy().view(np.uint64)  # not the id: rows of one id stay apart
+            spread = number * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
             for i in parts:
                 rows = np.flatnonzero((distance >= low[i, cell]) & (distance <= high[i, cell]))
                 some = batch.select(["vec_id", "x"]).take(pa.array(rows))

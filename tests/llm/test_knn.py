@@ -43,3 +43,14 @@ def test_edges(spark):
     assert run(spark, few) == {(0, 1, 1, 32768), (0, 2, 2, -65536)}
     huge = [(0, [3e6, 1e6], 1, None), (1, [2e6, 5.0], 1, None)]
     assert run(spark, huge) == brute([r[:2] for r in huge])
+
+
+def test_own_rows_repeated_at_a_pivot(spark):
+    rng = random.Random(2)
+    rows = [(0, [1.0, 0.0], 1, None)] * 50 + [(i, [-1.0 + rng.uniform(0, 0.2), rng.uniform(-1, 1)], 1, None) for i in range(1, 31)]
+    want = brute([r[:2] for r in rows])
+    assert len(want) == 5
+    for more in ({}, {"rows_a_task": 10}):
+        assert run(spark, rows, **more) == want
+    spread = [(0, [1.0, i / 50], 1, None) for i in range(50)] + rows[50:]
+    assert run(spark, spread) == brute([r[:2] for r in spread])
