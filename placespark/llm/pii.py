@@ -1,4 +1,5 @@
-"""Personal data: patterns propose spans, checks confirm them, words nearby adjust the score. Built-in functions only.
+"""Personal data: patterns propose spans, checks confirm them, words nearby adjust the score. Nearby is up to WINDOW characters
+before a match or after it, other matches included. Built-in functions only.
 
 Kinds: email; ip (parts up to 255); card (13 to 19 digits, Luhn); phone (+, 9 to 15 digits), which are always kept once
 confirmed; iban (country, check digits and account, mod-97 equal 1) and ssn (three, two and four digits), which are kept
@@ -17,6 +18,7 @@ from placespark.llm.spans import count_of, digest, with_matches
 
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE = 4
+WINDOW = 48
 KEEP = 0.5
 #: The patterns of the kinds.
 PATTERNS = [
@@ -64,6 +66,13 @@ def confirmed(kind: int, value: Column) -> Column:
     }[kind]
 
 
+def near(text: Column, span: Column, pattern: str) -> Column:
+    """Whether pattern is found in what stands before or after a span of text."""
+    start = F.greatest(span["start"] - WINDOW, F.lit(0).cast("bigint"))
+    before = F.substring(text, (start + 1).cast("int"), (span["start"] - start).cast("int"))
+    return before.rlike(pattern) | F.substring(text, (span["end"] + 1).cast("int"), F.lit(WINDOW)).rlike(pattern)
+
+
 def find_pii(documents: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
     """documents with name: array of (kind, start, end, value, score), kind by its place in KINDS, in code points, end exclusive."""
     has = [F.contains("own_text", F.lit("@")), F.contains("own_text", F.lit(".")), None, F.contains("own_text", F.lit("+")), None, F.contains("own_text", F.lit("-"))]
@@ -72,7 +81,7 @@ def find_pii(documents: DataFrame, text: str = "text", name: str = "pii") -> Dat
     def kept(kind: int) -> Column:
         low, high = SCORES[kind]
         sure = F.filter(F.get(F.col(name), F.lit(kind)), lambda s: confirmed(kind, s["value"]))
-        scored = F.transform(sure, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.when(s["before"].rlike(NEARBY[kind]), F.lit(high)).otherwise(F.lit(low)).alias("score")))
+        scored = F.transform(sure, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.when(near(F.col(f"`{text}`"), s, NEARBY[kind]), F.lit(high)).otherwise(F.lit(low)).alias("score")))
         return scored if kind < BASE else F.filter(scored, lambda s: s["score"] >= KEEP)
 
     return df.withColumn(name, F.concat(*[kept(k) for k in range(len(KINDS))]))

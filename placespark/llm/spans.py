@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 128
-BEFORE = 48
-SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string,before:string>>"
+SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string>>"
 
 
 def total(numbers: Column) -> Column:
@@ -30,7 +29,7 @@ def running_total(numbers: Column) -> Column:
 
 
 def with_matches(df: DataFrame, text: str, kinds: list[tuple[str, Column | None]], name: str = "spans") -> DataFrame:
-    """df with name: array of SPAN arrays, one for each (pattern, whether a text can match) of kinds; value is the match, before what stands before it."""
+    """df with name: array of SPAN arrays, one for each (pattern, whether a text can match) of kinds; value is the match."""
     values, parts, ends, found = ([f"{x}{i}" for i in range(len(kinds))] for x in ("values_", "parts_", "ends_", "found_"))
     own = df.columns
     nothing = F.array().cast("array<string>")
@@ -40,14 +39,14 @@ def with_matches(df: DataFrame, text: str, kinds: list[tuple[str, Column | None]
     df = df.select("*", *[F.when(F.size(v) > 0, F.slice(F.split("own_text", p, -1), F.lit(1), F.size(v))).otherwise(nothing).alias(x) for v, x, (p, _) in zip(values, parts, kinds, strict=True)])
     widths = [F.zip_with(x, v, lambda a, b: (F.length(a) + F.length(b)).cast("bigint")) for v, x in zip(values, parts, strict=True)]
     df = df.select("*", *[F.when(F.size(v) > 0, running_total(w)).otherwise(F.array().cast("array<bigint>")).alias(e) for v, w, e in zip(values, widths, ends, strict=True)])
-    spans = [_spans(k, v, x, e).alias(f) for k, (v, x, e, f) in enumerate(zip(values, parts, ends, found, strict=True))]
+    spans = [_spans(k, v, e).alias(f) for k, (v, e, f) in enumerate(zip(values, ends, found, strict=True))]
     df = df.select("row", *spans)
     return df.select(*[F.col("row")[c].alias(c) for c in own], F.array(*found).alias(name))
 
 
-def _spans(kind: int, value: str, part: str, end: str) -> Column:
-    zipped = F.arrays_zip(F.col(value).alias("v"), F.col(part).alias("x"), F.col(end).alias("e"))
-    return F.transform(zipped, lambda z: F.struct(F.lit(kind).alias("kind"), (z["e"] - F.length(z["v"])).alias("start"), z["e"].alias("end"), z["v"].alias("value"), F.right(z["x"], F.lit(BEFORE)).alias("before"))).cast(SPAN)
+def _spans(kind: int, value: str, end: str) -> Column:
+    zipped = F.arrays_zip(F.col(value).alias("v"), F.col(end).alias("e"))
+    return F.transform(zipped, lambda z: F.struct(F.lit(kind).alias("kind"), (z["e"] - F.length(z["v"])).alias("start"), z["e"].alias("end"), z["v"].alias("value"))).cast(SPAN)
 
 
 def count_of(spans: Column, kind: int) -> Column:

@@ -61,3 +61,10 @@ def test_edges(spark, edges, nothing):
 def test_no_python_in_the_plan(spark, edges):
     plan = pii.pii_report(edges)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_words_on_both_sides_and_beyond_other_matches(spark):
+    texts = ["ssn 123-45-6789; 234-56-7890, 345-67-8901", "123-45-6789 is my social security number", "🙂🙂 345-67-8901 (SSN)", "123-45-6789 " + "." * 60 + " ssn"]
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    found = {r.doc_id: [r.text[s.start : s.end] for s in r.pii if pii.KINDS[s.kind] == "ssn"] for r in rows}
+    assert found == {0: ["123-45-6789", "234-56-7890", "345-67-8901"], 1: ["123-45-6789"], 2: ["345-67-8901"], 3: []}
