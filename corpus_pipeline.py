@@ -1,6 +1,6 @@
 """A training corpus in five stages: each works on all that its predecessor kept, and its decisions take effect.
 
-toxicity drops the documents that the machine rejects; near_duplicates keeps one document of each group; decontaminate
+toxicity drops the documents that the machine rejects; near_duplicates keeps one document of each group of near copies; decontaminate
 drops those that share a window with the benchmark; secrets masks secrets in the texts; pack gives the packing's pieces.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from placespark.llm import decontaminate, packing, secrets, simhash
+from placespark.llm import decontaminate, near_copies, packing, secrets
 from placespark.llm import toxicity as toxic
 from placespark.llm.tables import written
 
@@ -19,7 +19,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each_group(docs)
+    return near_copies.one_of_each_group(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
