@@ -5,11 +5,13 @@ windows by the same rule. Two windows of the same words therefore keep the same
 finds every shared window; each hit is then extended to all windows that hold the k-gram, and those are compared word
 for word. Items of fewer words are one window each: there the k-gram is the whole window.
 
-The benchmark is a stated query set. It is broadcast in blocks of at most block_chars characters, each of which is one
-more pass of the same map over the documents; nothing is shuffled, so no key can be hot.
+The benchmark is a stated query set. It is broadcast in blocks of at most block_chars characters (one item alone may be longer),
+each of which is one more pass over the documents; between passes the state is written to the shared folder, so that a
+task never holds more than one block. Nothing is shuffled, so no key can be hot.
 
 Nulls and empty texts have no words: n_words 0, not contaminated; null item texts are no windows. Items with null ids
-count for n_hit but can't be listed. Repeated rows of documents are judged one by one; repeated item ids count once.
+count for n_hit but can't be listed; ids of any type are listed as strings. Repeated rows of documents are judged one by
+one; repeated item ids count once.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placespark.llm.tables import arrow_map
+from placespark.llm.tables import arrow_map, written
 from placespark.llm.text import ALNUM, LOWER, gram_hashes, ragged, span_hashes, text_blocks, word_bounds
 
 WINDOW = 10
 GRAM = 5
 BLOCK_CHARS = 8_000_000
-OUTPUTS = "n_words bigint, hits array<bigint>, items array<bigint>"
+OUTPUTS = "n_words bigint, hits array<bigint>, items array<string>"
 
 
 def kept_grams(grams: np.ndarray, doc: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -45,7 +47,7 @@ def kept_grams(grams: np.ndarray, doc: np.ndarray, window: int, gram: int) -> np
 class ItemWindows:
     """Windows of some items: by length their kept k-grams, hashes and words, and the items of each."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int, gram: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int, gram: int):
         found: dict[int, dict[bytes, tuple[int, set]]] = {}
         grams: dict[int, set[int]] = {}
         ids = [i for i, _ in items]
@@ -124,16 +126,16 @@ def matcher(windows: Broadcast, window: int):
         n_words, new_hits, new_items = match_batch(texts, windows.value, window)
         old_hits, old_items = hits.to_pylist(), items.to_pylist()
         all_hits = [np.union1d(a, np.array(b or [], np.int64)) for a, b in zip(new_hits, old_hits, strict=True)]
-        all_items = [np.array(sorted({x for x in a if x is not None} | set(b or [])), np.int64) for a, b in zip(new_items, old_items, strict=True)]
-        lists = [ragged(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64), np.array([len(y) for y in x]), pa.int64()) for x in (all_hits, all_items)]
-        return [pa.array(n_words), *lists]
+        all_items = [sorted({x for x in a if x is not None} | set(b or [])) for a, b in zip(new_items, old_items, strict=True)]
+        places = ragged(np.concatenate([*all_hits, np.zeros(0, np.int64)]).astype(np.int64), np.array([len(x) for x in all_hits]), pa.int64())
+        return [pa.array(n_words), places, pa.array(all_items, pa.list_(pa.string()))]
 
     return run
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> list[DataFrame]:
     """The benchmark's rows in parts of about block_chars characters."""
-    rows = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    rows = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     total = rows.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
     n = max(1, -(-total // block_chars))
     return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else rows for i in range(n)]
@@ -145,16 +147,20 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, text: str
     spark = documents.sparkSession
     columns = documents.columns if keep is None else keep
     whole = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(1))
-    state = documents.select(whole.alias("row"), F.col(text).alias("own_text"), F.lit(None).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<bigint>").alias("items"))
+    apart = text.split(".")[0] not in columns  # a kept text is read from its row
+    held = ["row", "own_text"] if apart else ["row"]
+    state = documents.select(whole.alias("row"), *([F.col(text).alias("own_text")] if apart else []), F.lit(None).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("items"))
     blocks = item_blocks(benchmark, item_id, item_text, block_chars)
     for i, block in enumerate(blocks):
         windows = spark.sparkContext.broadcast(ItemWindows([(r[0], r[1]) for r in block.collect()], window, gram))
-        state = arrow_map(state, {"texts": F.col("own_text"), "old_hits": F.col("hits"), "old_items": F.col("items")}, OUTPUTS, matcher(windows, window), keep=["row"] if i == len(blocks) - 1 else ["row", "own_text"])
+        last = i == len(blocks) - 1
+        state = arrow_map(state, {"texts": "own_text" if apart else f"row.{text}", "old_hits": F.col("hits"), "old_items": F.col("items")}, OUTPUTS, matcher(windows, window), keep=["row"] if last else held)
+        state = state if last else written(state)
     return state.select(*[F.col("row")[c].alias(c) for c in columns], "n_words", "hits", "items")
 
 
 def items_digest(items: Column) -> Column:
-    return F.sha2(F.array_join(F.array_sort(F.transform(items, lambda x: x.cast("string"))), ","), 256)
+    return F.sha2(F.array_join(F.array_sort(items), ","), 256)
 
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -165,5 +171,5 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFram
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without those that share a window with the benchmark."""
-    rows = documents.select(F.struct("*").alias("doc"), "text")
-    return find_contamination(rows, benchmark, keep=["doc"]).where(F.size("hits") == 0).select("doc.*")
+    rows = documents.select(F.struct("*").alias("doc"))
+    return find_contamination(rows, benchmark, text="doc.text", keep=["doc"]).where(F.size("hits") == 0).select("doc.*")

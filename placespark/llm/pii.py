@@ -76,7 +76,7 @@ def near(text: Column, span: Column, pattern: str) -> Column:
 def find_pii(documents: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
     """documents with name: array of (kind, start, end, value, score), kind by its place in KINDS, in code points, end exclusive."""
     has = [F.contains("own_text", F.lit("@")), F.contains("own_text", F.lit(".")), None, F.contains("own_text", F.lit("+")), None, F.contains("own_text", F.lit("-"))]
-    df = with_matches(documents, text, list(zip(PATTERNS, has, strict=True)), name)
+    df = with_matches(documents, F.col(f"`{text}`"), list(zip(PATTERNS, has, strict=True)), name)
 
     def kept(kind: int) -> Column:
         low, high = SCORES[kind]

@@ -107,7 +107,7 @@ def find_secrets(documents: DataFrame, text: str = "text", name: str = "secrets"
     The texts are searched once: the spans are written beside the documents' columns, the limits counted from that table.
     """
     can = [None, F.contains("own_text", F.lit("AKIA")), None, None]
-    df = with_matches(documents, text, list(zip(PATTERNS, can, strict=True)), name)
+    df = with_matches(documents, F.col(text), list(zip(PATTERNS, can, strict=True)), name)
     own = [c for c in df.columns if c != name] if keep is None else keep
     row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")
 
@@ -144,8 +144,8 @@ def secrets_report(documents: DataFrame) -> DataFrame:
 
 def mask_secrets(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents with every secret in text replaced by mark, and n_chars counted again where it is a column."""
-    found = find_secrets(documents.select(F.struct("*").alias("doc"), "text"))
-    text = F.when(F.size("secrets") > 0, masked(F.col("text"), F.col("secrets"), mark)).otherwise(F.col("text"))
+    found = find_secrets(documents.select(F.struct("*").alias("doc")), "doc.text")
+    text = F.when(F.size("secrets") > 0, masked(F.col("doc.text"), F.col("secrets"), mark)).otherwise(F.col("doc.text"))
     out = found.select("doc", text.alias("new_text"))
     fresh = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast(documents.schema["n_chars"].dataType) if "n_chars" in documents.columns else None}
     return out.select(*[(fresh[c] if c in fresh else F.col("doc")[c]).alias(c) for c in documents.columns])

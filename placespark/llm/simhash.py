@@ -127,9 +127,9 @@ class Anchors:
             out |= (part == p) & (own == key)
         return out
 
-    def replicas(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(anchor, index of the print) of every anchor that each print goes to."""
-        keys, who = [], []
+    def replicas_and_homes(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, index of the print, whether it is at home) of every anchor that each print goes to."""
+        keys, who, home = [], [], []
         for p in range(len(self.parts)):
             x = self._part(prints, p)
             s = self.syndromes(x)
@@ -138,7 +138,13 @@ class Anchors:
                 if len(own):
                     keys.append(self.key(p, (x[own][:, None] ^ masks).ravel()))
                     who.append(np.repeat(own, len(masks)))
-        return (np.concatenate(keys), np.concatenate(who)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    home.append(np.tile(np.arange(len(masks)) == 0, len(own)))  # masks begin with the one to the code word within radius 1
+        none = np.zeros(0, np.int64)
+        return (np.concatenate(keys), np.concatenate(who), np.concatenate(home)) if keys else (none, none, none.astype(bool))
+
+    def replicas(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(anchor, index of the print) of every anchor that each print goes to."""
+        return self.replicas_and_homes(prints)[:2]
 
 
 def forest(left: np.ndarray, right: np.ndarray, prints: np.ndarray, threshold: int, cells: int = 1 << 21) -> list[tuple[int, int]]:
@@ -163,8 +169,12 @@ def forest(left: np.ndarray, right: np.ndarray, prints: np.ndarray, threshold: i
     return list(zip(own.tolist(), root[own].tolist(), strict=True))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: int, columns: list[str]) -> Iterator[tuple[bool, list[np.ndarray]]]:
-    """Runs of equal keys (all columns but the last) as arrays; True for pieces of a run that is longer than most."""
+def runs(batches: Iterator[pa.RecordBatch], most: int, columns: list[str], keys: int | None = None, whole: bool = False) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Runs of equal keys (the first `keys` columns; all but the last by default) as arrays; True for pieces of a run that is longer than most.
+
+    whole: the finished runs of a batch come together, as one piece; keys is then 1.
+    """
+    keys = 1 if whole else len(columns) - 1 if keys is None else keys
     held: list[np.ndarray] | None = None
     long = False
     for batch in batches:
@@ -174,9 +184,14 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int, columns: list[str]) -> I
         if not len(now[0]):
             continue
         change = np.zeros(len(now[0]), bool)
-        for c in now[:-1]:
+        for c in now[:keys]:
             change[1:] |= c[1:] != c[:-1]
         cuts = np.concatenate([[0], np.flatnonzero(change)])
+        if whole and not long:
+            sizes = np.diff(cuts)
+            if len(sizes) and sizes.max() <= most:
+                yield False, [c[: cuts[-1]] for c in now]
+                cuts = cuts[-1:]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if long or b - a > 1:
                 yield long or b - a > most, [c[a:b] for c in now]
@@ -202,7 +217,7 @@ def links_of(prints: DataFrame, threshold: int = 4, parts: int = 3, most: int =
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(x[at : at + 4096][who].view(np.int64))], names=["anchor", "fingerprint"])
 
     def compare(batches):
-        for long, (key, value) in _runs(batches, most, ["anchor", "fingerprint"]):
+        for long, (key, value) in runs(batches, most, ["anchor", "fingerprint"]):
             if long:
                 yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(key), pa.array(np.ones(len(key), bool))], names=["a", "b", "later"])
                 continue
@@ -232,7 +247,7 @@ def _in_blocks(members: DataFrame, threshold: int, most: int, tasks: int) -> Dat
     pairs = pairs.select("anchor", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fingerprint")
 
     def compare(batches):
-        for _, (_, _, _, value) in _runs(batches, 1 << 62, ["anchor", "i", "j", "fingerprint"]):
+        for _, (_, _, _, value) in runs(batches, 1 << 62, ["anchor", "i", "j", "fingerprint"]):
             x = np.unique(value).view(np.uint64)
             every = np.arange(len(x))
             if found := forest(every, every, x, threshold):
@@ -259,17 +274,3 @@ def component_ids(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def hex_digits(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
-
-
-def one_of_each_group(documents: DataFrame, *, shingle: int = 4, threshold: int = 4, parts: int = 3) -> DataFrame:
-    """documents with one row of each group of near-duplicates: that of least doc_id, one of equal rows of it.
-
-    Rows carry a number of their own, given when the fingerprints are written, so that repeated rows stay apart.
-    """
-    rows = documents.select(F.struct("*").alias("doc"), "text", "doc_id", F.monotonically_increasing_id().alias("number"))
-    rows = written(with_fingerprint(rows, shingle, keep=["doc", "doc_id", "number"]))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "number")).alias("least")
-    classes = rows.groupBy("fingerprint").agg(least)
-    nodes = connected_components(links_of(classes, threshold, parts))
-    grouped = classes.join(nodes, classes["fingerprint"] == nodes["node"], "left").groupBy(F.coalesce("component", "fingerprint").alias("group")).agg(F.min("least").alias("least"))
-    return rows.join(grouped.select(F.col("least.number").alias("number")), "number", "left_semi").select("doc.*")

@@ -28,12 +28,12 @@ def running_total(numbers: Column) -> Column:
     return F.flatten(F.zip_with(blocks, before, lambda b, s: F.transform(b, lambda _, i: s + total(F.slice(b, 1, i + 1)))))
 
 
-def with_matches(df: DataFrame, text: str, kinds: list[tuple[str, Column | None]], name: str = "spans") -> DataFrame:
+def with_matches(df: DataFrame, text: Column, kinds: list[tuple[str, Column | None]], name: str = "spans") -> DataFrame:
     """df with name: array of SPAN arrays, one for each (pattern, whether a text can match) of kinds; value is the match."""
     values, parts, ends, found = ([f"{x}{i}" for i in range(len(kinds))] for x in ("values_", "parts_", "ends_", "found_"))
     own = df.columns
     nothing = F.array().cast("array<string>")
-    df = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("own_text"))
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.coalesce(text, F.lit("")).alias("own_text"))
     hits = [F.regexp_extract_all("own_text", F.lit(p), F.lit(0)) for p, _ in kinds]
     df = df.select("*", *[(hit if can is None else F.when(can, hit).otherwise(nothing)).alias(v) for hit, (_, can), v in zip(hits, kinds, values, strict=True)])
     df = df.select("*", *[F.when(F.size(v) > 0, F.slice(F.split("own_text", p, -1), F.lit(1), F.size(v))).otherwise(nothing).alias(x) for v, x, (p, _) in zip(values, parts, kinds, strict=True)])

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+PIECE_BYTES = 1 << 20
 
 _CODES = np.arange(256)
 LOWER = np.where((_CODES >= 65) & (_CODES <= 90), _CODES + 32, _CODES).astype(np.uint8)
@@ -59,11 +60,12 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for spans inside a piece."""
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        x = np.full(n, base & _MASK, np.uint64)
+        x = np.full(PIECE_BYTES, base & _MASK, np.uint64)
         x[0] = 1
         out.append(np.multiply.accumulate(x))
     return out[0], out[1]
@@ -77,12 +79,36 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes, from one running sum over the block."""
-    size = 1 << max(20, int(len(data)).bit_length())
-    powers, inverse = _powers(size)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * powers[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start])
+    """64-bit hash of each span's bytes; spans in order of their starts.
+
+    Spans inside a piece of PIECE_BYTES come from one running sum over the piece; the few others are added up part by part,
+    so that memory beyond the data and the spans is that of a piece, however long a text is.
+    """
+    powers, inverse = _powers()
+    out = np.empty(len(start), np.uint64)
+    cuts = np.searchsorted(start, np.arange(0, len(data) + PIECE_BYTES, PIECE_BYTES))
+    for number, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if lo == hi:
+            continue
+        base = number * PIECE_BYTES
+        piece = data[base : base + PIECE_BYTES]
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_TABLE[piece] * powers[: len(piece)], out=total[1:])
+        a, b = start[lo:hi] - base, end[lo:hi] - base
+        inside = b <= len(piece)
+        out[lo:hi] = (total[np.minimum(b, len(piece))] - total[a]) * inverse[a]
+        for i in (np.flatnonzero(~inside) + lo).tolist():
+            out[i] = _long_sum(data, int(start[i]), int(end[i]), powers)
+    return mix(out)
+
+
+def _long_sum(data: np.ndarray, start: int, end: int, powers: np.ndarray) -> int:
+    value, factor, step = 0, 1, pow(_BASE, PIECE_BYTES, 1 << 64)
+    for at in range(start, end, PIECE_BYTES):
+        part = data[at : min(end, at + PIECE_BYTES)]
+        value = (value + factor * int((_TABLE[part] * powers[: len(part)]).sum(dtype=np.uint64))) & _MASK
+        factor = factor * step & _MASK
+    return value
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:

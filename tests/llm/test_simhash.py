@@ -108,8 +108,3 @@ def test_edges(spark, edges, nothing):
     zero = [r.component_id for r in rows if r.fingerprint == 0]
     assert zero and set(zero) == {1}
     assert simhash.near_duplicates(nothing).count() == 0
-    kept = simhash.one_of_each_group(edges)
-    assert kept.columns == edges.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i) == [1, 4, 5, 6, 7, 8] and ids.count(None) == 1
-    assert simhash.one_of_each_group(nothing).count() == 0
