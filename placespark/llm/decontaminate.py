@@ -154,7 +154,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, text: str
     for i, block in enumerate(blocks):
         windows = spark.sparkContext.broadcast(ItemWindows([(r[0], r[1]) for r in block.collect()], window, gram))
         last = i == len(blocks) - 1
-        state = arrow_map(state, {"texts": "own_text" if apart else f"row.{text}", "old_hits": F.col("hits"), "old_items": F.col("items")}, OUTPUTS, matcher(windows, window), keep=["row"] if last else held)
+        state = arrow_map(state, {"texts": F.col("own_text") if apart else f"row.{text}", "old_hits": F.col("hits"), "old_items": F.col("items")}, OUTPUTS, matcher(windows, window), keep=["row"] if last else held)
         state = state if last else written(state)
     return state.select(*[F.col("row")[c].alias(c) for c in columns], "n_words", "hits", "items")
 
