@@ -2,19 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placespark.llm.tables import written
 
 
+LINKS_A_FOREST = 1 << 20
+
+
+def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect n places as the given pairs do: each place to the least one that it is connected to."""
+    root = np.arange(n)
+    for i, j in pairs:
+        while len(i):
+            a, b = root[i], root[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+    own = np.flatnonzero(root != np.arange(n))
+    return own, root[own]
+
+
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that connect as those of the batches do, a spanning forest for each LINKS_A_FOREST of them."""
+    held, n = [], 0
+
+    def forest() -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        i, j = spanning(len(nodes), iter([(place[: len(a)], place[len(a) :])]))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], names=["a", "b"])
+
+    for batch in batches:
+        held.append((batch.column("a").to_numpy(zero_copy_only=False), batch.column("b").to_numpy(zero_copy_only=False)))
+        n += batch.num_rows
+        if n >= LINKS_A_FOREST:
+            yield forest()
+            held, n = [], 0
+    if n:
+        yield forest()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b); component is the least node that can be reached.
 
-    Every round is a few aggregations and joins of the links, which never exceed the nodes after the first, and is
+    Links come down to forests in each task first, so that a dense group has a few links for each node and task. Every round
+    is a few aggregations and joins of the links, which never exceed the nodes after the first, and is
     written to the shared folder. Links of null ends or of a node to itself say nothing. No links: no rows.
     """
-    links = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    links = links.where("a <> b").select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).mapInArrow(forests, "a bigint, b bigint")
+    links = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

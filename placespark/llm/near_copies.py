@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placespark.llm.components import connected_components
+from placespark.llm.components import connected_components, spanning
 from placespark.llm.simhash import Anchors, runs
 from placespark.llm.tables import arrow_map, fitting_partitions, written
 from placespark.llm.text import LOWER, NON_SPACE, gram_hashes, mix, ragged, span_hashes, text_blocks, word_bounds
@@ -107,21 +107,6 @@ def _close(i: np.ndarray, j: np.ndarray, low: np.ndarray, checked: np.ndarray) -
     return np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(checked[i] ^ checked[j]) <= MOST_BITS
 
 
-def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect n places as the given pairs do: each place to the least one that it is connected to."""
-    root = np.arange(n)
-    for i, j in pairs:
-        while len(i):
-            a, b = root[i], root[j]
-            apart = a != b
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (root[root] != root).any():
-                root = root[root]
-    own = np.flatnonzero(root != np.arange(n))
-    return own, root[own]
-
-
 def _homes_with_members(first: np.ndarray, home: np.ndarray, low: np.ndarray, checked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Close pairs of a place at home and any place of the same anchor; first: where each anchor begins, and the end."""
     size = np.diff(first)
@@ -137,6 +122,17 @@ def _homes_with_members(first: np.ndarray, home: np.ndarray, low: np.ndarray, ch
         yield i[ok], j[ok]
 
 
+def _least_forest(member: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of places whose roots are of least key, so that anchors agree on them; none from a key to itself."""
+    order = np.argsort(member >> 1, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    i, j = spanning(len(order), ((rank[i], rank[j]) for i, j in pairs))
+    i, j = order[i], order[j]
+    ok = member[i] >> 1 != member[j] >> 1
+    return i[ok], j[ok]
+
+
 def met_at_anchors(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Links of a spanning forest of each anchor's candidates from rows sorted by place; the members of anchors with more
     than most come back as they are, as later."""
@@ -147,9 +143,7 @@ def met_at_anchors(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.
             continue
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
         low, value = place.view(np.uint64) & np.uint64((1 << _LOW) - 1), checked.view(np.uint64)
-        i, j = spanning(len(place), _homes_with_members(first, (member & 1) > 0, low, value))
-        ok = member[i] >> 1 != member[j] >> 1
-        i, j = i[ok], j[ok]
+        i, j = _least_forest(member, _homes_with_members(first, (member & 1) > 0, low, value))
         yield pa.RecordBatch.from_arrays([pa.array(member[i] | 1), pa.array(member[j] | 1), pa.array(np.zeros(len(i), np.int64)), pa.array(np.zeros(len(i), bool))], names=names)
 
 
@@ -189,9 +183,8 @@ def _in_blocks(members: DataFrame, most: int, tasks: int) -> DataFrame:
     def compare(batches):
         for _, (_, _, _, place, member, checked) in runs(batches, 1 << 62, ["anchor", "i", "j", "place", "member", "checked"], keys=3):
             low, value = place.view(np.uint64) & np.uint64((1 << _LOW) - 1), checked.view(np.uint64)
-            i, j = spanning(len(place), _homes_with_members(np.array([0, len(place)]), (member & 1) > 0, low, value))
-            ok = member[i] >> 1 != member[j] >> 1
-            yield pa.RecordBatch.from_arrays([pa.array(member[i][ok] | 1), pa.array(member[j][ok] | 1)], names=["a", "b"])
+            i, j = _least_forest(member, _homes_with_members(np.array([0, len(place)]), (member & 1) > 0, low, value))
+            yield pa.RecordBatch.from_arrays([pa.array(member[i] | 1), pa.array(member[j] | 1)], names=["a", "b"])
 
     return pairs.repartition(tasks, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(compare, "a bigint, b bigint")
 

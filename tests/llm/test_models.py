@@ -4,10 +4,12 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, models
 
 from placespark.llm import quality, token_count, toxicity
+from placespark.llm.text import LOWER, text_blocks
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", "a", " ", "  a  b ", "日本語x", "\n\n a\n", "🙂🙂 🙂", "<unk><unk>x", "<s>a</s>", "▁a▁▁b", "é̃", "\x00\x01 a", "x" * 3000]
@@ -105,20 +107,51 @@ def test_toxic_texts_are_told_apart(spark, machine):
 
 
 def test_inserted_characters_and_gaps(spark, machine):
-    clean, plain, inserted, apart = scores(spark, machine, ["the loing shata on the ering", "you idiot the stupid on", "you id.iot the stu-pid on", "you i d i o t the s t u p i d on"])
-    assert clean < 0.5 and plain > 0.9 and inserted > clean + 0.2 and apart > clean + 0.2
-
-
-def test_kernel_norm_equals_brute_force():
-    from itertools import combinations
-
-    for token in (b"abcab", b"aaaa", b"xyz"):
-        chars = toxicity._rows(np.frombuffer(token, np.uint8), np.zeros(1, np.int64), len(token))
-        weights: dict[tuple, float] = {}
-        for c in combinations(range(chars.shape[1]), 3):
-            key = tuple(chars[0][list(c)].tolist())
-            weights[key] = weights.get(key, 0) + toxicity.DECAY ** (c[2] - c[0] + 1)
-        assert abs(toxicity.norms(chars)[0] - sum(w * w for w in weights.values()) ** 0.5) < 1e-12
+    clean, plain, inserted, apart, letter, split = scores(spark, machine, ["the loing shata on the ering", "you idiot the stupid on", "you id.iot the stu-pid on", "you i d i o t the s t u p i d on", "you idxiot the stupxid on", "you idi ot the stu pid on"])
+    assert clean < 0.5 and plain > 0.9 and min(inserted, apart, letter, split) > clean + 0.2
+
+
+def triples(chars):
+    """Weights of a window's subsequences, by hand."""
+    found: dict[tuple, float] = {}
+    for i in range(min(toxicity.WIDTH, len(chars))):
+        for j in range(i + 1, min(i + toxicity.SPAN, len(chars))):
+            for k in range(j + 1, min(i + toxicity.SPAN, len(chars))):
+                key = (chars[i], chars[j], chars[k])
+                found[key] = found.get(key, 0) + toxicity.DECAY ** (k - i - 2)
+    return found
+
+
+def test_kernel_and_table_equal_brute_force():
+    rng = random.Random(4)
+    windows = [bytes(rng.randrange(5) for _ in range(rng.randrange(3, toxicity.WIDTH + toxicity.SPAN))) for _ in range(40)]
+    codes, w = toxicity.features(windows), toxicity.weights()
+    by_hand = [triples(x) for x in windows]
+    for i in (0, 7):
+        want = [sum(v * by_hand[i].get(k, 0) for k, v in x.items()) for x in by_hand]
+        assert np.allclose(toxicity.kernel_column(codes, codes[i], w), want, rtol=1e-5)
+    table, bias, values = toxicity.fit(windows[:20], windows[20:], landmarks=16)
+    got = [sum(v * table[k[0] << 12 | k[1] << 6 | k[2]] for k, v in x.items()) + bias for x in by_hand[20:]]
+    assert np.allclose(got, values, atol=1e-3)
+    chars = np.concatenate([np.concatenate([np.frombuffer(x, np.uint8).astype(np.int32), np.full(toxicity.SPAN - 1, toxicity.BETWEEN, np.int32)]) for x in windows])
+    size = np.array([len(x) for x in windows])
+    start = np.cumsum(size + toxicity.SPAN - 1) - size - toxicity.SPAN + 1
+    best, place = toxicity.window_values(chars, start, start + size, table)
+    for n, x in enumerate(windows):
+        every = [sum(v * table[k[0] << 12 | k[1] << 6 | k[2]] for k, v in triples(x[at : at + toxicity.WIDTH + toxicity.SPAN - 1]).items()) for at in range(len(x))]
+        assert abs(best[n] - max(every)) < 1e-3 and abs(every[place[n] - start[n]] - max(every)) < 1e-3
+
+
+def test_sentences_by_hand():
+    texts = ["One two. THREE!\nfour\n\n five a b c d six", "", "x", "...", "a.b.c ok? i d", "è no\u00a0w"]
+    want = ["one two", "three", "four", "five abcd six", "abc ok", "i d"]
+    table = pa.array(texts)
+    (_, _, data, offsets), = text_blocks(table)
+    chars, start, end, doc = toxicity.sentences(LOWER[data], offsets)
+    letters = dict(zip(toxicity.CLASSES[[*range(97, 123), 32]].tolist(), "abcdefghijklmnopqrstuvwxyz ", strict=True))
+    got = ["".join(letters.get(c, "?") for c in chars[a:b].tolist()) for a, b in zip(start, end, strict=True)]
+    assert [g.strip() for g in got[:-1]] == want and all(g[0] == " " for g in got) and doc.tolist() == [0, 0, 0, 0, 4, 4, 5]
+    assert all((chars[b : b + toxicity.SPAN - 1] == toxicity.BETWEEN).all() and b + toxicity.SPAN - 1 <= len(chars) for b in end)
 
 
 def test_toxicity_edges(spark, edges, nothing):
