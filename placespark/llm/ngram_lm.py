@@ -5,7 +5,7 @@ level, every chunk sends its distinct n-grams with their training counts to shar
 key of a chunk); a shard adds them up, packs its level of the trie into mapped bytes, looks up every chunk's n-grams and
 answers. Level 1 gives words their numbers and counts; level k keys are (number of the k-1-gram before, word). A key goes
 to the shard of its context; contexts counted more than hot times (so at most tokens / hot of them) are dealt by the
-whole n-gram instead. Contexts need a count of min_context; the query has three levels and takes all contexts.
+whole n-gram instead. Numbers have 64 bits, and there are as many shuffle tasks as shards. Contexts need a count of min_context.
 
 Probabilities: P1(w) = (c + 0.5) / (N + 0.5 (V + 1)), c, N and V from the training tokens, one end token a text included.
 Pk(w | context) = c(context, w) / (c(context) + m) + m / (c(context) + m) * Pk-1(w), m = MASS * c(context) ** POWER (the
@@ -28,10 +28,10 @@ from placespark.llm.elias_fano import EliasFano, Level, mapped
 from placespark.llm.tables import fitting_partitions, written
 from placespark.llm.text import LOWER, NON_SPACE, mix, span_hashes, text_blocks, word_bounds
 
-ORDER = 2
+ORDER = 3
 MASS = 4.0
 POWER = 0.75
-MIN_CONTEXT = 2
+MIN_CONTEXT = 1
 QUANTUM = 4000
 CHUNK_TOKENS = 1_500_000
 SHARD_TOKENS = 1_000_000
@@ -54,19 +54,30 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
-HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
+def pack_keys(context: np.ndarray, word: np.ndarray) -> bytes:
+    """Ascending (context, word): contexts by their differences, words as they are."""
+    return packed(np.concatenate([np.diff(context, prepend=np.int64(0)), word]), np.int64)
 
 
-def pack_keys(keys: np.ndarray, level: int) -> bytes:
-    """Ascending keys by their differences; of n-grams those of the contexts, with the words as they are."""
-    if level == 1:
-        return packed(np.diff(keys, prepend=np.uint64(0)), np.uint64)
-    return packed(np.diff(keys & HIGH, prepend=np.uint64(0)) | (keys & LOW), np.uint64)
+def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    context, word = np.split(unpacked(data, np.int64), 2)
+    return np.cumsum(context), word
 
 
-def unpack_keys(data: bytes, level: int) -> np.ndarray:
-    keys = unpacked(data, np.uint64)
-    return np.cumsum(keys, dtype=np.uint64) if level == 1 else np.cumsum(keys & HIGH, dtype=np.uint64) | (keys & LOW)
+def pack_words(words: np.ndarray) -> bytes:
+    return packed(np.diff(words, prepend=np.uint64(0)), np.uint64)
+
+
+def unpack_words(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+
+
+def ascending(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of (context, word), and where in it a new pair begins."""
+    order = np.lexsort((word, context))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0)
+    return order, new
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -96,7 +107,7 @@ def chunked(documents: DataFrame, train: Column, text: str, doc_id: str, chunk_t
 
 
 def _chunk(number: int, held: list) -> pa.RecordBatch:
-    ids, train = sum((x[0] for x in held), []), sum((x[1] for x in held), [])
+    ids, train = ([y for x in held for y in x[i]] for i in (0, 1))
     sizes = np.concatenate([x[2] for x in held])
     words, tokens, times = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True, return_counts=True)
     often = np.argsort(-times, kind="stable")  # frequent words get small numbers, which compress well
@@ -109,17 +120,17 @@ def _chunk(number: int, held: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["chunk", "doc_ids", "train", "sizes", "vocabulary", "tokens", "n_train"])
 
 
-def _by_shard(shard: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The shards that have keys, and the places of each one's keys in ascending order."""
-    order = np.lexsort((keys, shard))
+def _by_shard(shard: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The shards that have keys, and the places of each one's keys in their order."""
+    order = np.argsort(shard, kind="stable")
     shards, first = np.unique(shard[order], return_index=True)
     return shards, np.split(order, first[1:]) if len(shards) else []
 
 
-def _asked(chunk: int, level: int, shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """Rows of ASKED: the keys and counts of each shard."""
-    shards, own = _by_shard(shard, keys)
-    columns = [pa.array(shards.astype(np.int32)), pa.array(np.full(len(shards), chunk)), pa.array([pack_keys(keys[o], level) for o in own], pa.binary()), pa.array([packed(counts[o], np.uint32) for o in own], pa.binary())]
+def _asked(chunk: int, shard: np.ndarray, counts: np.ndarray, pack) -> pa.RecordBatch:
+    """Rows of ASKED: the keys (as pack gives those of some places) and counts of each shard."""
+    shards, own = _by_shard(shard)
+    columns = [pa.array(shards.astype(np.int32)), pa.array(np.full(len(shards), chunk)), pa.array([pack(o) for o in own], pa.binary()), pa.array([packed(counts[o], np.uint32) for o in own], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["shard", "chunk", "keys", "counts"])
 
 
@@ -129,16 +140,15 @@ def _answer(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
 
-def _summed(table: pa.Table, level: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Each chunk's keys, and the distinct keys of training with their counts."""
-    keys = [unpack_keys(k, level) for k in table.column("keys").to_pylist()]
-    counts = np.concatenate([unpacked(c, np.uint32) for c in table.column("counts").to_pylist()])
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    every, counts = every[order], counts[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    sums = np.add.reduceat(counts, first)
-    return keys, every[first][sums > 0], sums[sums > 0]
+def _counts(table: pa.Table) -> np.ndarray:
+    return np.concatenate([unpacked(c, np.uint32) for c in table.column("counts").to_pylist()]).astype(np.int64)
+
+
+def _taught(order: np.ndarray, new: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of equal keys that training has, and their counts."""
+    first = np.flatnonzero(new)
+    sums = np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
+    return order[first[sums > 0]], sums[sums > 0]
 
 
 def mass(counts: np.ndarray) -> np.ndarray:
@@ -159,7 +169,11 @@ def _words_answered(shards: int, hot: int):
     """Level 1: a shard's words get numbers; counts come back as they are, in place of codes."""
 
     def answer(table: pa.Table) -> pa.Table:
-        keys, words, sums = _summed(table, 1)
+        keys = [unpack_words(k) for k in table.column("keys").to_pylist()]
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        place, sums = _taught(order, np.concatenate([[True], np.diff(every[order]) != 0])[: len(order)], _counts(table))
+        words = every[place]
         shard = table.column("shard")[0].as_py()
         held = EliasFano(mapped(EliasFano.pack(words)))
         rows = []
@@ -179,9 +193,11 @@ def _grams_answered(level: int, shards: int, hot: int, hot_counts, last: bool, m
     """Level 2 and on: a shard's level of the trie, packed, mapped and asked."""
 
     def answer(table: pa.Table) -> pa.Table:
-        keys, grams, sums = _summed(table, level)
+        keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
+        context, word = (np.concatenate(x) for x in zip(*keys, strict=True))
+        place, sums = _taught(*ascending(context, word), _counts(table))
+        context, word = context[place], word[place]
         shard = table.column("shard")[0].as_py()
-        context, word = (grams >> np.uint64(32)).astype(np.int64), (grams & np.uint64(0xFFFFFFFF)).astype(np.int64)
         contexts, rank = np.unique(context, return_inverse=True)
         total = np.bincount(rank, sums, minlength=len(contexts)).astype(np.int64)
         far = hot_counts.value
@@ -191,14 +207,14 @@ def _grams_answered(level: int, shards: int, hot: int, hot_counts, last: bool, m
         trie = Level(mapped(Level.pack(context, word, codes, backoffs)))
         rows = []
         for chunk, own in zip(table.column("chunk").to_pylist(), keys, strict=True):
-            place = trie.find((own >> np.uint64(32)).astype(np.int64), (own & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            place = trie.find(*own)
             at = np.maximum(place, 0)
             seen = place >= 0
-            codes, backoffs = (np.where(seen, x[at], 0) if len(sums) else np.zeros(len(own)) for x in (trie.codes, trie.backoffs))
-            numbers = np.where(seen & (sums[at] >= min_context), at * shards + shard, -1) if len(sums) else np.full(len(own), -1)
+            codes, backoffs = (np.where(seen, x[at], 0) if len(sums) else np.zeros(len(place)) for x in (trie.codes, trie.backoffs))
+            numbers = np.where(seen & (sums[at] >= min_context), at * shards + shard, -1) if len(sums) else np.full(len(place), -1)
             rows.append((chunk, shard, level, None if last else packed(numbers, np.int64), packed(codes, np.uint16), None if last else packed(backoffs, np.uint16), None, None, None))
         often = np.flatnonzero(sums > hot)
-        rows.append((-1, shard, level, None, None, None, len(grams), (often * shards + shard).tolist(), sums[often].tolist()))
+        rows.append((-1, shard, level, None, None, None, len(sums), (often * shards + shard).tolist(), sums[often].tolist()))
         return _answer(rows)
 
     return answer
@@ -221,8 +237,9 @@ class Chunk:
         for a in answers:
             by_level.setdefault(a["level"], {})[a["shard"]] = a
         numbers, counts = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
-        for s, own in zip(*_by_shard(word_shard(words, shards), words), strict=True):
-            a = by_level[1][int(s)]
+        place = np.argsort(words, kind="stable")
+        for s, own in zip(*_by_shard(word_shard(words, shards)[place]), strict=True):
+            a, own = by_level[1][int(s)], place[own]
             numbers[own], counts[own] = unpacked(a["numbers"], np.int64), unpacked(a["codes"], np.int64)
         self.word, self.count = np.full(size, -1, np.int64), np.zeros(size, np.int64)
         self.word[inner], self.count[inner] = numbers[tokens], counts[tokens]
@@ -238,22 +255,27 @@ class Chunk:
             if level > 1:
                 self._step(by_level[level])
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the next level's n-grams, the distinct ones, and which each place has."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the next level's n-grams, the distinct ones in order (contexts, words), and which each place has."""
         place = np.flatnonzero((self.node[:-1] >= 0) & (self.word[1:] >= END)) + 1
-        packed = (self.node[place - 1].astype(np.uint64) << np.uint64(32)) | self.word[place].astype(np.uint64)
-        distinct, which = np.unique(packed, return_inverse=True)
-        return place, distinct, which
-
-    def shard_of(self, keys: np.ndarray) -> np.ndarray:
-        context = keys >> np.uint64(32)
-        hot = np.isin(context, np.array(sorted(self.hot[self.level - 1]), np.uint64)) if self.hot[self.level - 1] else np.zeros(len(keys), bool)
-        return (mix(np.where(hot, keys, context)) % np.uint64(self.shards)).astype(np.int64)
+        context, word = self.node[place - 1], self.word[place]
+        order, new = ascending(context, word)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        first = order[new]
+        return place, context[first], word[first], which
+
+    def shard_of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        key = context.astype(np.uint64)
+        if self.hot[self.level - 1]:
+            hot = np.isin(context, np.array(sorted(self.hot[self.level - 1]), np.int64))
+            key = np.where(hot, mix(key) ^ word.astype(np.uint64), key)
+        return (mix(key) % np.uint64(self.shards)).astype(np.int64)
 
     def _step(self, answers: dict[int, dict]) -> None:
-        place, keys, which = self.keys()
-        numbers, codes, backoffs = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.uint16), np.zeros(len(keys), np.uint16)
-        for s, own in zip(*_by_shard(self.shard_of(keys), keys), strict=True):
+        place, context, word, which = self.keys()
+        numbers, codes, backoffs = np.full(len(word), -1, np.int64), np.zeros(len(word), np.uint16), np.zeros(len(word), np.uint16)
+        for s, own in zip(*_by_shard(self.shard_of(context, word)), strict=True):
             a = answers[int(s)]
             codes[own] = unpacked(a["codes"], np.uint16)
             if a["numbers"] is not None:
@@ -268,8 +290,8 @@ class Chunk:
         self.node, self.backoff, self.level = node, backoff, self.level + 1
 
     def asked(self) -> pa.RecordBatch:
-        place, keys, which = self.keys()
-        return _asked(self.number, self.level + 1, self.shard_of(keys), keys, np.bincount(which, self.trained[place], minlength=len(keys)))
+        place, context, word, which = self.keys()
+        return _asked(self.number, self.shard_of(context, word), np.bincount(which, self.trained[place], minlength=len(word)), lambda own: pack_keys(context[own], word[own]))
 
     def scores(self, total: int, types: int) -> pa.RecordBatch:
         p = (self.count + 0.5) / (total + 0.5 * (types + 1))
@@ -303,9 +325,11 @@ def lm_scores(documents: DataFrame, train: Column, *, order: int = ORDER, min_co
             for r in batch.to_pylist():
                 words = np.frombuffer(r["vocabulary"], np.uint64)
                 of = np.repeat(np.array(r["train"], bool), r["sizes"])
-                yield _asked(r["chunk"], 1, word_shard(words, shards), words, np.bincount(unpacked(r["tokens"], np.uint32), of, minlength=len(words)))
+                counts, place = np.bincount(unpacked(r["tokens"], np.uint32), of, minlength=len(words)), np.argsort(words, kind="stable")
+                words, counts = words[place], counts[place]
+                yield _asked(r["chunk"], word_shard(words, shards), counts, lambda own, words=words: pack_words(words[own]))
 
-    answers = written(chunks.select("chunk", "train", "sizes", "vocabulary", "tokens").mapInArrow(words_asked, ASKED).groupBy("shard").applyInArrow(_words_answered(shards, hot), ANSWER))
+    answers = written(chunks.select("chunk", "train", "sizes", "vocabulary", "tokens").mapInArrow(words_asked, ASKED).repartition(shards, "shard").groupBy("shard").applyInArrow(_words_answered(shards, hot), ANSWER))
     types = int(answers.where("level = 1").agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]) + (n_texts > 0)
     hot_sets: list[set] = []
 
@@ -316,7 +340,7 @@ def lm_scores(documents: DataFrame, train: Column, *, order: int = ORDER, min_co
             rows = right.to_pylist()
             return pa.Table.from_batches([work(Chunk(c, rows, shards, sets, n, min_context)) for c in left.to_pylist()])
 
-        return chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, schema)
+        return chunks.repartition(shards, "chunk").groupBy("chunk").cogroup(known.repartition(shards, "chunk").groupBy("chunk")).applyInArrow(run, schema)
 
     def hot_of(level: int) -> dict[int, int]:
         """Contexts of more than `hot` counts: at most tokens / hot."""
@@ -329,5 +353,5 @@ def lm_scores(documents: DataFrame, train: Column, *, order: int = ORDER, min_co
         counts = hot_of(level - 1)
         hot_sets.append(set(counts))
         asked = with_answers(lambda c: c.asked(), ASKED)
-        answers = answers.unionByName(written(asked.groupBy("shard").applyInArrow(_grams_answered(level, shards, hot, spark.sparkContext.broadcast(counts), level == order, min_context), ANSWER)))
+        answers = answers.unionByName(written(asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_grams_answered(level, shards, hot, spark.sparkContext.broadcast(counts), level == order, min_context), ANSWER)))
     return with_answers(lambda c: c.scores(total, types), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

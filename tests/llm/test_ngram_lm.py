@@ -37,7 +37,7 @@ def tokens(text):
     return re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def naive(docs, order):
+def naive(docs, order, min_context=1):
     """The same model from plain dictionaries, unquantised."""
     train = [i is None or zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in docs]
     counts = [collections.Counter() for _ in range(order + 1)]
@@ -59,7 +59,7 @@ def naive(docs, order):
             for k in range(2, min(order, i + 1) + 1):
                 context = w[i - k + 1] if k == 2 else tuple(w[i - k + 1 : i])
                 c = counts[k - 1][context]
-                if c < 2:
+                if c < min_context:
                     continue
                 m = ngram_lm.MASS * c**ngram_lm.POWER
                 p = (counts[k][tuple(w[i - k + 1 : i + 1])] + m * p) / (c + m)
@@ -72,9 +72,9 @@ def test_equals_a_naive_model(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
     train = ~ngram_lm.is_held_out(frame["doc_id"])
-    for order, more in ((2, {}), (3, {"chunk_tokens": 5000, "shard_tokens": 4000})):
+    for order, more in ((3, {}), (2, {"min_context": 2}), (3, {"chunk_tokens": 5000, "shard_tokens": 4000, "min_context": 2}), (4, {"chunk_tokens": 9000, "shard_tokens": 1000})):
         rows = {r.doc_id: r for r in ngram_lm.lm_scores(frame, train, order=order, **more).collect()}
-        for (doc_id, _), (n, known, total, base, score) in zip(docs, naive(docs, order), strict=True):
+        for (doc_id, _), (n, known, total, base, score) in zip(docs, naive(docs, order, more.get("min_context", 1)), strict=True):
             r = rows[doc_id]
             assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
             assert abs(r.base_score - base) < 1e-6 * (1 + abs(base)) and abs(r.score - score) < 2e-3 * n + 1e-3
@@ -85,7 +85,7 @@ def test_probabilities_add_up(spark):
     docs = [(i, t) for i, t in enumerate(["a b a c a b", "b a c c", "a b b a", "c a b"] * 3)]
     asked = [(1000, "a"), *[(1001 + i, f"a {w}") for i, w in enumerate(["a", "b", "c", "zzz"])]]
     frame = spark.createDataFrame(docs + asked, "doc_id bigint, text string")
-    rows = {r.doc_id: r.score for r in ngram_lm.lm_scores(frame, frame["doc_id"] < 1000).collect()}
+    rows = {r.doc_id: r.score for r in ngram_lm.lm_scores(frame, frame["doc_id"] < 1000, order=2, min_context=2).collect()}
     # P(first a) P(end | a) and P(first a) P(w | a) P(end | w); ends and first words come from the counts
     total, v = 12 + sum(len(t.split()) for _, t in docs), 4
     p1 = {w: (c + 0.5) / (total + 0.5 * (v + 1)) for w, c in [("a", sum(t.split().count("a") for _, t in docs)), ("b", sum(t.split().count("b") for _, t in docs)), ("c", sum(t.split().count("c") for _, t in docs)), ("end", 12), ("zzz", 0)]}
