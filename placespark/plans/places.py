@@ -220,7 +220,7 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix.suggest(asked, index, names)
 
 
-@query("SELECT grp, string_agg(value, ',' ORDER BY value) AS category_values FROM (VALUES " + ", ".join(f"('{g}', '{v}')" for g, keys in category.GROUPS.items() for v in sorted({v for values in keys.values() for v in values.split()})) + ") t(grp, value) GROUP BY grp")
+@query("SELECT grp, string_agg(value, ',' ORDER BY value) AS category_values FROM (VALUES " + ", ".join(f"('{g}', '{v}')" for g, keys in category.GROUPS.items() for v in sorted({v for values in keys.values() for v in values})) + ") t(grp, value) GROUP BY grp")
 def category_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return category.category_catalog(spark).select("grp", F.array_join("category_values", ",").alias("category_values"))
 

@@ -210,14 +210,42 @@ def test_search_small(spark):
 
 def test_address_reader(spark, tmp_path):
     (tmp_path / "a.csv").write_text("LON,LAT,NUMBER,STREET,UNIT,CITY,DISTRICT,REGION,POSTCODE,ID,HASH\n31.2,30.0, 15 ,Tahrir,,Cairo,D,,11511,,deadbeef\n31.2,30.0,7,Nile,,,,,,,\nx,30,1,A,,,,,,,\n200,30,1,A,,,,,,,\n31,30,,,,,,,,,\n")
-    rows = sources.read_address_csv(spark, str(tmp_path)).orderBy("osm_id").collect()
-    assert len(rows) == 2 and rows[-1].osm_id == "oadeadbeef" and rows[-1].tags["addr:housenumber"] == "15" and rows[-1].tags["addr:county"] == "D"
+    rows = {r.tags["addr:street"]: r for r in sources.read_address_csv(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"Tahrir", "Nile"} and rows["Tahrir"].osm_id == "oadeadbeef" and rows["Tahrir"].tags["addr:housenumber"] == "15" and rows["Tahrir"].tags["addr:county"] == "D"
+    assert rows["Nile"].osm_id.endswith("_1")
     (tmp_path / "b.geojson").write_text('{"type":"Feature","geometry":{"type":"Point","coordinates":[31.2,30.0]},"properties":{"number":"1","street":"X","hash":"h"}}\nbroken\n')
     assert [r.osm_id for r in sources.read_address_geojson(spark, str(tmp_path / "b.geojson")).collect()] == ["oah"]
     (tmp_path / "c.geojson").write_text('{"features":[{"geometry":{"type":"Point","coordinates":[31.2,30.0]},"properties":{"NUMBER":"1","HASH":"g"}},{"geometry":{"type":"LineString","coordinates":[]},"properties":{}}]}')
     assert [r.osm_id for r in sources.read_address_geojson(spark, str(tmp_path / "c.geojson"), collection=True).collect()] == ["oag"]
 
 
+def test_address_rows_are_numbered_by_file(spark, tmp_path):
+    """By all rows of the file, with or without HASH, and however it is split."""
+    head = "LON,LAT,NUMBER,STREET,UNIT,CITY,DISTRICT,REGION,POSTCODE,ID,HASH\n"
+    for name, n in (("a.csv", 400), ("b.csv", 7)):
+        (tmp_path / name).write_text(head + "".join(f"31.2,30.0,{i},{name[0]}{i},,,,,,,{'h' + name[0] + str(i) if i % 2 == 0 else ''}\n" for i in range(n)))
+    before, seen = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size in ("128m", "2k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = sources.read_address_csv(spark, str(tmp_path)).collect()
+            seen.append({r.osm_id for r in rows})
+            assert len(rows) == len(seen[-1]) == 407
+            for r in rows:
+                i = r.tags["addr:street"][1:]
+                assert r.osm_id == f"oah{r.tags['addr:street']}" if int(i) % 2 == 0 else r.osm_id.endswith(f"_{i}")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[0] == seen[1]
+
+
+def test_type_queries(spark):
+    asked = spark.createDataFrame([("1", "Metro"), ("2", "metropolitan"), ("3", "مستشفي"), ("4", " CAFÉ "), ("5", None), ("6", "coffee shop")], "query string, q string")
+    assert {r["query"] for r in category.with_type_query(asked).where("asks_type").collect()} == {"1", "3", "4", "6"}
+    places = spark.createDataFrame([(True, "place", "village"), (True, "amenity", "bank"), (False, "place", "village"), (True, "railway", "platform"), (True, None, None)], "asks boolean, key string, value string")
+    assert [r[0] for r in places.select(category.nameable(F.col("asks"), F.col("key"), F.col("value"))).collect()] == [False, True, True, False, True]
+
+
 def test_gazetteer_reader(spark, tmp_path):
     cells_ = ["360630", "Cairo", "Cairo", "Al Qahirah,Kairo", "30.06", "31.25", "P", "PPLC", "EG", "", "", "", "", "", "7734614", "", "", "Africa/Cairo", "2020"]
     (tmp_path / "x.txt").write_text("# c\n\n" + "\t".join(cells_) + "\nshort\tline\n" + "\t".join(["1", "Adm", "", "", "1", "1", "A", "ADM1", *cells_[8:]]) + "\n")
