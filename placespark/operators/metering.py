@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placespark.operators.folds import ordered_fold
+
 #: Paths that cost nothing, thousandths of a credit for a call.
 FREE_PATHS = ["/health", "/metrics", "/docs", "/openapi.json", "/nearby/categories"]
 DEFAULT_MILLI = 1000
@@ -116,18 +118,16 @@ def bursts(events: DataFrame, most: int) -> DataFrame:
 def quota_replay(events: DataFrame, quota_milli: int) -> DataFrame:
     """Each event with accepted: a running sum of tenant and period where a rejected event uses nothing up.
 
-    The order decides, so each tenant and period is one ordered fold; events carry only what it needs.
+    The order decides, so each tenant and period is one ordered pass with the sum as its state.
     """
-    item = F.struct("ts", "event_id", "milli")
-    groups = events.withColumn("period", period(F.col("ts"))).groupBy("tenant", "period").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<event_id:bigint,accepted:boolean,used:bigint>>").alias("out"))
 
-    def step(s: Column, e: Column) -> Column:
-        ok = s["used"] + e["milli"] <= quota_milli
-        used = F.when(ok, s["used"] + e["milli"]).otherwise(s["used"])
-        return F.struct(used.alias("used"), F.concat(s["out"], F.array(F.struct(e["event_id"].alias("event_id"), ok.alias("accepted"), used.alias("used")))).alias("out"))
+    def step(used: int, event_id: int, milli: int | None) -> tuple[int, tuple]:
+        ok = milli is not None and used + milli <= quota_milli
+        used += milli if ok else 0
+        return used, (event_id, ok, used)
 
-    return groups.select("tenant", "period", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("e")).select("tenant", "period", "e.*")
+    rows = events.withColumn("period", period(F.col("ts"))).withColumn("milli", F.col("milli").cast("bigint")).withColumn("event_id", F.col("event_id").cast("bigint"))
+    return ordered_fold(rows, ["tenant", "period"], ["ts", "event_id"], ["event_id", "milli"], "event_id bigint, accepted boolean, used bigint", int, step)
 
 
 def plan_counts(tenants: DataFrame) -> DataFrame:

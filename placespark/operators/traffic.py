@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from placespark.functions.geo import haversine_m, tile_base
 from placespark.operators.cells import nearest_lines
+from placespark.operators.folds import ordered_fold
 
 #: Smoothing, visible samples, idle seconds until a speed is forgotten, points kept of a trace, greatest speed.
 ALPHA = 0.3
@@ -41,11 +42,15 @@ def trace_speed(points: DataFrame) -> DataFrame:
 
 
 def ewma(observations: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """Smoothed speed of each edge in the order of (ts, event_id), number of observations and last time; unrounded."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "kph")))
-    rows = observations.groupBy("gid").agg(ordered.alias("all"))
-    fold = F.aggregate(F.slice("all", F.lit(2), F.size("all") - 1), F.get("all", F.lit(0))["kph"], lambda a, x: a + (x["kph"] - a) * alpha)
-    return rows.select("gid", fold.alias("kph"), F.size("all").cast("bigint").alias("n"), F.element_at("all", -1)["ts"].alias("ts"))
+    """Smoothed speed of each edge in the order of (ts, event_id), number of observations and last time; unrounded.
+
+    The fold speed + alpha (x - speed) is a sum with weights by how many observations follow, so it is a window and a sum that
+    adds up before the shuffle, and no edge's observations are gathered. Weights below the least double are 0.
+    """
+    later = F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("ts"), F.desc("event_id"))) - 1
+    rows = observations.withColumn("later", later).withColumn("first", F.count("*").over(Window.partitionBy("gid")) - 1 == F.col("later"))
+    weight = F.pow(F.lit(1.0 - alpha), F.col("later")) * F.when(F.col("first"), 1.0).otherwise(alpha)
+    return rows.groupBy("gid").agg(F.sum(weight * F.col("kph")).alias("kph"), F.count("*").alias("n"), F.max("ts").alias("ts"))
 
 
 def ewma_with_expiry(observations: DataFrame, alpha: float = ALPHA, idle_s: int = IDLE_S) -> DataFrame:
@@ -89,19 +94,18 @@ def annotate_route(edges: DataFrame, speeds: DataFrame) -> DataFrame:
 
 
 def uncovered_windows(edges: DataFrame, most_m: float = 2000.0) -> DataFrame:
-    """Windows of edges without speed in each leg: contiguous, closed before they exceed most_m; a greedy fold in order."""
-    item = F.struct("pos", "gid", "length_m", F.col("live_kph").isNull().alias("bare"))
-    rows = edges.groupBy("leg").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    start = F.struct(F.lit(-1).alias("window"), F.lit(0.0).alias("m"), F.lit(False).alias("open"), F.array().cast("array<struct<gid:bigint,window:int>>").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        fits = s["open"] & (s["m"] + e["length_m"] <= most_m)
-        window = F.when(e["bare"] & ~fits, s["window"] + 1).otherwise(s["window"])
-        m = F.when(~e["bare"], 0.0).when(fits, s["m"] + e["length_m"]).otherwise(e["length_m"])
-        out = F.when(e["bare"], F.concat(s["out"], F.array(F.struct(e["gid"].alias("gid"), window.alias("window"))))).otherwise(s["out"])
-        return F.struct(window.alias("window"), m.alias("m"), e["bare"].alias("open"), out.alias("out"))
-
-    return rows.select("leg", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("w")).select("leg", "w.gid", "w.window")
+    """Windows of edges without speed in each leg: contiguous, closed before they exceed most_m; a greedy pass in order."""
+
+    def step(state: tuple[int, float, bool], gid: int, length_m: float, bare: bool) -> tuple[tuple, tuple | None]:
+        window, m, is_open = state
+        if not bare:
+            return (window, 0.0, False), None
+        fits = is_open and m + length_m <= most_m
+        window, m = (window, m + length_m) if fits else (window + 1, length_m)
+        return (window, m, True), (gid, window)
+
+    rows = edges.withColumn("bare", F.col("live_kph").isNull()).withColumn("gid", F.col("gid").cast("bigint")).withColumn("length_m", F.coalesce(F.col("length_m").cast("double"), F.lit(0.0)))
+    return ordered_fold(rows, ["leg"], ["pos"], ["gid", "length_m", "bare"], "gid bigint, window int", lambda: (-1, 0.0, False), step)
 
 
 def tile_rollup(speeds: DataFrame, fresh_from: Column, shards: int = 16) -> DataFrame:

@@ -89,7 +89,10 @@ def request_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("second", F.col("second").cast("timestamp_ntz"))
 
 
-@query()
+@query(f"""{with_('usage_events').replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT tenant, strftime(ts, '%Y-%m') AS period, event_id, milli, row_number() OVER (PARTITION BY tenant, strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS n FROM usage_events),
+r AS (SELECT tenant, period, n, event_id, milli <= 20000 AS accepted, CASE WHEN milli <= 20000 THEN CAST(milli AS BIGINT) ELSE 0 END AS used FROM e WHERE n = 1
+UNION ALL SELECT e.tenant, e.period, e.n, e.event_id, r.used + e.milli <= 20000, CASE WHEN r.used + e.milli <= 20000 THEN r.used + e.milli ELSE r.used END FROM r JOIN e ON e.tenant = r.tenant AND e.period = r.period AND e.n = r.n + 1)
+SELECT tenant, period, event_id, accepted, used FROM r""")
 def quota_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metering.quota_replay(table(spark, sf_dir, "usage_events"), 20_000)
 
@@ -144,7 +147,10 @@ def route_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.coverage(table(spark, sf_dir, "route_edges").withColumn("kph", F.when(F.col("kph") > 20, F.col("kph"))))
 
 
-@query()
+@query(f"""{with_('route_edges').replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT leg, event_id AS gid, length_m * 10 AS m, NOT coalesce(kph > 20, FALSE) AS bare, row_number() OVER (PARTITION BY leg ORDER BY event_id) AS n FROM route_edges),
+r AS (SELECT leg, n, gid, bare, CASE WHEN bare THEN 0 ELSE -1 END AS win, CASE WHEN bare THEN m ELSE 0.0 END AS total FROM e WHERE n = 1
+UNION ALL SELECT e.leg, e.n, e.gid, e.bare, CASE WHEN e.bare AND NOT (r.bare AND r.total + e.m <= 2000) THEN r.win + 1 ELSE r.win END, CASE WHEN NOT e.bare THEN 0.0 WHEN r.bare AND r.total + e.m <= 2000 THEN r.total + e.m ELSE e.m END FROM r JOIN e ON e.leg = r.leg AND e.n = r.n + 1)
+SELECT leg, gid, win AS "window" FROM r WHERE bare""")
 def uncovered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "route_edges").select("leg", F.col("event_id").alias("pos"), F.col("event_id").alias("gid"), (F.col("length_m") * 10).alias("length_m"), F.when(F.col("kph") > 20, F.col("kph")).alias("live_kph"))
     return traffic.uncovered_windows(rows)
