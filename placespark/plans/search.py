@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placespark.functions.text import looks_like_address, normal_text, street_form, suggestion_form, tokens, with_ordinals_swapped
+from placespark.intermediate import written
 from placespark.operators import search
 from placespark.plans.fixtures import table
 
@@ -86,7 +87,7 @@ def cross_field_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forward_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer's name, shortened, looked up among all places."""
     places = table(spark, sf_dir, "places").withColumns({"name_en": F.lower("name"), "tags_text": F.col("category_value"), "addr_housenumber": F.regexp_extract("osm_id", r"(\d+)", 1)})
-    index = search.postings(places, ["name", "name_en", "tags_text"])
+    index = written(search.postings(places, ["name", "name_en", "tags_text"]))
     queries = table(spark, sf_dir, "points").select(F.col("p_id").cast("string").alias("query"), F.concat(F.lit("Customer#"), F.lpad(F.col("p_id").cast("string"), 9, "0")).alias("q"), F.col("p_lat").alias("bias_lat"), F.col("p_lon").alias("bias_lon"), F.col("p_id").cast("string").alias("asked_number"))
     found = search.forward_geocode(queries, places.select("osm_id", "lat", "lon", "offline_rank", "popularity", "addr_housenumber"), index, search.corpus_statistics(index))
     return found.select("query", "doc", "final", "rank", "confidence")

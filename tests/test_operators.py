@@ -1,5 +1,6 @@
 """Small cases with known results, edges, and plans."""
 
+import random
 import datetime as dt
 
 import pytest
@@ -344,3 +345,16 @@ def test_suppressed_requests(spark):
     asked = spark.createDataFrame([("a", t), ("b", t)], "window_id string, ts timestamp")
     empty = spark.createDataFrame([("a", t - dt.timedelta(seconds=100)), ("b", t - dt.timedelta(seconds=400))], "window_id string, ts timestamp")
     assert [r.window_id for r in traffic.suppressed(asked, empty).collect()] == ["b"]
+
+
+def test_candidates_hold_the_best(spark):
+    """Batch geocoding with common tokens gives what scoring every place gives."""
+    rng = random.Random(8)
+    kinds, words = ["cafe", "hotel", "bank"], [f"w{i}" for i in range(40)]
+    places = [(f"n{i}", " ".join([rng.choice(kinds), *rng.sample(words, rng.randrange(1, 4))]), rng.choice(kinds), 30.0 + i / 1000, 31.0, float(i % 7), float(i % 3), str(i)) for i in range(700)]
+    places = spark.createDataFrame(places, "osm_id string, name string, tags_text string, lat double, lon double, offline_rank double, popularity double, addr_housenumber string")
+    queries = spark.createDataFrame([(str(i), t, 30.2, 31.0, None) for i, t in enumerate(["cafe", "cafe w3", "hotel bank w5 w6", "cafs w11", "w1", "nothing", "bank hotel"])], "query string, q string, bias_lat double, bias_lon double, asked_number string")
+    index = search.postings(places, ["name", "tags_text"])
+    statistics = search.corpus_statistics(index)
+    got, want = ({(r["query"], r["doc"], r["rank"]) for r in search.forward_geocode(queries, places, index, statistics, max_df=m).collect()} for m in (20, 10_000))
+    assert got == want and len(got) > 50
