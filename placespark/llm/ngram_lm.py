@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placespark.llm.elias_fano import EliasFano, Level, mapped
-from placespark.llm.tables import fitting_partitions, written
+from placespark.llm.tables import discard, written
 from placespark.llm.text import LOWER, NON_SPACE, mix, span_hashes, text_blocks, word_bounds
 
 ORDER = 3
@@ -54,14 +54,14 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
-def pack_keys(context: np.ndarray, word: np.ndarray) -> bytes:
-    """Ascending (context, word): contexts by their differences, words as they are."""
-    return packed(np.concatenate([np.diff(context, prepend=np.int64(0)), word]), np.int64)
+def pack_keys(context: np.ndarray, word: np.ndarray, shards: int) -> bytes:
+    """Ascending (context, word): contexts by the differences of their quotients and by remainders, words as they are."""
+    return packed(np.concatenate([np.diff(context // shards, prepend=np.int64(0)), context % shards, word]), np.int64)
 
 
-def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    context, word = np.split(unpacked(data, np.int64), 2)
-    return np.cumsum(context), word
+def unpack_keys(data: bytes, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    quotient, remainder, word = np.split(unpacked(data, np.int64), 3)
+    return np.cumsum(quotient) * shards + remainder, word
 
 
 def pack_words(words: np.ndarray) -> bytes:
@@ -72,9 +72,26 @@ def unpack_words(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
+def pack_places(place: np.ndarray) -> bytes:
+    """Ascending places, -1 for none, by their differences; 0 stands for none."""
+    has = place >= 0
+    steps = np.zeros(len(place), np.int64)
+    steps[has] = np.diff(place[has], prepend=np.int64(-1))
+    return packed(steps, np.int64)
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    steps = unpacked(data, np.int64)
+    return np.where(steps > 0, np.cumsum(steps) - 1, -1)
+
+
 def ascending(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of (context, word), and where in it a new pair begins."""
-    order = np.lexsort((word, context))
+    bits = int(word.max(initial=0)).bit_length()
+    if int(context.max(initial=0)).bit_length() + bits <= 63:  # one sort of one number is the faster way
+        order = np.argsort(context << bits | word)
+    else:
+        order = np.lexsort((word, context))
     new = np.ones(len(order), bool)
     new[1:] = (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0)
     return order, new
@@ -176,14 +193,15 @@ def _words_answered(shards: int, hot: int):
         words = every[place]
         shard = table.column("shard")[0].as_py()
         held = EliasFano(mapped(EliasFano.pack(words)))
+        number = np.empty(len(words), np.int64)
+        number[np.argsort(-sums, kind="stable")] = np.arange(len(words)) * shards + shard + FIRST  # frequent words have small numbers, which compress well
         rows = []
         for chunk, own in zip(table.column("chunk").to_pylist(), keys, strict=True):
             place = held.find(own)
-            numbers = np.where(place >= 0, place * shards + shard + FIRST, -1)
-            counts = np.where(place >= 0, sums[np.maximum(place, 0)], 0) if len(sums) else np.zeros(len(own), np.int64)
+            numbers, counts = (np.where(place >= 0, x[np.maximum(place, 0)], y) if len(words) else np.full(len(own), y) for x, y in ((number, -1), (sums, 0)))
             rows.append((chunk, shard, 1, packed(numbers, np.int64), packed(counts, np.int64), None, None, None, None))
         often = np.flatnonzero(sums > hot)
-        rows.append((-1, shard, 1, None, None, None, len(words), (often * shards + shard + FIRST).tolist(), sums[often].tolist()))
+        rows.append((-1, shard, 1, None, None, None, len(words), number[often].tolist(), sums[often].tolist()))
         return _answer(rows)
 
     return answer
@@ -193,7 +211,7 @@ def _grams_answered(level: int, shards: int, hot: int, hot_counts, last: bool, m
     """Level 2 and on: a shard's level of the trie, packed, mapped and asked."""
 
     def answer(table: pa.Table) -> pa.Table:
-        keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
+        keys = [unpack_keys(k, shards) for k in table.column("keys").to_pylist()]
         context, word = (np.concatenate(x) for x in zip(*keys, strict=True))
         place, sums = _taught(*ascending(context, word), _counts(table))
         context, word = context[place], word[place]
@@ -211,8 +229,8 @@ def _grams_answered(level: int, shards: int, hot: int, hot_counts, last: bool, m
             at = np.maximum(place, 0)
             seen = place >= 0
             codes, backoffs = (np.where(seen, x[at], 0) if len(sums) else np.zeros(len(place)) for x in (trie.codes, trie.backoffs))
-            numbers = np.where(seen & (sums[at] >= min_context), at * shards + shard, -1) if len(sums) else np.full(len(place), -1)
-            rows.append((chunk, shard, level, None if last else packed(numbers, np.int64), packed(codes, np.uint16), None if last else packed(backoffs, np.uint16), None, None, None))
+            known = np.where(seen & (sums[at] >= min_context), at, -1) if len(sums) else place
+            rows.append((chunk, shard, level, None if last else pack_places(known), packed(codes, np.uint16), None if last else packed(backoffs, np.uint16), None, None, None))
         often = np.flatnonzero(sums > hot)
         rows.append((-1, shard, level, None, None, None, len(sums), (often * shards + shard).tolist(), sums[often].tolist()))
         return _answer(rows)
@@ -226,7 +244,6 @@ class Chunk:
     def __init__(self, row: dict, answers: list[dict], shards: int, hot: list[set], n_texts: int, min_context: int):
         self.number, self.ids, self.train = row["chunk"], row["doc_ids"], np.array(row["train"], bool)
         self.sizes = np.array(row["sizes"], np.int64)
-        words = np.frombuffer(row["vocabulary"], np.uint64)
         tokens = unpacked(row["tokens"], np.uint32)
         self.last = np.cumsum(self.sizes + 2) - 1
         self.first = self.last - self.sizes - 1
@@ -236,11 +253,7 @@ class Chunk:
         by_level: dict[int, dict[int, dict]] = {}
         for a in answers:
             by_level.setdefault(a["level"], {})[a["shard"]] = a
-        numbers, counts = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
-        place = np.argsort(words, kind="stable")
-        for s, own in zip(*_by_shard(word_shard(words, shards)[place]), strict=True):
-            a, own = by_level[1][int(s)], place[own]
-            numbers[own], counts[own] = unpacked(a["numbers"], np.int64), unpacked(a["codes"], np.int64)
+        numbers, counts = (unpacked(by_level[1][-1][c], np.int64) for c in ("numbers", "codes"))
         self.word, self.count = np.full(size, -1, np.int64), np.zeros(size, np.int64)
         self.word[inner], self.count[inner] = numbers[tokens], counts[tokens]
         self.word[self.first], self.word[self.last] = BEGIN, END
@@ -266,11 +279,12 @@ class Chunk:
         return place, context[first], word[first], which
 
     def shard_of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        key = context.astype(np.uint64)
+        """A number's remainder is the shard that gave it, so contexts are spread as well as what came before them."""
+        shard = context % self.shards
         if self.hot[self.level - 1]:
             hot = np.isin(context, np.array(sorted(self.hot[self.level - 1]), np.int64))
-            key = np.where(hot, mix(key) ^ word.astype(np.uint64), key)
-        return (mix(key) % np.uint64(self.shards)).astype(np.int64)
+            shard = np.where(hot, (mix(mix(context.astype(np.uint64)) ^ word.astype(np.uint64)) % np.uint64(self.shards)).astype(np.int64), shard)
+        return shard
 
     def _step(self, answers: dict[int, dict]) -> None:
         place, context, word, which = self.keys()
@@ -279,7 +293,8 @@ class Chunk:
             a = answers[int(s)]
             codes[own] = unpacked(a["codes"], np.uint16)
             if a["numbers"] is not None:
-                numbers[own], backoffs[own] = unpacked(a["numbers"], np.int64), unpacked(a["backoffs"], np.uint16)
+                known = unpack_places(a["numbers"])
+                numbers[own], backoffs[own] = np.where(known >= 0, known * self.shards + int(s), -1), unpacked(a["backoffs"], np.uint16)
         share, rest = np.zeros(len(self.word)), np.ones(len(self.word))
         after = np.flatnonzero(self.node[:-1] >= 0) + 1  # unknown words too
         share[place], rest[after] = probability(codes)[which], self.backoff[after - 1]
@@ -291,7 +306,7 @@ class Chunk:
 
     def asked(self) -> pa.RecordBatch:
         place, context, word, which = self.keys()
-        return _asked(self.number, self.shard_of(context, word), np.bincount(which, self.trained[place], minlength=len(word)), lambda own: pack_keys(context[own], word[own]))
+        return _asked(self.number, self.shard_of(context, word), np.bincount(which, self.trained[place], minlength=len(word)), lambda own: pack_keys(context[own], word[own], self.shards))
 
     def scores(self, total: int, types: int) -> pa.RecordBatch:
         p = (self.count + 0.5) / (total + 0.5 * (types + 1))
@@ -307,6 +322,22 @@ class Chunk:
         return pa.RecordBatch.from_arrays([pa.array(self.ids, pa.int64()), pa.array(~self.train), pa.array(self.sizes + 1), pa.array(sums[0]), pa.array(np.full(len(self.sizes), total)), pa.array(sums[1]), pa.array(sums[2])], names=names)
 
 
+def _lexicon(shards: int):
+    """The numbers and counts of a chunk's words, from its vocabulary and the shards' answers."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        by_shard, rows = {a["shard"]: a for a in right.to_pylist()}, []
+        for c in left.to_pylist():
+            words = np.frombuffer(c["vocabulary"], np.uint64)
+            numbers, counts, place = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64), np.argsort(words, kind="stable")
+            for s, own in zip(*_by_shard(word_shard(words, shards)[place]), strict=True):
+                numbers[place[own]], counts[place[own]] = unpacked(by_shard[int(s)]["numbers"], np.int64), unpacked(by_shard[int(s)]["codes"], np.int64)
+            rows.append((c["chunk"], -1, 1, packed(numbers, np.int64), packed(counts, np.int64), None, None, None, None))
+        return _answer(rows)
+
+    return run
+
+
 def word_shard(words: np.ndarray, shards: int) -> np.ndarray:
     return (words % np.uint64(shards)).astype(np.int64)
 
@@ -318,7 +349,7 @@ def lm_scores(documents: DataFrame, train: Column, *, order: int = ORDER, min_co
     row = chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x + 1)), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0))).first()
     total, tokens, n_texts = int(row[0]), int(row[1]), int(row[2])
     shards = max(1, -(-tokens // shard_tokens))
-    hot = 4 * shard_tokens
+    hot = shard_tokens
 
     def words_asked(batches):
         for batch in batches:
@@ -329,29 +360,33 @@ def lm_scores(documents: DataFrame, train: Column, *, order: int = ORDER, min_co
                 words, counts = words[place], counts[place]
                 yield _asked(r["chunk"], word_shard(words, shards), counts, lambda own, words=words: pack_words(words[own]))
 
-    answers = written(chunks.select("chunk", "train", "sizes", "vocabulary", "tokens").mapInArrow(words_asked, ASKED).repartition(shards, "shard").groupBy("shard").applyInArrow(_words_answered(shards, hot), ANSWER))
-    types = int(answers.where("level = 1").agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]) + (n_texts > 0)
+    def of_chunks(left: DataFrame, right: DataFrame, work, schema: str) -> DataFrame:
+        return left.repartition(shards, "chunk").groupBy("chunk").cogroup(right.where("chunk >= 0").repartition(shards, "chunk").groupBy("chunk")).applyInArrow(work, schema)
+
+    words = written(chunks.select("chunk", "train", "sizes", "vocabulary", "tokens").mapInArrow(words_asked, ASKED).repartition(shards, "shard").groupBy("shard").applyInArrow(_words_answered(shards, hot), ANSWER))
+    types = int(words.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]) + (n_texts > 0)
+
+    def hot_of(table: DataFrame) -> dict[int, int]:
+        """Contexts of more than `hot` counts: at most tokens / hot."""
+        return {i: c for r in table.where("chunk < 0").select("hot", "hot_counts").collect() for i, c in zip(r[0], r[1], strict=True)}
+
+    counts = hot_of(words) | ({BEGIN: n_texts} if n_texts > hot else {})
+    answers = written(of_chunks(chunks.select("chunk", "vocabulary"), words, _lexicon(shards), ANSWER))
+    discard(words)
     hot_sets: list[set] = []
 
     def with_answers(work, schema: str) -> DataFrame:
-        known, sets, n = answers.where("chunk >= 0"), list(hot_sets), n_texts
+        sets, n = list(hot_sets), n_texts
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             rows = right.to_pylist()
             return pa.Table.from_batches([work(Chunk(c, rows, shards, sets, n, min_context)) for c in left.to_pylist()])
 
-        return chunks.repartition(shards, "chunk").groupBy("chunk").cogroup(known.repartition(shards, "chunk").groupBy("chunk")).applyInArrow(run, schema)
-
-    def hot_of(level: int) -> dict[int, int]:
-        """Contexts of more than `hot` counts: at most tokens / hot."""
-        found = {i: c for r in answers.where((F.col("chunk") < 0) & (F.col("level") == level)).select("hot", "hot_counts").collect() for i, c in zip(r[0], r[1], strict=True)}
-        if level == 1 and n_texts > hot:
-            found[BEGIN] = n_texts
-        return found
+        return of_chunks(chunks.drop("vocabulary"), answers, run, schema)
 
     for level in range(2, order + 1):
-        counts = hot_of(level - 1)
         hot_sets.append(set(counts))
         asked = with_answers(lambda c: c.asked(), ASKED)
-        answers = answers.unionByName(written(asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_grams_answered(level, shards, hot, spark.sparkContext.broadcast(counts), level == order, min_context), ANSWER)))
+        made = written(asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_grams_answered(level, shards, hot, spark.sparkContext.broadcast(counts), level == order, min_context), ANSWER))
+        counts, answers = hot_of(made), answers.unionByName(made)
     return with_answers(lambda c: c.scores(total, types), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -1,9 +1,7 @@
-"""Columns, Arrow maps and written intermediate tables shared by the operators."""
+"""Arrow maps and intermediate tables shared by the operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,34 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placespark.intermediate import shared_folder, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's; only if neither is set (tests) a new one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+__all__ = ["arrow_map", "discard", "fitting_partitions", "shared_folder", "written"]
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, cut from its lineage, safe when executors go.
-
-    The shuffle files of the write are no longer needed then, and Spark is told to remove them at its end.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+def discard(table: DataFrame) -> None:
+    """Remove a written table that nothing will read again, as what was made of it is written itself."""
+    files, spark = table.inputFiles(), table.sparkSession
+    if files and "/table-" in files[0]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def arrow_map(df: DataFrame, inputs: dict[str, Column | str], outputs: str, function: Callable[..., list], keep: list[str] | None = None) -> DataFrame:
