@@ -5,7 +5,7 @@ Every text gets a vote (bad, none, good) from each labeller. What the estimation
 pattern of votes occurs: at most 3 ** 8 counts, over all documents. EM fits, for each class, each labeller's vote
 probabilities, beginning with the majority; it gives every pattern a posterior. The scorer sees hashed words, shapes of
 words and pairs of shapes, averaged over the text; it is fitted by gradient steps to the posteriors of a sample of about
-`most` texts, chosen by their hashes and one of each copy, and scores all.
+`most` texts (a parameter), chosen by their hashes and one of each copy, whole, by the counts of their features; it scores all.
 
 Null and empty texts have no words: most labellers don't vote, and the scorer gives its bias. With no documents there
 are no rows. Repeated rows score alike.
@@ -128,17 +128,22 @@ def features_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found) if found else np.zeros(0, np.uint64)).astype(np.int64), counts
 
 
-def _fit(places: list[np.ndarray], target: np.ndarray, rounds: int) -> np.ndarray:
-    """Weights (the last is the bias) of a logistic scorer of averaged features, by adaptive gradient steps."""
-    flat = np.concatenate(places) if places else np.zeros(0, np.int64)
-    sizes = np.array([len(p) for p in places])
+def counted_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct features of all texts in a row, how often each stands in its text, and how many distinct ones each text has."""
+    places, n = features_of(texts)
+    keys, times = np.unique(np.repeat(np.arange(len(n)), n) * DIMENSIONS + places, return_counts=True)
+    return keys % DIMENSIONS, times, np.bincount(keys // DIMENSIONS, minlength=len(n))
+
+
+def _fit(places: np.ndarray, times: np.ndarray, sizes: np.ndarray, target: np.ndarray, rounds: int) -> np.ndarray:
+    """Weights (the last is the bias) of a logistic scorer of averaged features, by adaptive gradient steps; sizes[i] of the places are those of row i."""
     of = np.repeat(np.arange(len(sizes)), sizes)
-    part = 1.0 / np.maximum(1, sizes)
+    share = times / np.maximum(1, np.bincount(of, times, minlength=len(sizes)))[of]
     w, scale = np.zeros(DIMENSIONS + 1), np.full(DIMENSIONS + 1, 1e-8)
     for _ in range(rounds):
-        z = np.bincount(of, w[flat], minlength=len(sizes)) * part + w[-1]
+        z = np.bincount(of, w[places] * share, minlength=len(sizes)) + w[-1]
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(sizes)
-        step = np.append(np.bincount(flat, (error * part)[of], minlength=DIMENSIONS), error.sum()) + 1e-7 * w
+        step = np.append(np.bincount(places, error[of] * share, minlength=DIMENSIONS), error.sum()) + 1e-7 * w
         scale += step * step
         w -= 0.3 * step / np.sqrt(scale)
     return w
@@ -155,14 +160,15 @@ def train(documents: DataFrame, text: str = "text", most: int = MOST, rounds: in
     sample = hashed.where(F.pmod("place", F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def features(texts: pa.Array) -> list[pa.Array]:
-        places, n = features_of(texts)
-        return [pa.array(pattern_of(votes_of(texts)).astype(np.int32)), ragged(places, n, pa.int32())]
-
-    rows = arrow_map(sample, {"texts": F.col("text")}, "pattern int, places array<int>", features, keep=["place"])
-    rows = rows.select("place", "pattern", F.slice(F.shuffle("places", F.lit(7)), 1, 1500).alias("places")).dropDuplicates(["place"]).toArrow()
-    target = table[rows.column("pattern").to_numpy()] if rows.num_rows else np.zeros(0)
-    places = [np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in rows.column("places")]
-    return table, _fit(places, target, rounds) if places else np.zeros(DIMENSIONS + 1)
+        places, times, n = counted_features(texts)
+        return [pa.array(pattern_of(votes_of(texts)).astype(np.int32)), ragged(places, n, pa.int32()), ragged(times, n, pa.int32())]
+
+    rows = arrow_map(sample, {"texts": F.col("text")}, "pattern int, places array<int>, times array<int>", features, keep=["place"]).dropDuplicates(["place"]).toArrow()
+    if not rows.num_rows:
+        return table, np.zeros(DIMENSIONS + 1)
+    places, times = (rows.column(c).combine_chunks() for c in ("places", "times"))
+    sizes = places.value_lengths().to_numpy(zero_copy_only=False)
+    return table, _fit(places.flatten().to_numpy(), times.flatten().to_numpy(), sizes, table[rows.column("pattern").to_numpy()], rounds)
 
 
 def with_quality(documents: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
