@@ -4,8 +4,11 @@ The greatest inner products are the least distances once every data vector gets
 them the same length, and queries get 0 there. Pivots from a bounded sample split the space; data and queries go to
 their nearest pivot's cell. Summaries of the cells (count, greatest distance and the k + 1 nearest ids to the pivot)
 bound, for each cell of queries, the distance of its k-th neighbours, and so by the triangle inequality which data can
-matter to it: only those are replicated to that cell, and in parts of at most rows_a_task rows, so that no cell, however
-many equal vectors it holds, is a single task. Each part gives its k best for each query; the k best of all parts stay.
+matter to it. Cells of queries whose data mostly coincide form a group (from the summaries: joining them must save a
+quarter of their rows), and data are replicated to groups, not cells: where no bound prunes anything, all cells are one group and
+each row is sent once for each block of queries. A group is dealt in parts of at most rows_a_task rows and blocks of at most
+queries_a_task queries, so that no cell, however many equal vectors it holds, is a single task. Each part gives its k best for
+each query; the k best of all parts stay.
 
 Components become floor(scale * x), and scores are sums of their products, exact as 64-bit integers (larger sums aren't supported). Vectors that are
 null or hold null, NaN or infinity, and rows without id, take no part; shorter vectors count as filled up with zeros, an
@@ -28,6 +31,7 @@ SAMPLE = 2048
 PIVOTS = 32
 ROWS_A_TASK = 100_000
 QUERIES_A_TASK = 4_000
+BINS = 256
 EXACT = float(1 << 53)
 
 
@@ -86,6 +90,37 @@ class Cells:
         return low, high
 
 
+def groups_of(low: np.ndarray, high: np.ndarray, queries: list[int], counts: dict[int, np.ndarray], width: float) -> list[list[int]]:
+    """Groups of query cells: the two that save most are joined as long as that saves a quarter of their rows.
+
+    low and high: the range of distances that each query cell needs of each data cell; counts: rows of each data cell by
+    distance, in bins of width. Everything is a few numbers for each cell.
+    """
+
+    def rows(lo: np.ndarray, hi: np.ndarray) -> float:
+        total = 0.0
+        for j, n in counts.items():
+            if hi[j] >= lo[j] and hi[j] >= 0:
+                first, last = max(0, int(max(lo[j], 0) // width)), min(len(n) - 1, int(min(hi[j], width * len(n)) // width))
+                total += float(n[first : last + 1].sum())
+        return total
+
+    groups = [([i], low[i], high[i], rows(low[i], high[i])) for i in queries]
+    while True:
+        best = None
+        for a in range(len(groups)):
+            for b in range(a):
+                lo, hi = np.minimum(groups[a][1], groups[b][1]), np.maximum(groups[a][2], groups[b][2])
+                apart = groups[a][3] + groups[b][3]
+                together = rows(lo, hi)
+                if together <= 0.75 * apart and (best is None or apart - together > best[0]):
+                    best = (apart - together, a, b, lo, hi, together)
+        if best is None:
+            return [g[0] for g in groups]
+        _, a, b, lo, hi, n = best
+        groups = [g for i, g in enumerate(groups) if i not in (a, b)] + [(sorted(groups[a][0] + groups[b][0]), lo, hi, n)]
+
+
 def _usable(vector: Column) -> Column:
     x = vector.cast("array<double>")
     return vector.isNotNull() & ~F.coalesce(F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True))
@@ -98,7 +133,10 @@ def top_k(data: DataFrame, is_query: Column, *, k: int = 5, vec_id: str = "vec_i
     whole = data.where(_usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("bigint").alias("vec_id"), F.transform(F.col(vector).cast("array<double>"), lambda v: F.floor(v * scale)).alias("x"), is_query.alias("asks"))
     whole = written(whole)
     length = F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    width, longest = whole.agg(F.max(F.size("x")), F.max(length)).first()
+    most = F.greatest(F.abs(F.array_max("x")), F.abs(F.array_min("x")))
+    width, longest, most = whole.agg(F.max(F.size("x")), F.max(length), F.max(most)).first()
+    whole = whole.withColumn("x", F.col("x").cast("array<smallint>")) if (most or 0) < 1 << 15 else whole  # what is shuffled is as small as it can be
+    kind = dict(whole.dtypes)["x"]
     answer = "query_id bigint, rank int, vec_id bigint, score bigint"
     if not width:  # no vectors at all, or only empty ones, whose scores are all 0
         width, longest = 1, 0.0
@@ -116,7 +154,7 @@ def top_k(data: DataFrame, is_query: Column, *, k: int = 5, vec_id: str = "vec_i
             cell, distance = held.value.nearest(points)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array(cell.astype(np.int32)), pa.array(distance)], names=["vec_id", "x", "cell", "distance"])
 
-    shape = "vec_id bigint, x array<bigint>, cell int, distance double"
+    shape = f"vec_id bigint, x {kind}, cell int, distance double"
     stored = whole.select("vec_id", "x", F.lit(False).alias("as_query")).mapInArrow(assign, shape)
     asked = whole.where("asks").groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("as_query", F.lit(True)).mapInArrow(assign, shape)
     stored, asked = written(stored.withColumn("number", F.monotonically_increasing_id())), written(asked)
@@ -125,20 +163,29 @@ def top_k(data: DataFrame, is_query: Column, *, k: int = 5, vec_id: str = "vec_i
     by_id = stored.groupBy("cell", "vec_id").agg(F.min("distance").alias("distance"))
     nearest = by_id.select("cell", "vec_id", "distance", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part")).withColumn("place", place).where(F.col("place") <= k + 1)
     least = {r[0]: sorted(r[1])[: k + 1] for r in nearest.groupBy("cell").agg(F.collect_list(F.struct("distance", "vec_id"))).collect()}
-    count = {r[0]: r[1] for r in stored.groupBy("cell").count().collect()}
     queries = {r[0]: (r[1], r[2]) for r in asked.groupBy("cell").agg(F.max("distance"), F.count("*")).collect()}
     if not queries:
         return spark.createDataFrame([], answer)
     low, high = cells.bounds({i: r for i, (r, _) in queries.items()}, least, k)
-    needed = {i: sum(n for j, n in count.items() if high[i, j] >= low[i, j]) for i in queries}
-    parts = {i: max(1, -(-n // rows_a_task)) for i, n in needed.items()}
-    blocks = {i: max(1, -(-n // queries_a_task)) for i, (_, n) in queries.items()}
-    plan = spark.sparkContext.broadcast((low, high, parts, blocks))
+    step = 2.0 * max(float(longest) ** 0.5, 1.0) / BINS
+    found = stored.groupBy("cell", F.least(F.floor(F.col("distance") / step), F.lit(BINS - 1)).cast("int").alias("bin")).count().collect()
+    counts = {j: np.zeros(BINS) for j in {r[0] for r in found}}
+    for j, place, n in found:
+        counts[j][place] = n
+    groups = groups_of(low, high, sorted(queries), counts, step)
+    low, high = np.array([low[g].min(axis=0) for g in groups]), np.array([high[g].max(axis=0) for g in groups])
+    group_of = np.full(len(cells.pivots), -1)
+    for g, members in enumerate(groups):
+        group_of[members] = g
+    needed = [sum(counts[j].sum() for j in counts if high[g, j] >= low[g, j]) for g in range(len(groups))]
+    parts = {g: max(1, int(-(-n // rows_a_task))) for g, n in enumerate(needed)}
+    blocks = {g: max(1, -(-sum(queries[i][1] for i in members) // queries_a_task)) for g, members in enumerate(groups)}
+    plan = spark.sparkContext.broadcast((low, high, parts, blocks, group_of))
 
     def replicate(batches):
-        """Each data row to every query cell that it can matter to: a row for each block of that cell's queries."""
+        """Each data row to every group that it can matter to: a row for each block of that group's queries."""
         for batch in batches:
-            low, high, parts, blocks = plan.value
+            low, high, parts, blocks, _ = plan.value
             cell, distance = batch.column("cell").to_numpy(), batch.column("distance").to_numpy()
             number = batch.column("number").to_numpy().view(np.uint64)  # not the id: rows of one id stay apart
             spread = number * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
@@ -150,10 +197,10 @@ def top_k(data: DataFrame, is_query: Column, *, k: int = 5, vec_id: str = "vec_i
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), i, np.int32)), pa.array(np.full(len(rows), b, np.int32)), pa.array(part), *some.columns], names=["cell", "block", "part", "vec_id", "x"])
 
     def deal(batches):
-        """Each query to every part of its cell's data."""
+        """Each query to every part of its group's data."""
         for batch in batches:
-            _, _, parts, blocks = plan.value
-            cell = batch.column("cell").to_numpy()
+            _, _, parts, blocks, group_of = plan.value
+            cell = group_of[batch.column("cell").to_numpy()]
             for i in np.unique(cell).tolist():
                 rows = np.flatnonzero(cell == i)
                 some = batch.select(["vec_id", "x"]).take(pa.array(rows))
@@ -184,7 +231,7 @@ def top_k(data: DataFrame, is_query: Column, *, k: int = 5, vec_id: str = "vec_i
                     out[2] += s[chosen].tolist()
         return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(["query_id", "vec_id", "score"], out, strict=True)})
 
-    keyed = "cell int, block int, part int, vec_id bigint, x array<bigint>"
+    keyed = f"cell int, block int, part int, vec_id bigint, x {kind}"
     left = asked.select("vec_id", "x", "cell").mapInArrow(deal, keyed).groupBy("cell", "block", "part")
     right = stored.mapInArrow(replicate, keyed).groupBy("cell", "block", "part")
     found = left.cogroup(right).applyInArrow(solve, "query_id bigint, vec_id bigint, score bigint")

@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from placespark.llm import knn
 
 
@@ -54,3 +56,42 @@ def test_own_rows_repeated_at_a_pivot(spark):
         assert run(spark, rows, **more) == want
     spread = [(0, [1.0, i / 50], 1, None) for i in range(50)] + rows[50:]
     assert run(spark, spread) == brute([r[:2] for r in spread])
+
+
+def test_groups_of_cells(spark, sf):
+    """Where bounds prune nothing, all cells are one group; apart clusters stay apart, and nothing is lost."""
+    bins = np.zeros(8)
+    bins[0] = 100
+    counts = {0: bins, 1: bins, 2: bins}
+    everything = np.zeros((3, 3)), np.full((3, 3), 9.0)
+    assert knn.groups_of(*everything, [0, 1, 2], counts, 1.0) == [[0, 1, 2]]
+    own = np.where(np.eye(3) > 0, 0.0, np.inf), np.where(np.eye(3) > 0, 9.0, -np.inf)
+    assert sorted(knn.groups_of(*own, [0, 1, 2], counts, 1.0)) == [[0], [1], [2]]
+
+
+def test_clusters_are_pruned(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(6, 8)) * 20
+    centres /= np.linalg.norm(centres, axis=1)[:, None] / 50
+    vectors = [(i, (centres[i % 6] + rng.normal(size=8) * 0.2).tolist()) for i in range(1200)]
+    frame = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    cells, sent = [], []
+    keep_groups = knn.groups_of
+
+    def watched(low, high, queries, counts, width):
+        groups = keep_groups(low, high, queries, counts, width)
+        sent.append(sum(sum(n.sum() for j, n in counts.items() if high[g].max(axis=0)[j] >= low[g].min(axis=0)[j]) for g in groups))
+        cells.append(len(groups))
+        return groups
+
+    knn.groups_of = watched
+    try:
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in knn.top_k(frame, frame["vec_id"] % 50 == 0, pivots=6).collect()}
+    finally:
+        knn.groups_of = keep_groups
+    x = np.floor(np.array([v for _, v in vectors]) * 256).astype(np.int64)
+    for q in range(0, 1200, 50):
+        scores = x @ x[q]
+        order = [i for i in np.lexsort((np.arange(1200), -scores)).tolist() if i != q][:5]
+        assert [got[q, r + 1] for r in range(5)] == [(i, int(scores[i])) for i in order]
+    assert cells[0] > 1 and sent[0] <= 3 * 1200
