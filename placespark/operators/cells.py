@@ -7,11 +7,14 @@ circle or box touches; the other is in one cell. Hot cells are left to adaptive
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from placespark.functions.geo import EARTH_M, degree_distance, haversine_m, in_polygons, pairs, segment_fraction
+from placespark.intermediate import written
 
 METRES_A_DEGREE = EARTH_M * 3.141592653589793 / 180
 COARSE = 64
@@ -56,12 +59,12 @@ def _circle_box(lat: Column, lon: Column, metres: Column | float) -> tuple[Colum
     return F.greatest(lat - up, F.lit(-90.0)), lon - wide, F.least(lat + up, F.lit(90.0)), lon + wide
 
 
-def radius_join(points: DataFrame, places: DataFrame, metres: float) -> DataFrame:
-    """points (p_lat, p_lon) with every place (lat, lon) within metres, and distance_m."""
+def radius_join(points: DataFrame, places: DataFrame, metres: float, also: list[str] | None = None) -> DataFrame:
+    """points (p_lat, p_lon) with every place (lat, lon) within metres, of equal columns also, and distance_m."""
     step = max(metres / METRES_A_DEGREE, 1e-4)
     reach = points.withColumn("cell", F.explode(cells_of_box(*_circle_box(F.col("p_lat"), F.col("p_lon"), metres), step)))
     held = places.withColumn("cell", home_cell(F.col("lat"), F.col("lon"), step))
-    joined = reach.join(held, "cell").drop("cell").withColumn("distance_m", haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")))
+    joined = reach.join(held, ["cell", *(also or [])]).drop("cell").withColumn("distance_m", haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")))
     return joined.where(F.col("distance_m") <= metres)
 
 
@@ -73,28 +76,27 @@ def degree_join(points: DataFrame, places: DataFrame, degrees: float) -> DataFra
     return joined.where(F.col("degrees") <= degrees)
 
 
-def nearest(points: DataFrame, places: DataFrame, point_id: str, place_id: str, k: int = 1, first_m: float = 500.0, growth: float = 8.0) -> DataFrame:
-    """The k nearest places of every point, by rings of growing radius; a point leaves once it has k within its ring.
+def nearest(points: DataFrame, places: DataFrame, point_id: str, place_id: str, k: int = 1, first_m: float = 500.0) -> DataFrame:
+    """The k nearest places of every point: distance_m and rank.
 
-    Radii grow until they hold half the globe, so every point is answered if there are k places.
+    Places are counted by cells of several sizes, each four times the one before. The smallest size whose cells around a
+    point hold k places bounds how far the k-th can be: under four times the size, as those cells reach two sizes up and
+    three aside at most. Each point is joined once, within that bound; beyond a tenth of the globe the bound is the globe.
     """
+    globe = EARTH_M * 3.2
+    sizes = [first_m]
+    while sizes[-1] * 4 < globe / 10:
+        sizes.append(sizes[-1] * 4)
+    at = lambda level, rows: F.struct(F.lit(level).alias("level"), rows.alias("cell"))
+    steps = [max(m / METRES_A_DEGREE, 1e-4) for m in sizes]
+    held = places.select(F.explode(F.array(*[at(i, home_cell(F.col("lat"), F.col("lon"), step)) for i, step in enumerate(steps)])).alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    touched = [F.transform(cells_of_box(*_circle_box(F.col("p_lat"), F.col("p_lon"), m), step), lambda c, i=i: at(i, c)) for i, (m, step) in enumerate(zip(sizes, steps, strict=True))]
+    around = points.select(point_id, F.explode(F.concat(*touched)).alias("at")).join(held, "at").groupBy(point_id, F.col("at.level").alias("level")).agg(F.sum("n").alias("n"))
+    level = written(points.join(around.where(F.col("n") >= k).groupBy(point_id).agg(F.min("level").alias("level")), point_id, "left").withColumn("level", F.coalesce("level", F.lit(len(sizes)))))
+    found = [radius_join(level.where(F.col("level") == r["level"]).drop("level"), places, sizes[r["level"]] * 4 if r["level"] < len(sizes) - 1 else globe) for r in level.select("level").distinct().collect()]
     order = Window.partitionBy(point_id).orderBy("distance_m", place_id)
-    open_points, done, radius = points, None, first_m
-    while True:
-        last = radius >= EARTH_M * 3.2
-        found = radius_join(open_points, places, min(radius, EARTH_M * 3.2)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        counted = found.withColumn("n", F.count("*").over(Window.partitionBy(point_id)))
-        final = (counted if last else counted.where(F.col("n") >= k)).drop("n")
-        final = final.persist()
-        n_final = final.count()
-        done = final if done is None else done.unionByName(final)
-        if last:
-            return done
-        if n_final:
-            open_points = open_points.join(final.select(point_id).distinct(), point_id, "left_anti")
-        if open_points.isEmpty():
-            return done
-        radius *= growth
+    rows = reduce(DataFrame.unionByName, found) if found else radius_join(points, places, first_m)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def segments(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from placespark.functions.geo import haversine_m, point_at, project
-from placespark.operators.cells import degree_join, nearest_lines
+from placespark.functions.text import street_form
+from placespark.operators.cells import degree_join, nearest_lines, radius_join
 
-#: Metres of one street's cluster, degrees of reach of a line and of neighbours, neighbours judged.
+#: Metres of one street's cluster, metres around a reference point, degrees of reach of a line and of neighbours, neighbours judged.
 CLUSTER_M = 2000.0
+GATHER_M = 25_000.0
 LINE_DEGREES = 0.005
 NEAR_DEGREES = 0.003
 NEIGHBOURS = 20
@@ -45,13 +47,46 @@ def bracketed(found: DataFrame) -> DataFrame:
     return rows.select("req_id", "asked", "exact", F.coalesce("low_same", "low_any").alias("low"), F.coalesce("high_same", "high_any").alias("high"))
 
 
+def on_street(requests: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Each request's addresses of its street: within GATHER_M of the reference point; without one, of its city if it names one.
+
+    Requests near a point meet addresses on street and cell, so that a common street's name is no single key; those with
+    a city on street and city. Only requests with neither meet all addresses of the name.
+    """
+    known = addresses.where(F.col("number").isNotNull())
+    asked = requests if "city" in requests.columns else requests.withColumn("city", F.lit(None).cast("string"))
+    known = known.drop("city") if "city" not in addresses.columns else known.withColumnRenamed("city", "known_city")
+    placed = asked.where(F.col("ref_lat").isNotNull() & F.col("ref_lon").isNotNull()).withColumns({"p_lat": F.col("ref_lat"), "p_lon": F.col("ref_lon")})
+    near = radius_join(placed, known, GATHER_M, ["street_norm"]).drop("p_lat", "p_lon", "distance_m")
+    rest = asked.where(F.col("ref_lat").isNull() | F.col("ref_lon").isNull())
+    out = near.unionByName(rest.where(F.col("city").isNull()).join(known, "street_norm"))
+    if "known_city" in known.columns:
+        in_city = rest.where(F.col("city").isNotNull()).withColumn("city_norm", street_form(F.col("city")))
+        out = out.unionByName(in_city.join(known.withColumn("city_norm", street_form(F.col("known_city"))), ["street_norm", "city_norm"]).drop("city_norm"))
+        out = out.drop("known_city")
+    else:
+        out = out.unionByName(rest.where(F.col("city").isNotNull()).join(known, "street_norm"))
+    return out
+
+
+def with_street_names(requests: DataFrame, streets: DataFrame) -> DataFrame:
+    """requests, and besides each one a row for every other name (name, name_en, name_fr) of the streets that bear its own, in join form.
+
+    So a street asked for in one language finds addresses that write it in another. req_id stays the same.
+    """
+    named = streets.select("osm_id", F.explode(F.array_distinct(F.transform(F.array("name", "name_en", "name_fr"), street_form))).alias("form")).where("form <> ''")
+    other = named.select(F.col("form").alias("street_norm"), "osm_id").join(named.withColumnRenamed("form", "other"), "osm_id").where("street_norm <> other").select("street_norm", "other").distinct()
+    more = requests.join(other, "street_norm").withColumn("street_norm", F.col("other")).drop("other")
+    return requests.unionByName(more.select(requests.columns)).distinct()
+
+
 def interpolate_address(requests: DataFrame, addresses: DataFrame, lines: DataFrame) -> DataFrame:
-    """For each request (req_id, street_norm, asked, ref_lat, ref_lon) the address's place on its street.
+    """For each request (req_id, street_norm, asked, ref_lat, ref_lon, optional city) the address's place on its street.
 
-    addresses: osm_id, street_norm, number, lat, lon. An exact number is itself (confidence 1); between two numbers the
+    addresses: osm_id, street_norm, number, lat, lon, optional city. An exact number is itself (confidence 1); between two numbers the
     place is interpolated and, where a line is near both, laid on it; one number alone gives its own place at 0.3.
     """
-    found = requests.join(addresses.where(F.col("number").isNotNull()), "street_norm")
+    found = on_street(requests, addresses)
     pairs = bracketed(nearest_cluster(found))
     t = (F.col("asked") - F.col("low.number")) / (F.col("high.number") - F.col("low.number"))
     both = F.col("low").isNotNull() & F.col("high").isNotNull()

@@ -29,9 +29,9 @@ SQL: dict[str, tuple[str, str]] = {
         UNION ALL
         SELECT 'zall', 'whole', 4, {D("'9000'")}, {D("'29.70'")}, {D("'31.00'")}, {D("'30.25'")}, {D("'31.60'")} FROM nation WHERE n_nationkey = 0"""),
     "addresses": ("orders", f"""
-        SELECT concat('a', o_orderkey) AS osm_id, o_orderkey % 200 AS number, concat('street ', o_custkey % 50) AS street_norm,
-          {D("'29.75'")} + (o_custkey % 50) * {D("'0.01'")} AS lat, {D("'31.00'")} + (o_orderkey % 200) * {D("'0.002'")} AS lon
-        FROM orders WHERE o_orderkey % 7 < 3"""),
+        SELECT concat('a', o_orderkey) AS osm_id, o_orderkey % 2000 * 3 AS number, concat('street ', o_custkey % 50) AS street_norm,
+          {D("'29.75'")} + (o_custkey % 50) * {D("'0.01'")} AS lat, {D("'31.00'")} + (o_orderkey % 2000) * {D("'0.0002'")} AS lon
+        FROM orders"""),
     "line_ends": ("orders", f"""
         SELECT DISTINCT concat('w', o_custkey % 50) AS osm_id, CASE WHEN o_custkey % 50 % 4 = 3 THEN '' ELSE concat('Street ', o_custkey % 50) END AS name,
           {D("'29.75'")} + (o_custkey % 50) * {D("'0.01'")} AS a_lat, {D("'30.99'")} AS a_lon, {D("'29.75'")} + (o_custkey % 50) * {D("'0.01'")} AS b_lat, {D("'31.41'")} AS b_lon

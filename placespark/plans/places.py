@@ -86,7 +86,11 @@ def nearest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_id", "osm_id", F.round("degrees", 6).alias("degrees"), "rank")
 
 
-@query()
+@query(f"""{with_('addresses', 'points', 'line_ends', 'zone_boxes')}, a AS (SELECT p_id, osm_id AS address_id, {AWAY} AS d FROM points, addresses QUALIFY row_number() OVER (PARTITION BY p_id ORDER BY d, osm_id) = 1),
+l AS (SELECT p_id, osm_id AS line_id, {HAVERSINE.format(lat1='p_lat', lon1='p_lon', lat2='a_lat', lon2='greatest(least(p_lon, b_lon), a_lon)')} AS m, sqrt(pow(p_lat - a_lat, 2) + pow(p_lon - greatest(least(p_lon, b_lon), a_lon), 2)) AS g FROM points, line_ends WHERE g <= 0.005 QUALIFY row_number() OVER (PARTITION BY p_id ORDER BY g, osm_id) = 1),
+z AS (SELECT p_id, string_agg(osm_id, ',' ORDER BY area_km2, -coalesce(admin_level, -1), osm_id) AS zone_ids FROM points JOIN zone_boxes ON p_lat >= south AND p_lat < north AND p_lon >= west AND p_lon < east GROUP BY 1)
+SELECT p_id, address_id, round(d, 3) AS address_m, CASE WHEN d <= 1 THEN 1.0 WHEN d <= 10 THEN 0.9 WHEN d <= 50 THEN 0.8 WHEN d <= 200 THEN 0.7 WHEN d <= 500 THEN 0.6 WHEN d <= 1000 THEN 0.5 WHEN d <= 5000 THEN 0.4 WHEN d <= 10000 THEN 0.2 ELSE 0.1 END::DOUBLE AS confidence,
+  line_id, round(m, 3) AS line_m, zone_ids FROM points LEFT JOIN a USING (p_id) LEFT JOIN l USING (p_id) LEFT JOIN z USING (p_id)""")
 def reverse_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reverse.reverse_geocode(table(spark, sf_dir, "points"), table(spark, sf_dir, "addresses"), lines(spark, sf_dir), zones(spark, sf_dir))
     return rows.select("p_id", "address_id", F.round("address_m", 3).alias("address_m"), "confidence", "line_id", F.round("line_m", 3).alias("line_m"), F.array_join("zone_ids", ",").alias("zone_ids"))
@@ -102,10 +106,10 @@ def enrich_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "points").select(F.col("p_id").alias("req_id"), F.concat(F.lit("street "), F.col("p_id") % 50).alias("street_norm"), (F.col("p_id") * 7 % 200).alias("asked"), F.col("p_lat").alias("ref_lat"), F.col("p_lon").alias("ref_lon"))
+    return table(spark, sf_dir, "points").select(F.col("p_id").alias("req_id"), F.concat(F.lit("street "), F.col("p_id") % 50).alias("street_norm"), (F.col("p_id") * 41 % 6000).alias("asked"), F.col("p_lat").alias("ref_lat"), F.col("p_lon").alias("ref_lon"))
 
 
-REQUESTS = "req AS (SELECT p_id AS req_id, concat('street ', p_id % 50) AS street_norm, p_id * 7 % 200 AS asked FROM points)"
+REQUESTS = "req AS (SELECT p_id AS req_id, concat('street ', p_id % 50) AS street_norm, p_id * 41 % 6000 AS asked, p_lat, p_lon FROM points)"
 
 
 @query(f"""{with_('addresses', 'points')}, {REQUESTS}, f AS (SELECT req_id, asked, number, osm_id FROM req JOIN addresses USING (street_norm)), b AS (
@@ -117,16 +121,30 @@ def house_number_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolate.bracketed(found).select("req_id", "asked", F.col("exact.number").alias("exact"), F.col("low.number").alias("low"), F.col("high.number").alias("high"))
 
 
-@query()
+@query(f"""{with_('addresses', 'points')}, {REQUESTS}, f AS (SELECT req_id, asked, osm_id, number, lat, lon, {AWAY} AS away FROM req JOIN addresses USING (street_norm)),
+n AS (SELECT req_id, arg_min({{'lat': lat, 'lon': lon}}, (away, osm_id)) AS o FROM f WHERE away <= 25000 GROUP BY 1),
+c AS (SELECT f.* FROM f JOIN n USING (req_id) WHERE away <= 25000 AND {HAVERSINE.format(lat1='o.lat', lon1='o.lon', lat2='f.lat', lon2='f.lon')} <= 2000),
+b AS (SELECT req_id, asked, any_value(lat) AS lat, max(CASE WHEN number = asked THEN number END) AS exact, max(CASE WHEN number < asked AND number % 2 = asked % 2 THEN number END) AS l1, max(CASE WHEN number < asked THEN number END) AS l2,
+  min(CASE WHEN number > asked AND number % 2 = asked % 2 THEN number END) AS h1, min(CASE WHEN number > asked THEN number END) AS h2 FROM c GROUP BY ALL),
+p AS (SELECT req_id, asked, lat, exact, coalesce(l1, l2) AS low, coalesce(h1, h2) AS high FROM b),
+k AS (SELECT *, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN low IS NOT NULL AND high IS NOT NULL THEN 'interpolated' ELSE 'nearest' END AS kind FROM p)
+SELECT req_id, asked, kind, round(lat, 7) AS lat, round(31.00::DOUBLE + CASE kind WHEN 'exact' THEN exact WHEN 'interpolated' THEN asked ELSE coalesce(low, high) END / 3.0::DOUBLE * 0.0002::DOUBLE, 7) AS lon,
+  CASE WHEN kind = 'exact' THEN 1.0 WHEN kind = 'nearest' THEN 0.3 WHEN high - low <= 2 THEN 0.95 WHEN high - low <= 6 THEN 0.85 WHEN high - low <= 10 THEN 0.75 WHEN high - low <= 20 THEN 0.65 WHEN high - low <= 50 THEN 0.5 ELSE 0.3 END::DOUBLE AS confidence,
+  CASE WHEN asked % 2 = 0 THEN 'even' ELSE 'odd' END AS parity, low, high, CASE WHEN kind = 'interpolated' THEN concat('w', req_id % 50) END AS line_id FROM k""")
 def interpolate_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = requests(spark, sf_dir).withColumns({"ref_lat": F.lit(None).cast("double"), "ref_lon": F.lit(None).cast("double")})
-    rows = interpolate.interpolate_address(asked, table(spark, sf_dir, "addresses"), lines(spark, sf_dir))
+    rows = interpolate.interpolate_address(requests(spark, sf_dir), table(spark, sf_dir, "addresses"), lines(spark, sf_dir))
     return rows.withColumns({"lat": F.round("lat", 7), "lon": F.round("lon", 7)})
 
 
-@query()
+@query(f"""{with_('addresses')}, d AS (SELECT p.osm_id AS p_id, p.lon + 0.00065::DOUBLE AS p_lon, a.osm_id, a.number, a.lon, a.street_norm, sqrt(pow(p.lat + 0.0004::DOUBLE - a.lat, 2) + pow(p.lon + 0.00065::DOUBLE - a.lon, 2)) AS d FROM addresses p JOIN addresses a USING (street_norm) WHERE abs(p.lon - a.lon) <= 0.005),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY d, osm_id) AS k FROM d WHERE d <= 0.003 QUALIFY k <= 20),
+f AS (SELECT p_id, any_value(street_norm) AS street, any_value(p_lon) AS p_lon, arg_min(number, k) AS n1, arg_min(lon, k) AS lon1, count(CASE WHEN k <= 6 AND number % 2 = 1 THEN 1 END) AS odds, count(CASE WHEN k <= 6 THEN 1 END) AS few FROM r GROUP BY 1),
+g AS (SELECT f.*, s.n2, s.lon2 FROM f LEFT JOIN (SELECT r.p_id, arg_min(number, k) AS n2, arg_min(lon, k) AS lon2 FROM r JOIN f USING (p_id) WHERE number <> n1 GROUP BY 1) s USING (p_id)),
+h AS (SELECT *, CASE WHEN odds * 2 = few THEN n1 % 2 WHEN odds * 2 > few THEN 1 ELSE 0 END AS odd, coalesce(CAST(round(n1 + least(greatest((p_lon - lon1) / (lon2 - lon1), 0), 1) * (n2 - n1)) AS BIGINT), n1) AS e FROM g)
+SELECT p_id, street, CASE WHEN e % 2 <> odd THEN CASE WHEN e + 1 <= greatest(n1, coalesce(n2, n1)) THEN e + 1 ELSE greatest(e - 1, 1) END ELSE e END AS number, CASE WHEN odd = 1 THEN 'odd' ELSE 'even' END AS parity,
+  round(CASE WHEN abs(n2 - n1) <= 2 THEN 0.95 WHEN abs(n2 - n1) <= 6 THEN 0.85 WHEN abs(n2 - n1) <= 10 THEN 0.75 WHEN abs(n2 - n1) <= 20 THEN 0.65 WHEN abs(n2 - n1) <= 50 THEN 0.5 ELSE 0.3 END::DOUBLE * 0.8, 4) AS confidence FROM h""")
 def reverse_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = table(spark, sf_dir, "addresses").where("number % 5 = 0").select(F.col("osm_id").alias("p_id"), (F.col("lat") + 0.0004).alias("p_lat"), (F.col("lon") + 0.0007).alias("p_lon"))
+    points = table(spark, sf_dir, "addresses").select(F.col("osm_id").alias("p_id"), (F.col("lat") + 0.0004).alias("p_lat"), (F.col("lon") + 0.00065).alias("p_lon"))
     return interpolate.reverse_interpolate(points, table(spark, sf_dir, "addresses"))
 
 

@@ -358,3 +358,26 @@ def test_candidates_hold_the_best(spark):
     statistics = search.corpus_statistics(index)
     got, want = ({(r["query"], r["doc"], r["rank"]) for r in search.forward_geocode(queries, places, index, statistics, max_df=m).collect()} for m in (20, 10_000))
     assert got == want and len(got) > 50
+
+
+def test_street_requests_by_place_city_and_other_names(spark):
+    a = spark.createDataFrame([("a1", "main", 1, 30.0, 31.0, "Cairo"), ("a2", "main", 5, 30.001, 31.0, "Cairo"), ("b1", "main", 1, 40.0, 31.0, "Giza"), ("b2", "main", 5, 40.001, 31.0, "Giza"), ("c1", "tahrir", 3, 30.0, 31.2, "Cairo")], "osm_id string, street_norm string, number bigint, lat double, lon double, city string")
+    asked = spark.createDataFrame([("1", "main", 3, 40.0, 31.0, None), ("2", "main", 3, None, None, "cairo"), ("3", "main", 3, 50.0, 31.0, None), ("4", "midan", 3, 30.0, 31.2, None)], "req_id string, street_norm string, asked bigint, ref_lat double, ref_lon double, city string")
+    found = interpolate.on_street(asked, a).collect()
+    assert {(r.req_id, r.osm_id) for r in found} == {("1", "b1"), ("1", "b2"), ("2", "a1"), ("2", "a2")}
+    streets = spark.createDataFrame([("w1", "Tahrir", "Midan", None)], "osm_id string, name string, name_en string, name_fr string")
+    assert {(r.req_id, r.osm_id) for r in interpolate.on_street(interpolate.with_street_names(asked, streets), a).collect()} >= {("4", "c1")}
+    empty = spark.createDataFrame([], "osm_id string, line array<struct<lat:double,lon:double>>")
+    done = {r.req_id: r for r in interpolate.interpolate_address(asked, a, empty).collect()}
+    assert set(done) == {"1", "2"} and abs(done["1"].lat - 40.0005) < 1e-6 and abs(done["2"].lat - 30.0005) < 1e-6
+
+
+def test_nearest_over_all_distances(spark):
+    places = spark.createDataFrame([("near", 30.0001, 31.0), ("town", 30.05, 31.0), ("far", 45.0, 100.0), ("pole", 89.9, -170.0), ("west", 0.0, -179.999)], "osm_id string, lat double, lon double")
+    points = spark.createDataFrame([("p", 30.0, 31.0), ("q", 0.0, 179.999), ("s", -80.0, 10.0), ("n", 89.95, 10.0)], "p_id string, p_lat double, p_lon double")
+    rows = cells.nearest(points, places, "p_id", "osm_id", 2).collect()
+    every = points.crossJoin(places).withColumn("d", geo.haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))).collect()
+    for p in "pqsn":
+        want = [r.osm_id for r in sorted((r for r in every if r.p_id == p), key=lambda r: (r.d, r.osm_id))[:2]]
+        assert [r.osm_id for r in sorted((r for r in rows if r.p_id == p), key=lambda r: r["rank"])] == want
+    assert cells.nearest(points, places.limit(0), "p_id", "osm_id").count() == 0
