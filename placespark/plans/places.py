@@ -229,7 +229,15 @@ def prefix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix.build_prefix_index(names, None).where("scope = 'global'").select("prefix", "osm_id", F.round("score", 5).alias("score"), "rank")
 
 
-@query()
+@query(f"""{with_('names')}, t AS (SELECT *, 29.7::DOUBLE + offline_rank / 100 AS lat, 31.0::DOUBLE + popularity / 1000 AS lon, offline_rank * 10 + ln(1 + popularity) * 5 AS s, lower(trim(regexp_replace(regexp_replace(name, '[^\\p{{L}}\\p{{N}}\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))) AS f FROM names),
+c AS (SELECT osm_id, s, f, concat(floor((lon + 180) / 360 * 1024), '/', floor((lat + 90) / 180 * 1024)) AS cell FROM t), w AS (SELECT osm_id, s, cell, f AS w FROM c UNION SELECT osm_id, s, cell, unnest(string_split(f, ' ')) FROM c),
+x AS (SELECT DISTINCT osm_id, s, rtrim(left(w, k)) AS prefix, unnest(['global', cell]) AS scope FROM w, range(2, 7) r(k) WHERE length(w) >= k), i AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY scope, prefix ORDER BY round(s, 9) DESC, osm_id) <= 30),
+q AS (SELECT DISTINCT substr(name, 1, 5) AS query, regexp_replace(lower(trim(regexp_replace(regexp_replace(substr(name, 1, 5), '[^\\p{{L}}\\p{{N}}\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))), '(^| )r$', '\\1rue') AS qf FROM names),
+g AS (SELECT query, qf, osm_id, max(CASE WHEN scope <> 'global' THEN 1 ELSE 0 END) AS local FROM q JOIN i ON prefix = rtrim(left(qf, 6)) AND scope IN ('global', concat(floor((31.05::DOUBLE + 180) / 360 * 1024), '/', floor((29.75::DOUBLE + 90) / 180 * 1024))) WHERE length(qf) >= 2 GROUP BY 1, 2, 3),
+m AS (SELECT g.*, offline_rank, popularity, {HAVERSINE.format(lat1='29.75', lon1='31.05', lat2='lat', lon2='lon')} AS d, f, regexp_replace(f, '^(?:the|el|al|la|le|les|ال) ', '') AS bare FROM g JOIN t USING (osm_id)),
+k AS (SELECT *, CASE WHEN f = qf OR bare = qf THEN 1.0 WHEN starts_with(f, qf) OR starts_with(bare, qf) THEN 0.8 WHEN starts_with(string_split(bare, ' ')[1], qf) THEN 0.6 WHEN len(list_filter(string_split(f, ' '), lambda v: starts_with(v, qf))) > 0 THEN 0.4 ELSE 0.0 END::DOUBLE AS tier FROM m),
+s AS (SELECT *, round(100 * tier + 3 * offline_rank + 2 * ln(1 + popularity) + 15 * exp(pow(greatest(d - 2000, 0) / 15000, 2) * ln(0.5)), 6) AS score FROM k WHERE tier > 0)
+SELECT query, osm_id, tier, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, osm_id) AS INTEGER) AS rank, local = 1 AS geo_local, count(*) OVER (PARTITION BY query) >= 10 AND max(tier) OVER (PARTITION BY query) >= 0.8 AS confident FROM s QUALIFY rank <= 10""")
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions for the first words of all part names, near each supplier's point."""
     names = table(spark, sf_dir, "names").withColumns({"lat": 29.7 + F.col("offline_rank") / 100, "lon": 31.0 + F.col("popularity") / 1000})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placespark.functions.text import looks_like_address, normal_text, street_form, suggestion_form, tokens, with_ordinals_swapped
+from placespark.functions.text import fold_marks, looks_like_address, normal_text, street_form, suggestion_form, tokens, with_ordinals_swapped
 from placespark.intermediate import written
 from placespark.operators import search
 from placespark.plans.fixtures import table
@@ -75,12 +75,19 @@ def fuzzy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fuzzy_tokens(asked(spark, sf_dir), indexed(spark, sf_dir)[1]).select("asked", "token", "edits").distinct()
 
 
-@query()
+@query(f"""WITH w AS (SELECT p_partkey AS doc, 'name' AS field, {TOK.format('p_name')} AS ws FROM part UNION ALL SELECT p_partkey, 'name_en', {TOK.format('p_brand')} FROM part UNION ALL SELECT p_partkey, 'tags_text', {TOK.format('p_type')} FROM part),
+o AS (SELECT doc, field, len(ws) AS field_length, unnest(ws) AS token FROM w), x AS (SELECT field, token, doc, count(*) AS tf, any_value(field_length) AS field_length FROM o GROUP BY 1, 2, 3),
+l AS (SELECT field, count(*) AS docs, avg(len(ws)) AS average FROM w WHERE len(ws) > 0 GROUP BY 1), df AS (SELECT field, token, count(*) AS df FROM x GROUP BY 1, 2), bl AS (SELECT token, max(df) AS df FROM df GROUP BY 1),
+q0 AS (SELECT DISTINCT concat_ws(' ', substr(p_name, 1, 9), p_brand) AS query FROM part), q1 AS (SELECT query, {TOK.format('query')} AS ws FROM q0), q AS (SELECT DISTINCT query, len(ws) AS n, unnest(ws) AS token FROM q1),
+b AS (SELECT query, doc, token, n, max({BM25}) AS score FROM q JOIN x USING (token) JOIN bl USING (token) JOIN l USING (field) GROUP BY ALL),
+s AS (SELECT query, doc, round(sum(score), 5) AS score FROM b GROUP BY query, doc, n HAVING count(*) >= greatest(floor(n * 0.75), 1))
+SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
 def cross_field_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("osm_id"), F.col("p_name").alias("name"), F.col("p_type").alias("tags_text"), F.col("p_brand").alias("name_en"))
     index = search.postings(docs, ["name", "name_en", "tags_text"])
     q = docs.select(F.concat_ws(" ", F.substring("name", 1, 9), "name_en").alias("query")).distinct().withColumn("q", F.col("query"))
-    return search.top(search.cross_fields(search.query_tokens(q), index, search.corpus_statistics(index)), 10)
+    scores = search.cross_fields(search.query_tokens(q), index, search.corpus_statistics(index))
+    return search.top(scores.withColumn("score", F.round("score", 5)), 10)
 
 
 @query()
@@ -112,3 +119,13 @@ def interleaved_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("c_name")
     return table(spark, sf_dir, "customer").select("c_custkey", normal_text(name).alias("norm"), suggestion_form(name).alias("suggestion"), street_form(name).alias("street"), looks_like_address(name).alias("is_address"), with_ordinals_swapped(name).alias("swapped"))
+
+
+STREETS = "شارع|طريق|حارة|حاره|ميدان|زقاق|street|road|avenue|ave|ش|st|rd"
+
+
+@query(f"""SELECT doc_id, md5(strip_accents(text)) AS folded, md5(regexp_replace(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '^(?:{STREETS}) (.)', '\\1')) AS street, CAST(len({TOK.format('text')}) AS BIGINT) AS n_tokens FROM documents""")
+def text_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of whole texts in four languages."""
+    text = F.coalesce("text", F.lit(None).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(fold_marks(text)).alias("folded"), F.md5(street_form(text)).alias("street"), F.size(tokens(text)).cast("bigint").alias("n_tokens"))
