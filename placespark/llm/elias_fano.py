@@ -123,8 +123,9 @@ class Level:
         return np.array([span], np.int64).tobytes() + b"".join(parts) + codes.astype(np.uint16).tobytes() + backoffs.astype(np.uint16).tobytes()
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Place of each (context, word), -1 where there is none."""
-        rank = self.contexts.find(context.astype(U))
+        """Place of each (context, word), -1 where there is none; neighbours of one context look it up once."""
+        new = np.concatenate([[True], context[1:] != context[:-1]])[: len(context)]
+        rank = self.contexts.find(context[new].astype(U))[np.cumsum(new) - 1]
         out = np.full(len(rank), -1, np.int64)
         known = np.flatnonzero((rank >= 0) & (word < self.span))
         out[known] = self.successors.find(rank[known].astype(U) * U(self.span) + word[known].astype(U))

@@ -37,6 +37,8 @@ CHUNK_TOKENS = 1_500_000
 SHARD_TOKENS = 1_000_000
 BEGIN, END, FIRST = 0, 1, 2
 
+_PROBABILITIES = np.concatenate([[0.0], 10.0 ** (-np.arange(65535) / QUANTUM)])
+
 CHUNK = "chunk bigint, doc_ids array<bigint>, train array<boolean>, sizes array<bigint>, vocabulary binary, tokens binary, n_train bigint"
 ASKED = "shard int, chunk bigint, keys binary, counts binary"
 ANSWER = "chunk bigint, shard int, level int, numbers binary, codes binary, backoffs binary, types bigint, hot array<bigint>, hot_counts array<bigint>"
@@ -139,7 +141,7 @@ def _chunk(number: int, held: list) -> pa.RecordBatch:
 
 def _by_shard(shard: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The shards that have keys, and the places of each one's keys in their order."""
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")  # 16 bits are sorted by counting
     shards, first = np.unique(shard[order], return_index=True)
     return shards, np.split(order, first[1:]) if len(shards) else []
 
@@ -179,7 +181,7 @@ def quantised(p: np.ndarray) -> np.ndarray:
 
 
 def probability(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, 10.0 ** ((1.0 - codes) / QUANTUM), 0.0)
+    return _PROBABILITIES[codes]
 
 
 def _words_answered(shards: int, hot: int):
@@ -213,7 +215,11 @@ def _grams_answered(level: int, shards: int, hot: int, hot_counts, last: bool, m
     def answer(table: pa.Table) -> pa.Table:
         keys = [unpack_keys(k, shards) for k in table.column("keys").to_pylist()]
         context, word = (np.concatenate(x) for x in zip(*keys, strict=True))
-        place, sums = _taught(*ascending(context, word), _counts(table))
+        order, new = ascending(context, word)
+        place, sums = _taught(order, new, _counts(table))
+        asked = context[order[new]], word[order[new]]  # each n-gram once, whatever the number of chunks
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
         context, word = context[place], word[place]
         shard = table.column("shard")[0].as_py()
         contexts, rank = np.unique(context, return_inverse=True)
@@ -223,14 +229,14 @@ def _grams_answered(level: int, shards: int, hot: int, hot_counts, last: bool, m
         codes = quantised(sums / (total + mass(total))[rank]) if len(sums) else np.zeros(0, np.uint16)
         backoffs = quantised(mass(sums) / (sums + mass(sums))) if len(sums) else np.zeros(0, np.uint16)
         trie = Level(mapped(Level.pack(context, word, codes, backoffs)))
-        rows = []
-        for chunk, own in zip(table.column("chunk").to_pylist(), keys, strict=True):
-            place = trie.find(*own)
-            at = np.maximum(place, 0)
-            seen = place >= 0
-            codes, backoffs = (np.where(seen, x[at], 0) if len(sums) else np.zeros(len(place)) for x in (trie.codes, trie.backoffs))
-            known = np.where(seen & (sums[at] >= min_context), at, -1) if len(sums) else place
-            rows.append((chunk, shard, level, None if last else pack_places(known), packed(codes, np.uint16), None if last else packed(backoffs, np.uint16), None, None, None))
+        found = trie.find(*asked)
+        codes, backoffs, known = np.zeros(len(found), np.uint16), np.zeros(len(found), np.uint16), np.full(len(found), -1)
+        seen = np.flatnonzero(found >= 0)
+        codes[seen], backoffs[seen], known[seen] = trie.codes[found[seen]], trie.backoffs[found[seen]], np.where(sums[found[seen]] >= min_context, found[seen], -1)
+        rows, at = [], 0
+        for chunk, (own, _) in zip(table.column("chunk").to_pylist(), keys, strict=True):
+            some, at = which[at : at + len(own)], at + len(own)
+            rows.append((chunk, shard, level, None if last else pack_places(known[some]), packed(codes[some], np.uint16), None if last else packed(backoffs[some], np.uint16), None, None, None))
         often = np.flatnonzero(sums > hot)
         rows.append((-1, shard, level, None, None, None, len(sums), (often * shards + shard).tolist(), sums[often].tolist()))
         return _answer(rows)
@@ -254,15 +260,16 @@ class Chunk:
         for a in answers:
             by_level.setdefault(a["level"], {})[a["shard"]] = a
         numbers, counts = (unpacked(by_level[1][-1][c], np.int64) for c in ("numbers", "codes"))
-        self.word, self.count = np.full(size, -1, np.int64), np.zeros(size, np.int64)
-        self.word[inner], self.count[inner] = numbers[tokens], counts[tokens]
+        self.word, self.count, self.backoff = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.empty(size)
+        self.word[inner], self.count[inner], self.backoff[inner] = numbers[tokens], counts[tokens], (mass(counts) / (counts + mass(counts)))[tokens]
         self.word[self.first], self.word[self.last] = BEGIN, END
         self.count[self.first] = self.count[self.last] = n_texts
         self.trained = np.repeat(self.train, self.sizes + 2)
         # what stands before each token, as a context: its number and backoff
         self.node = np.where(self.count >= min_context, self.word, -1)
         self.node[self.last] = -1
-        self.backoff = mass(self.count) / (self.count + mass(self.count))
+        edges = mass(np.array([n_texts])) / (n_texts + mass(np.array([n_texts])))
+        self.backoff[self.first] = self.backoff[self.last] = edges
         self.shards, self.hot, self.level, self.terms = shards, hot, 1, []
         for level in sorted(by_level):
             if level > 1:
