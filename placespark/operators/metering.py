@@ -123,7 +123,7 @@ def quota_replay(events: DataFrame, quota_milli: int) -> DataFrame:
 
     def step(used: int, event_id: int, milli: int | None) -> tuple[int, tuple]:
         ok = milli is not None and used + milli <= quota_milli
-        used += milli if ok else 0
+        used = max(0, used + milli) if ok else used  # a refund is a negative use
         return used, (event_id, ok, used)
 
     rows = events.withColumn("period", period(F.col("ts"))).withColumn("milli", F.col("milli").cast("bigint")).withColumn("event_id", F.col("event_id").cast("bigint"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placespark.intermediate import shared_folder
 from placespark.operators import evaluate, metering, traffic
 from placespark.plans.fixtures import table, with_
 from placespark.streaming import jobs
@@ -247,16 +248,20 @@ def named_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.named_cases(table(spark, sf_dir, "names"), 200).select("osm_id", "name")
 
 
-def _streamed(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """All results of a stream over what is there now, by way of the shared folder."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spark-streams").rstrip("/")
-    run = f"{folder}/stream-{uuid.uuid4().hex}"
+def _streamed(spark: SparkSession, stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """All results of a stream over what is there now, by way of the shared folder; of keys (update mode) each one's last."""
+    run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{run}/out/v={number}")
+        batch.write.mode("overwrite").parquet(f"{run}/out/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{run}/out")
+    rows = spark.read.parquet(f"{run}/out")
+    if keys is None:
+        return rows.drop("batch")
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("last"))
+    return last.select(*keys, "last.*")
 
 
 @query(ROLLUP + " SELECT tenant, key_id, period, day, endpoint, milli, requests FROM r")
@@ -267,4 +272,4 @@ def usage_rollup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream.select(F.concat(F.lit("t"), F.col("user_id") % 10).alias("tenant"), F.concat(F.lit("k"), F.col("user_id")).alias("key_id"),
         F.when(n == "view", "geocode").when(n == "click", "reverse").when(n == "signup", "matrix").when(n == "purchase", "nearby").otherwise("autocomplete").alias("endpoint"),
         F.when(n == "signup", 5000).when(n == "error", 250).otherwise(1000).cast("bigint").alias("milli"), F.col("ts").cast("timestamp").alias("ts"))
-    return _streamed(spark, jobs.rollup_stream(rows), "update").select("tenant", "key_id", "period", "day", "endpoint", "milli", "requests")
+    return _streamed(spark, jobs.rollup_stream(rows), "update", ["tenant", "key_id", "period", "day", "endpoint"]).select("tenant", "key_id", "period", "day", "endpoint", "milli", "requests")

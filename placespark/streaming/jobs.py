@@ -20,16 +20,21 @@ def element_stream(spark: SparkSession, folder: str, files_a_batch: int = 100) -
     return spark.readStream.schema(ELEMENT).option("maxFilesPerTrigger", files_a_batch).json(folder)
 
 
-def upsert_stream(stream: DataFrame, table: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str, key: str = "osm_id") -> StreamingQuery:
-    """Merge every micro-batch into a Parquet table: a new version folder a batch, then a pointer to it.
+def upsert_stream(stream: DataFrame, table: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str, keep: int = 2) -> StreamingQuery:
+    """Merge every micro-batch into a Parquet table: a new version folder a batch, then a pointer to it; the last `keep` versions stay.
 
-    A batch that runs again writes the same version from the same predecessor, so nothing is counted twice.
+    A batch that runs again writes the same version from the same predecessor, so nothing is counted twice, and readers of
+    current_version never see half a version.
     """
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, number: int) -> None:
         old = spark.read.parquet(f"{table}/v={number - 1}") if number else None
         merge(old, batch).write.mode("overwrite").parquet(f"{table}/v={number}")
+        spark.range(1).select(F.lit(number).cast("bigint").alias("version")).write.mode("overwrite").parquet(f"{table}/_pointer")
+        if number >= keep:
+            past = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={number - keep}")
+            past.getFileSystem(spark._jsc.hadoopConfiguration()).delete(past, True)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -38,6 +43,11 @@ def latest_version(spark: SparkSession, table: str, number: int) -> DataFrame:
     return spark.read.parquet(f"{table}/v={number}")
 
 
+def current_version(spark: SparkSession, table: str) -> DataFrame:
+    """The version that the pointer names."""
+    return latest_version(spark, table, spark.read.parquet(f"{table}/_pointer").first()["version"])
+
+
 def rollup_stream(events: DataFrame) -> DataFrame:
     """Running rollups by tenant, key, period, day and endpoint (update mode)."""
     return events.groupBy("tenant", "key_id", period(F.col("ts")).alias("period"), F.to_date("ts").alias("day"), "endpoint").agg(F.sum(F.coalesce("milli", F.lit(DEFAULT_MILLI))).alias("milli"), F.count("*").alias("requests"))
@@ -55,12 +65,16 @@ def once_a_window_stream(observations: DataFrame, interval: str, late: str) -> D
 
 
 class EdgeSpeed(StatefulProcessor):
-    """Smoothed speed of an edge: two decimals a step, started anew after `idle` seconds without observations."""
+    """Smoothed speed of an edge, unrounded as in the batch job, started anew after `idle` seconds without observations.
+
+    With expires, a timer of event time reverts an edge that has been idle: it is reported once with no speed, and forgotten.
+    """
 
-    def __init__(self, alpha: float = ALPHA, idle: int = IDLE_S):
-        self.alpha, self.idle = alpha, idle
+    def __init__(self, alpha: float = ALPHA, idle: int = IDLE_S, expires: bool = False):
+        self.alpha, self.idle, self.expires = alpha, idle, expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("speed", "kph double, n bigint, ts double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
@@ -70,23 +84,33 @@ class EdgeSpeed(StatefulProcessor):
             ts = pd.Timestamp(row.ts).timestamp()
             fresh = n == 0 or ts - last > self.idle
             weight = self.alpha * float(getattr(row, "weight", 1.0))
-            kph = round(row.kph if fresh else kph + weight * (row.kph - kph), 2)
+            kph = row.kph if fresh else kph + weight * (row.kph - kph)
             n, last = (1 if fresh else n + 1), max(ts, last)
         self.state.update((kph, n, last))
+        if self.expires:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int((last + self.idle) * 1000))
         yield pd.DataFrame({"gid": [key[0]], "kph": [kph], "n": [n], "ts": [last]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        last = self.state.get()[2] if self.state.exists() else None
+        self.state.clear()
+        yield pd.DataFrame({"gid": [key[0]], "kph": pd.Series([None], dtype="float64"), "n": [0], "ts": [last]})
+
     def close(self) -> None:
         pass
 
 
-def speed_stream(observations: DataFrame, alpha: float = ALPHA, idle: int = IDLE_S) -> DataFrame:
+def speed_stream(observations: DataFrame, alpha: float = ALPHA, idle: int = IDLE_S, late: str | None = None) -> DataFrame:
     """(gid, kph, n, ts) after each micro-batch with observations (gid, kph, ts, event_id) of the edge; needs the RocksDB
-    state store."""
-    return observations.groupBy("gid").transformWithStateInPandas(EdgeSpeed(alpha, idle), "gid bigint, kph double, n bigint, ts double", "Update", "None")
+    state store. With late (how late observations can come), idle edges are reported without speed (n 0) and forgotten."""
+    timed = observations if late is None else observations.withWatermark("ts", late)
+    return timed.groupBy("gid").transformWithStateInPandas(EdgeSpeed(alpha, idle, late is not None), "gid bigint, kph double, n bigint, ts double", "Update", "None" if late is None else "EventTime")
 
 
 class Quota(StatefulProcessor):
-    """Running use of a tenant and period: what doesn't fit is rejected and uses nothing."""
+    """Running use of a tenant and period: what doesn't fit is rejected and uses nothing; refunds give back, never below nothing."""
 
     def __init__(self, quota_milli: int):
         self.quota = quota_milli
@@ -100,7 +124,7 @@ class Quota(StatefulProcessor):
         accepted = []
         for milli in batch["milli"].tolist():
             ok = used + milli <= self.quota
-            used += milli if ok else 0
+            used = max(0, used + milli) if ok else used  # a refund is a negative use
             accepted.append(ok)
         self.state.update((used,))
         yield pd.DataFrame({"tenant": key[0], "period": key[1], "event_id": batch["event_id"].tolist(), "accepted": accepted})
@@ -114,6 +138,12 @@ def quota_stream(events: DataFrame, quota_milli: int) -> DataFrame:
     return rows.groupBy("tenant", "period").transformWithStateInPandas(Quota(quota_milli), "tenant string, period string, event_id bigint, accepted boolean", "Append", "None")
 
 
+def with_refunds(events: DataFrame) -> DataFrame:
+    """Usage events (ok: whether the call was served) with a refund for each that failed, right after it and of its own id."""
+    failed = events.where(~F.col("ok")).withColumn("milli", -F.col("milli")).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 MILLISECOND")).withColumn("event_id", -F.col("event_id"))
+    return events.unionByName(failed).drop("ok")
+
+
 def popularity_stream(feedback: DataFrame) -> DataFrame:
     """Running sums of boosts of each place (update mode)."""
     return feedback.groupBy("osm_id").agg(F.sum(F.least(F.greatest("boost", F.lit(0.1)), F.lit(10.0))).alias("boosts"))

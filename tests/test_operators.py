@@ -1,7 +1,8 @@
 """Small cases with known results, edges, and plans."""
 
-import random
 import datetime as dt
+import os
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from placespark.functions import address, category, geo, rank, text
 from placespark.operators import assembly, cells, elements, evaluate, interpolate, metering, nearby, prefix, reverse, search, traffic
+from placespark.plans import movement
 from placespark.sources import elements as sources
 from placespark.streaming import jobs
 
@@ -338,6 +340,44 @@ def test_upsert_stream(spark, tmp_path):
     (folder / "b.json").write_text('{"osm_id":"b","osm_type":"node","tags":{},"admin_level":0,"area_km2":0.0}\n{"osm_id":"a","osm_type":"way","tags":{},"admin_level":0,"area_km2":0.0}\n')
     jobs.upsert_stream(jobs.element_stream(spark, str(folder)), table, merge, str(tmp_path / "c")).awaitTermination()
     assert {(r.osm_id, r.osm_type) for r in jobs.latest_version(spark, table, 1).collect()} == {("a", "way"), ("b", "node")}
+    (folder / "c.json").write_text('{"osm_id":"c","osm_type":"node","tags":{},"admin_level":0,"area_km2":0.0}\n')
+    jobs.upsert_stream(jobs.element_stream(spark, str(folder)), table, merge, str(tmp_path / "c")).awaitTermination()
+    assert jobs.current_version(spark, table).count() == 3 and not (tmp_path / "table" / "v=0").exists()
+
+
+def batches_of(spark, tmp_path, frames):
+    """A stream with one micro-batch for each frame, in order."""
+    path = tmp_path / "parts"
+    for i, df in enumerate(frames):
+        df.coalesce(1).write.parquet(str(path / f"{i}"))
+        for f in (path / f"{i}").glob("*.parquet"):
+            f.rename(path / f"{i}.parquet")
+            os.utime(path / f"{i}.parquet", (1_000_000 + i, 1_000_000 + i))
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "?.parquet").parquet(str(path))
+
+
+def test_idle_edges_are_reported_and_forgotten(spark, tmp_path):
+    shape = "gid bigint, kph double, ts timestamp, event_id bigint"
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    frames = [spark.createDataFrame(r, shape) for r in ([(1, 10.0, at(0, 0), 1), (1, 20.0, at(0, 1), 2)], [(2, 50.0, at(1, 0), 3)], [(2, 50.0, at(1, 5), 4)], [(1, 30.0, at(1, 6), 5)])]
+    rows = collected(spark, jobs.speed_stream(batches_of(spark, tmp_path, frames), late="0 seconds"), "update")
+    assert [(r.kph, r.n) for r in rows if r.gid == 1] == [(13.0, 2), (None, 0), (30.0, 1)]
+
+
+def test_updates_of_two_batches_give_one_row(spark, tmp_path):
+    shape = "tenant string, key_id string, endpoint string, milli bigint, ts timestamp"
+    frames = [spark.createDataFrame([("t", "k", "e", m, dt.datetime(2024, 1, 1))], shape) for m in (1, 2)]
+    keys = ["tenant", "key_id", "period", "day", "endpoint"]
+    (row,) = movement._streamed(spark, jobs.rollup_stream(batches_of(spark, tmp_path, frames)), "update", keys).collect()
+    assert (row.milli, row.requests) == (3, 2)
+
+
+def test_refunds(spark, tmp_path):
+    rows = [("t", i, m, dt.datetime(2024, 1, 1, 0, i), ok) for i, (m, ok) in enumerate([(1000, True), (1000, False), (1000, True), (1000, True)], 1)]
+    df = jobs.with_refunds(spark.createDataFrame(rows, "tenant string, event_id bigint, milli bigint, ts timestamp, ok boolean"))
+    assert {r.event_id for r in metering.quota_replay(df, 2000).where("accepted and event_id > 0").collect()} == {1, 2, 3}
+    got = collected(spark, jobs.quota_stream(batches_of(spark, tmp_path, [df]), 2000), "append")
+    assert {r.event_id for r in got if r.accepted and r.event_id > 0} == {1, 2, 3}
 
 
 def test_suppressed_requests(spark):
