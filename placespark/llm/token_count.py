@@ -27,11 +27,13 @@ _PART = re.compile(" +[^ ]*")
 
 
 def vocabulary_of(path: str) -> list[tuple[str, float]]:
-    """(piece, score) of a sentencepiece file, in the order of ids."""
+    """(piece, score) of a sentencepiece file in the order of ids: the unknown piece and those that stand for text, so that
+    the names of control and byte pieces in a text are ordinary text."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    own = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
+    return [(model.id_to_piece(i), model.get_score(i)) for i in own]
 
 
 class UnigramCounter:

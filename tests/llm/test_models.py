@@ -24,6 +24,11 @@ def test_counts_equal_the_tokenizer(spark, sf):
         assert [counter.count(t) for t in texts] == [len(whole.encode("▁" + t.replace(" ", "▁")).ids) for t in texts]
 
 
+def test_names_of_control_and_byte_pieces_are_text():
+    counter = token_count.UnigramCounter(token_count.vocabulary_of(PIECES))
+    assert counter.count("</s>") > 1 and counter.count("<0x0A>") > 1
+
+
 def test_ties_keep_the_first():
     vocabulary = [("<unk>", 0.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("abab", -4.0), ("▁", -1.0), ("ba", -2.0)]
     whole, counter = Tokenizer(models.Unigram(vocabulary, 0, False)), token_count.UnigramCounter(vocabulary)
