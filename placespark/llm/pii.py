@@ -74,22 +74,29 @@ def near(text: Column, span: Column, pattern: str) -> Column:
 
 
 def find_pii(documents: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
-    """documents with name: array of (kind, start, end, value, score), kind by its place in KINDS, in code points, end exclusive."""
+    """documents with name: array of (kind, start, end, value, score), kind by its place in KINDS, in code points, end exclusive.
+
+    A column of documents with that name stays as well, name stands last.
+    """
     has = [F.contains("own_text", F.lit("@")), F.contains("own_text", F.lit(".")), None, F.contains("own_text", F.lit("+")), None, F.contains("own_text", F.lit("-"))]
-    df = with_matches(documents, F.col(f"`{text}`"), list(zip(PATTERNS, has, strict=True)), name)
+    columns = documents.columns
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_given"))
+    df = with_matches(rows, F.col("_given")[text], list(zip(PATTERNS, has, strict=True)), "matches")
 
     def kept(kind: int) -> Column:
         low, high = SCORES[kind]
-        sure = F.filter(F.get(F.col(name), F.lit(kind)), lambda s: confirmed(kind, s["value"]))
-        scored = F.transform(sure, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.when(near(F.col(f"`{text}`"), s, NEARBY[kind]), F.lit(high)).otherwise(F.lit(low)).alias("score")))
+        sure = F.filter(F.get(F.col("matches"), F.lit(kind)), lambda s: confirmed(kind, s["value"]))
+        scored = F.transform(sure, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.when(near(F.col("_given")[text], s, NEARBY[kind]), F.lit(high)).otherwise(F.lit(low)).alias("score")))
         return scored if kind < BASE else F.filter(scored, lambda s: s["score"] >= KEEP)
 
-    return df.withColumn(name, F.concat(*[kept(k) for k in range(len(KINDS))]))
+    return df.select(*[F.col("_given")[c].alias(c) for c in columns], F.concat(*[kept(k) for k in range(len(KINDS))]).alias(name))
 
 
 def pii_report(documents: DataFrame) -> DataFrame:
-    """Counts and digests of find_pii for each document."""
+    """Counts, digests and scores (in the order of spans) of find_pii for each document."""
     df = find_pii(documents.select("doc_id", "text")).drop("text")
     base = F.filter("pii", lambda s: s["kind"] < BASE)
     counts = [count_of(F.col("pii"), k).alias(f"n_{KINDS[k]}") for k in range(BASE)]
-    return df.select("doc_id", *counts, F.sha2(digest(base, KINDS, False), 256).alias("base_sha256"), digest(F.col("pii"), KINDS, False).alias("spans"))
+    placed = F.array_sort(F.transform("pii", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["score"].alias("score"))))
+    scores = F.array_join(F.transform(placed, lambda s: s["score"].cast("string")), ",")
+    return df.select("doc_id", *counts, F.sha2(digest(base, KINDS, False), 256).alias("base_sha256"), digest(F.col("pii"), KINDS, False).alias("spans"), scores.alias("scores"))

@@ -68,3 +68,11 @@ def test_words_on_both_sides_and_beyond_other_matches(spark):
     rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
     found = {r.doc_id: [r.text[s.start : s.end] for s in r.pii if pii.KINDS[s.kind] == "ssn"] for r in rows}
     assert found == {0: ["123-45-6789", "234-56-7890", "345-67-8901"], 1: ["123-45-6789"], 2: ["345-67-8901"], 3: []}
+
+
+def test_own_column_of_the_name_stays(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co", "mine")], "doc_id bigint, text string, pii string")
+    out = pii.find_pii(df)
+    assert out.columns == ["doc_id", "text", "pii", "pii"] and out.first()[2] == "mine" and len(out.first()[3]) == 1
+    r = pii.pii_report(spark.createDataFrame([(1, "ssn 123-45-6789 and 4111 1111 1111 1111", "x")], "doc_id bigint, text string, pii string")).first()
+    assert (r.spans, r.scores) == ("card:20:39,ssn:4:15", "0.8,0.8")
