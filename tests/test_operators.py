@@ -421,3 +421,22 @@ def test_nearest_over_all_distances(spark):
         want = [r.osm_id for r in sorted((r for r in every if r.p_id == p), key=lambda r: (r.d, r.osm_id))[:2]]
         assert [r.osm_id for r in sorted((r for r in rows if r.p_id == p), key=lambda r: r["rank"])] == want
     assert cells.nearest(points, places.limit(0), "p_id", "osm_id").count() == 0
+
+
+def test_address_search_and_interpolated_fallback(spark):
+    rows = [("a1", None, "Tahrir Street", "10", "Cairo", "11511", "EG"), ("a2", None, "Tahrir Street", "20", "Cairo", "11511", "EG"), ("a3", None, "Nile Street", "15", "Cairo", "11512", "EG"), ("a4", None, "Tahrir Street", "15", "Giza", "12511", "EG"), ("p1", "Cairo Tower", None, None, "Cairo", None, "EG")]
+    places = [(i, n, s, h, c, p, k, ", ".join(x for x in (f"{h} {s}" if s else None, c) if x) if s else "", 30.0 + (0.5 if c == "Giza" else 0.0), 31.0 + int(h or 0) / 10_000, 1.0, 0.0) for i, n, s, h, c, p, k in rows]
+    places = spark.createDataFrame(places, "osm_id string, name string, addr_street string, addr_housenumber string, addr_city string, addr_postcode string, addr_country string, full_address string, lat double, lon double, offline_rank double, popularity double")
+    wide = places.withColumns({"addr_suburb": F.lit(None).cast("string"), "name_en": F.col("name"), "name_fr": F.lit(None).cast("string"), "tags_text": F.lit(None).cast("string")})
+    index = search.postings(wide, search.ADDRESS_FIELDS)
+    asked = spark.createDataFrame([("1", "10 Tahrir Street, Cairo", None, None, None, None, None), ("2", "15 Tahrir Street", 30.0, 31.0, None, "cairo", None), ("3", "Cairo Tower", None, None, None, None, "eg"), ("4", "15 Nile Street", None, None, "11511", None, None), ("5", "Tahrir Street", None, None, None, None, "FR")], "query string, q string, bias_lat double, bias_lon double, want_postcode string, want_city string, want_country string")
+    found = search.address_search(asked, places, index, search.corpus_statistics(index))
+    best = {r["query"]: r.doc for r in found.where("rank = 1").collect()}
+    assert best["1"] == "a1" and best["2"] in ("a1", "a2") and "5" not in best
+    assert "p1" in {r.doc for r in found.where("query = '3'").collect()}
+    assert {r.doc for r in found.where("query = '4'").collect()} <= {"a1", "a2"}
+    known = places.where("addr_street IS NOT NULL").select("osm_id", text.street_form(F.col("addr_street")).alias("street_norm"), text.house_number(F.col("addr_housenumber")).alias("number"), "lat", "lon", F.col("addr_city").alias("city"))
+    lines = spark.createDataFrame([], "osm_id string, line array<struct<lat:double,lon:double>>")
+    out = search.with_interpolated(found, asked, known, lines).collect()
+    (made,) = [r for r in out if r.kind == "interpolated"]
+    assert (made["query"], made["rank"], made.name) == ("2", 0, "15 tahrir street") and abs(made.lon - 31.0015) < 1e-6
