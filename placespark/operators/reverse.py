@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placespark.functions.geo import distance_confidence
+from placespark.functions.geo import distance_confidence, is_closed, ring_area_km2
 from placespark.operators.cells import enclosing, nearest, nearest_lines
 
 #: Planar reach of a street, and the area above which a place has none.
@@ -14,6 +14,20 @@ STREET_DEGREES = 0.005
 NO_STREET_KM2 = 0.1
 
 
+def areas(zones: DataFrame, lines: DataFrame) -> DataFrame:
+    """zones (osm_id, name, admin_level, area_km2, polygons) and the lines (osm_id, name, line) that are closed, of four points or more:
+    those are areas too. An id that is both counts once, as the zone."""
+    rings = lines.where((F.size("line") >= 4) & is_closed(F.col("line"))).select("osm_id", "name", F.lit(None).cast("int").alias("admin_level"), ring_area_km2(F.col("line")).alias("area_km2"), F.array(F.array("line")).alias("polygons"))
+    known = zones.select("osm_id", "name", F.col("admin_level").cast("int").alias("admin_level"), "area_km2", "polygons")
+    return known.unionByName(rings.join(known.select("osm_id"), "osm_id", "left_anti"))
+
+
+def with_details(found: DataFrame, places: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """found with columns of the places that its id column key names; nulls where there is none."""
+    named = places.select(F.col("osm_id").alias(key), *[F.col(c).alias(f"{key.removesuffix('_id')}_{c}") for c in columns])
+    return found.join(named, key, "left")
+
+
 def reverse_geocode(points: DataFrame, addresses: DataFrame, lines: DataFrame, zones: DataFrame) -> DataFrame:
     """For each point (p_id, p_lat, p_lon): nearest address with metres and confidence, nearest line, and the zones
     around it, smallest first."""

@@ -440,3 +440,15 @@ def test_address_search_and_interpolated_fallback(spark):
     out = search.with_interpolated(found, asked, known, lines).collect()
     (made,) = [r for r in out if r.kind == "interpolated"]
     assert (made["query"], made["rank"], made.name) == ("2", 0, "15 tahrir street") and abs(made.lon - 31.0015) < 1e-6
+
+
+def test_closed_lines_are_areas_and_ids_get_details(spark):
+    line = "array<struct<lat:double,lon:double>>"
+    square = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0), (0.0, 0.0)]
+    zones = spark.createDataFrame([("z", "Z", 8, 5.0, [[square]])], f"osm_id string, name string, admin_level int, area_km2 double, polygons array<array<{line}>>")
+    lines = spark.createDataFrame([("w1", "Park", square), ("w2", "Road", square[:4]), ("w3", "Loop", [(0.0, 0.0), (1.0, 1.0), (0.0, 0.0)]), ("z", "again", square)], f"osm_id string, name string, line {line}")
+    every = reverse.areas(zones, lines)
+    assert {(r.osm_id, r.name) for r in every.collect()} == {("z", "Z"), ("w1", "Park")}
+    point = spark.createDataFrame([("p", 0.5, 0.5)], "p_id string, p_lat double, p_lon double")
+    inside = cells.enclosing(point, every).select("p_id", F.col("osm_id").alias("zone_id"))
+    assert {(r.zone_id, r.zone_name) for r in reverse.with_details(inside, every, "zone_id", ["name"]).collect()} == {("z", "Z"), ("w1", "Park")}
