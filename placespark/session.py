@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch: whole texts are long, and a worker holds a batch and what it makes of it.
+ARROW_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def local_session(cpus: str = "*", name: str = "placespark", **conf: str) -> SparkSession:
@@ -21,7 +23,12 @@ def local_session(cpus: str = "*", name: str = "placespark", **conf: str) -> Spa
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once for each application, so that its Arrow functions can be imported there."""
+    """Send this package to the executors once for each application, so that its Arrow functions can be imported there.
+
+    Spark's default bound on the bytes of an Arrow batch is lowered for the session; one that is set already stays.
+    """
+    if spark.conf.get(ARROW_BYTES) in ("64MB", "67108864b"):
+        spark.conf.set(ARROW_BYTES, f"{BATCH}b")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
