@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from placespark.llm import decontaminate, knn, ngram_lm, packing, pii, quality, secrets, simhash, token_count, toxicity
+from placespark.llm import alignment, decontaminate, knn, ngram_lm, packing, pii, quality, secrets, simhash, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""
@@ -97,7 +101,7 @@ SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FRO
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_pack, op4_ngram_lm, op5_secrets, op6_token_counts, op7_simhash, op8_pii, op9_knn, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_pack, op4_ngram_lm, op5_secrets, op6_token_counts, op7_simhash, op8_pii, op9_knn, op10_toxicity, op11_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
