@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from placespark.llm import alignment, decontaminate, knn, ngram_lm, packing, pii, quality, secrets, simhash, token_count, toxicity, warc
+from placespark.llm import alignment, decontaminate, knn, merkle, ngram_lm, packing, pii, quality, secrets, simhash, token_count, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(table(spark, sf_dir, "pages"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""
@@ -114,10 +118,48 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN f.first_id IS NUL
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
+_FIELD = "coalesce(strlen({0})::VARCHAR || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{0}")) + ")"
+#: The CRC-32 of a text of digits and signs, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda r, b: list_reduce(list_prepend(xor(r, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_LEAF.format("text")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_CRC} % 3 = 0 THEN {_LEAF.format(LOWER.format("text"))} ELSE {_LEAF.format("text")} END AS tampered FROM documents
+), l AS (
+  SELECT *, coalesce('+' || lang, '-') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d
+), up AS (
+  SELECT 0 AS level, g, pos, n, leaf AS hash FROM l
+  UNION ALL
+  SELECT level + 1, g, pos, n, sha256(string_agg(hash, '' ORDER BY own)) FROM (SELECT level, g, pos // 8 AS pos, (n + 7) // 8 AS n, hash, pos AS own FROM up WHERE n > 1) GROUP BY level, g, pos, n
+), subs AS (
+  SELECT g, hash AS subroot, row_number() OVER (ORDER BY g <> '-', encode(g)) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+), top AS (
+  SELECT 0 AS level, pos, n, subroot AS hash FROM subs
+  UNION ALL
+  SELECT level + 1, pos, n, sha256(string_agg(hash, '' ORDER BY own)) FROM (SELECT level, pos // 8 AS pos, (n + 7) // 8 AS n, hash, pos AS own FROM top WHERE n > 1) GROUP BY level, pos, n
+), runs AS (
+  SELECT level, g, pos // 8 AS run, list(hash ORDER BY pos) AS members FROM (SELECT level, g, pos, hash FROM up WHERE n > 1 UNION ALL SELECT 1000 + level, '', pos, hash FROM top WHERE n > 1) GROUP BY ALL
+), climb AS (
+  SELECT l.doc_id, l.g, l.leaf, CASE WHEN l.n > 1 THEN 0 ELSE 1000 END AS level, CASE WHEN l.n > 1 THEN l.pos ELSE s.pos END AS pos, CASE WHEN l.n > 1 THEN l.n ELSE s.n END AS n, l.n = 1 AS is_top, s.pos AS top_pos, s.n AS top_n, s.subroot, '' AS proof, l.tampered AS folded, l.pos AS own
+  FROM l JOIN subs s USING (g)
+  UNION ALL
+  SELECT doc_id, g, leaf, CASE WHEN done THEN 1000 ELSE level + 1 END, CASE WHEN done THEN top_pos ELSE pos // 8 END, CASE WHEN done THEN top_n ELSE (n + 7) // 8 END, is_top OR done, top_pos, top_n, subroot,
+    proof || array_to_string(lefts, '') || array_to_string(rights, ''), sha256(array_to_string(lefts, '') || folded || array_to_string(rights, '')), own
+  FROM (
+    SELECT c.*, NOT c.is_top AND c.n <= 8 AS done, r.members[1:c.pos % 8] AS lefts, r.members[c.pos % 8 + 2:] AS rights
+    FROM climb c JOIN runs r ON r.level = c.level AND r.g = CASE WHEN c.is_top THEN '' ELSE c.g END AND r.run = c.pos // 8 WHERE c.n > 1
+  )
+)
+SELECT doc_id, leaf, subroot, (SELECT hash FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = (SELECT hash FROM top WHERE n = 1) AS verified
+FROM climb WHERE is_top AND n = 1
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_pack, op4_ngram_lm, op5_secrets, op6_token_counts, op7_simhash, op8_pii, op9_knn, op10_toxicity, op11_alignment, op12_warc)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_pack, op4_ngram_lm, op5_secrets, op6_token_counts, op7_simhash, op8_pii, op9_knn, op10_toxicity, op11_alignment, op12_warc, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op9_knn": OP9_SQL, "op12_warc": OP12_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op9_knn": OP9_SQL, "op12_warc": OP12_SQL, "op13_merkle": OP13_SQL}
