@@ -9,9 +9,10 @@ task. Levels: a run is ARITY rows by construction, so each level is one aggregat
 which hold their siblings on both sides and the id of their parent. Node rows are joined to those of their parents, so that one row leads
 LEAP levels up.
 
-Climb: a recursive query starts at all rows, with their own hash or a tampered one, and joins each to the node it stands at: the siblings
-are appended, the hash is folded with them, and the row stands at a node LEAP levels above. Nodes near the root are met by very many rows:
-the last NEAR or fewer, whole levels, are broadcast in a second recursive query; below, a level has more nodes than that.
+Climb: a recursive query starts at all leaves, with their own hash or a tampered one, and joins the node they stand at: the siblings are
+appended, each leaf's hash is folded with them, and it stands at a node LEAP levels above. The leaves of a run travel in one row, as what
+stands above them is the same; each folds its own hash. Nodes near the root are met by very many rows: the last NEAR or fewer, whole
+levels, are broadcast in a second recursive query; below, a level has more nodes than that.
 
 doc_id, lang, source, n_chars and text may be null: each is a field like any other; rows without doc_id are never tampered with. Empty texts
 are `0:`. Repeated rows are leaves each. No rows: no tree, and no rows. Extra columns take no part.
@@ -19,6 +20,8 @@ are `0:`. Repeated rows are leaves each. No rows: no tree, and no rows. Extra co
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,7 +87,7 @@ def _node(level: int, pos: Column, group: Column, tree: str) -> Column:
 def _levels(rows: DataFrame, group: Column, tree: str, above: Column, carried: list[str]) -> tuple[DataFrame | None, list[DataFrame], DataFrame]:
     """Runs of level 0, node rows of the levels from 1 on, and what remains of each group, of rows (group's columns, pos, n, hash, carried).
 
-    Each level has rows (id, level, hash, left, right, parent); above is the id by which the last node of a group is known.
+    Runs are (members, parent); each level has rows (id, hash, left, right, parent); above is the id by which the last node of a group is known.
     """
     own = [c for c in rows.columns if c not in ("pos", "n", "hash", *carried)]
     last = rows.where("n = 1").select(*own, "hash")
@@ -96,45 +99,51 @@ def _levels(rows: DataFrame, group: Column, tree: str, above: Column, carried: l
         hashes = F.aggregate(F.col("members"), F.lit(b""), lambda s, m: F.concat(s, m["hash"]))
         runs = written(runs.withColumn("hash", _hash(_hex(hashes))).withColumn("count", F.ceil(F.col("n") / ARITY)))
         parent = F.when(F.col("count") == 1, above).otherwise(_node(level + 1, F.col("pos"), group, tree))
-        each = runs.withColumn("parent", parent).select("*", F.explode("members").alias("member"))
-        left, right = _sides(F.col("members"), F.col("member.place"))
-        named = _node(level, F.col("pos") * ARITY + F.col("member.place"), group, tree)
-        table = each.select(*own, named.alias("id"), F.lit(level).alias("level"), F.col("member.hash").alias("hash"), left.alias("left"), right.alias("right"), "parent", *[F.col("member")[c].alias(c) for c in (carried if level == 0 else [])])
         if level == 0:
-            first = table
+            first = runs.select(*own, "members", parent.alias("parent"))
         else:
-            nodes.append(table)
+            named = _node(level, F.col("pos") * ARITY + F.col("member.place"), group, tree)
+            nodes.append(_apart(runs.withColumn("parent", parent)).withColumn("id", named))
         next_ = runs.select(*own, "pos", F.col("count").alias("n"), "hash")
         last = last.unionByName(next_.where("n = 1").select(*own, "hash"))
         current, most, level = next_.where("n > 1"), -(-most // ARITY), level + 1
     return first, nodes, last
 
 
+def _apart(runs: DataFrame) -> DataFrame:
+    """A row for each member of the runs, with its hash and those on both sides."""
+    each = runs.drop("hash").select("*", F.explode("members").alias("member"))
+    left, right = _sides(F.col("members"), F.col("member.place"))
+    return each.select("*", F.col("member.hash").alias("hash"), left.alias("left"), right.alias("right")).drop("members")
+
+
 def tree(rows: DataFrame) -> tuple[DataFrame, DataFrame, str]:
-    """Of leaves' rows: where each row stands after its own run (doc_id, leaf, cur, folded, siblings), node rows (id, level, hash, left, right,
+    """Of leaves' rows: where each run stands after its own fold (cur, members (doc_id, leaf, folded)), node rows (id, level, hash, left, right,
     parent, is_root; parents of null are the whole tree's root), and the root."""
     group = F.coalesce(F.concat(F.lit("+"), "lang"), F.lit("-"))
     own = F.concat(F.lit("s"), group)
     placed = numbered(rows, "lang", ["doc_id", "leaf"])
-    first, nodes, roots = _levels(placed.withColumnRenamed("leaf", "hash"), group, "n", own, ["doc_id", "tampered"])
-    folded = _hash(_hex(F.concat("left", "tampered", "right")))
-    start = placed.where("n = 1").select("doc_id", "leaf", own.alias("cur"), F.col("tampered").alias("folded"), F.lit(b"").alias("siblings"))
-    if first is not None:
-        start = start.unionByName(first.select("doc_id", F.col("hash").alias("leaf"), F.col("parent").alias("cur"), folded.alias("folded"), F.concat("left", "right").alias("siblings")))
-    of_one = F.lit(1).alias("of")
-    ranked = numbered(written(roots.select("lang", "hash", of_one)), "of", ["lang"])
-    top_first, top, last = _levels(ranked, F.lit(""), "t", F.lit(None).cast("string"), ["lang"])
+    runs, nodes, roots = _levels(placed.withColumnRenamed("leaf", "hash"), group, "n", own, ["doc_id", "tampered"])
+    member = lambda m, folded: F.struct(m["doc_id"].alias("doc_id"), m["leaf"].alias("leaf"), folded.alias("folded"))
+    alone = F.struct("doc_id", "leaf", F.col("tampered").alias("folded"))
+    start = placed.where("n = 1").select(own.alias("cur"), F.array(member(alone, F.col("tampered"))).alias("members"))
+    if runs is not None:
+
+        def folded(m: Column, i: Column) -> Column:
+            left, right = _sides(F.col("members"), i)
+            return F.struct(m["doc_id"].alias("doc_id"), m["hash"].alias("leaf"), _hash(_hex(F.concat(left, m["tampered"], right))).alias("folded"))
+
+        start = start.unionByName(runs.select(F.col("parent").alias("cur"), F.transform("members", folded).alias("members")))
+    ranked = numbered(written(roots.select("lang", "hash", F.lit(1).alias("of"))), "of", ["lang"])
+    top_runs, top, last = _levels(ranked, F.lit(""), "t", F.lit(None).cast("string"), ["lang"])
     found = last.select(_hex(F.col("hash"))).first()
-    shape = ["id", "level", "hash", "left", "right", "parent", "is_root"]
-    tables = [t.withColumn("is_root", F.lit(False)) for t in nodes]
-    lone = ranked.where("n = 1").select(own.alias("id"), F.lit(0).alias("level"), "hash", F.lit(b"").alias("left"), F.lit(b"").alias("right"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("is_root"))
-    tables.append(lone if top_first is None else top_first.drop("id").withColumn("id", own).withColumn("is_root", F.lit(True)))
-    tables += [t.withColumn("is_root", F.lit(False)) for t in top]
-    out = None
-    for i, t in enumerate(tables):
-        t = t.withColumn("level", F.lit(i)).select(shape)
-        out = t if out is None else out.unionByName(t)
-    return start, out, found[0] if found else ""
+    shape = ["id", "hash", "left", "right", "parent", "is_root"]
+    nothing = F.lit(b"")
+    lone = ranked.where("n = 1").select(own.alias("id"), "hash", nothing.alias("left"), nothing.alias("right"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("is_root"))
+    tops = lone if top_runs is None else _apart(top_runs).withColumn("lang", F.col("member.lang")).withColumn("id", own).withColumn("is_root", F.lit(True))
+    tables = [t.withColumn("is_root", F.lit(False)) for t in nodes] + [tops] + [t.withColumn("is_root", F.lit(False)) for t in top]
+    leveled = [t.select(*shape, F.lit(i).alias("level")) for i, t in enumerate(tables)]
+    return start, reduce(DataFrame.unionByName, leveled), found[0] if found else ""
 
 
 def leaps(nodes: DataFrame) -> DataFrame:
@@ -152,39 +161,38 @@ def leaps(nodes: DataFrame) -> DataFrame:
 
 
 CLIMB = """
-WITH RECURSIVE climb(doc_id, leaf, cur, folded, siblings, sub) AS (
-  SELECT doc_id, leaf, cur, folded, siblings, sub FROM {start}
+WITH RECURSIVE climb(cur, members, siblings, sub) AS (
+  SELECT cur, members, siblings, sub FROM {start}
   UNION ALL
-  SELECT c.doc_id, c.leaf, n.next,
-    aggregate(n.steps, c.folded, (f, s) -> unhex(sha2(lower(hex(concat(s.left, f, s.right))), 256))),
+  SELECT n.next,
+    transform(c.members, m -> named_struct('doc_id', m.doc_id, 'leaf', m.leaf, 'folded', aggregate(n.steps, m.folded, (f, s) -> unhex(sha2(lower(hex(concat(s.left, f, s.right))), 256))))),
     concat(c.siblings, aggregate(n.steps, X'', (x, s) -> concat(x, s.left, s.right))), coalesce(c.sub, n.sub)
-  FROM climb c JOIN {hint} {nodes} n ON c.cur = n.id
+  FROM climb c JOIN {nodes} n ON c.cur = n.id
 )
-SELECT c.* FROM climb c {rest}
+SELECT c.* FROM climb c LEFT ANTI JOIN {ends} e ON c.cur = e.cur
 """
 
 
 def climbed(spark: SparkSession, start: DataFrame, nodes: DataFrame) -> DataFrame:
-    """start's rows at the root: (doc_id, leaf, folded, siblings, sub)."""
+    """start's rows at the root: (members, siblings above their run, sub)."""
     table = leaps(nodes)
     counts = sorted((r["level"], r["count"]) for r in table.groupBy("level").count().collect())
     near, room = len(counts), NEAR
     while near and counts[near - 1][1] <= room:
         near -= 1
         room -= counts[near][1]
-    at = start.withColumn("sub", F.lit(None).cast("binary"))
+    at = start.select("cur", "members", F.lit(b"").alias("siblings"), F.lit(None).cast("binary").alias("sub"))
     before = spark.conf.get(ROW_LIMIT)
     spark.conf.set(ROW_LIMIT, "-1")
     try:
         for low, high in ((0, near), (near, len(counts))):
-            part = table.where((F.col("level") >= low) & (F.col("level") < high))
             if low == high:
                 continue
-            part = F.broadcast(part.drop("level")) if low == near else part.drop("level")
+            part = table.where((F.col("level") >= low) & (F.col("level") < high)).drop("level")
             ends = part.select(F.col("id").alias("cur"))
-            ends = F.broadcast(ends) if low == near else ends
-            climb = spark.sql(CLIMB.format(start="{start}", nodes="{nodes}", hint="", rest="LEFT ANTI JOIN {ends} e ON c.cur = e.cur"), start=at, nodes=part, ends=ends)
-            at = written(climb)
+            if low == near:
+                part, ends = F.broadcast(part), F.broadcast(ends)
+            at = written(spark.sql(CLIMB, start=at, nodes=part, ends=ends))
     finally:
         spark.conf.set(ROW_LIMIT, before)
     return at
@@ -193,6 +201,8 @@ def climbed(spark: SparkSession, start: DataFrame, nodes: DataFrame) -> DataFram
 def manifest_report(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, leaf, subroot, root, proof_sha256 (all untampered), folded_root (of the tampered leaf and the original siblings), verified."""
     start, nodes, root = tree(leaves(documents))
-    at = climbed(documents.sparkSession, start, nodes)
-    folded = _hex(F.col("folded"))
-    return at.select("doc_id", _hex(F.col("leaf")).alias("leaf"), _hex(F.col("sub")).alias("subroot"), F.lit(root).alias("root"), F.sha2(_hex(F.col("siblings")), 256).alias("proof_sha256"), folded.alias("folded_root"), (folded == root).alias("verified"))
+    at = climbed(documents.sparkSession, start, nodes).select("*", F.posexplode("members").alias("i", "m"))
+    left, right = _sides(F.transform("members", lambda m: F.struct(m["leaf"].alias("hash"))), F.col("i"))
+    proof = F.sha2(_hex(F.concat(left, right, "siblings")), 256)
+    folded = _hex(F.col("m.folded"))
+    return at.select(F.col("m.doc_id").alias("doc_id"), _hex(F.col("m.leaf")).alias("leaf"), _hex(F.col("sub")).alias("subroot"), F.lit(root).alias("root"), proof.alias("proof_sha256"), folded.alias("folded_root"), (folded == root).alias("verified"))
