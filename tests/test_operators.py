@@ -423,6 +423,40 @@ def test_nearest_over_all_distances(spark):
     assert cells.nearest(points, places.limit(0), "p_id", "osm_id").count() == 0
 
 
+def test_nearest_against_all_pairs_over_the_globe(spark):
+    rng = random.Random(4)
+    spot = lambda: (rng.choice([rng.uniform(-90, 90), rng.gauss(30, 0.01), rng.gauss(30, 1), 89.99, -90.0]), rng.choice([rng.uniform(-180, 180), rng.gauss(31, 0.01), rng.gauss(31, 1), 180.0, -179.999]))
+    spots = [spot() for _ in range(300)]
+    places = spark.createDataFrame([(f"o{i}", *rng.choice(spots)) for i in range(400)] + [("null", None, 1.0)], "osm_id string, lat double, lon double")
+    points = spark.createDataFrame([(i, *spot()) for i in range(250)] + [(999, None, 0.0)], "p_id int, p_lat double, p_lon double")
+    every = points.crossJoin(places).withColumn("d", geo.haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))).where("lat IS NOT NULL AND p_lat IS NOT NULL").collect()
+    of = {}
+    for r in every:
+        of.setdefault(r.p_id, []).append((r.d, r.osm_id))
+    for k in (1, 4):
+        got = {}
+        for r in cells.nearest(points, places, "p_id", "osm_id", k).orderBy("rank").collect():
+            got.setdefault(r.p_id, []).append((r.distance_m, r.osm_id))
+        assert got == {p: sorted(rows)[:k] for p, rows in of.items()}
+
+
+def test_nearest_isnt_misled_by_cells_of_another_size(spark):
+    points = spark.createDataFrame([(1, -67.5003, -170.0)], "p_id int, p_lat double, p_lon double")
+    places = spark.createDataFrame([("near", -60.0, -170.0), ("far", -0.02, -164.70)], "osm_id string, lat double, lon double")
+    assert [r.osm_id for r in cells.nearest(points, places, "p_id", "osm_id").collect()] == ["near"]
+
+
+def test_levels_follow_what_cells_hold(spark):
+    sizes = cells._levels(30.0)
+    spots = spark.createDataFrame([("a", 30.0, 31.0), ("b", 30.0001, 31.0), ("c", 30.01, 31.0), ("d", 40.0, 31.0)], "osm_id string, lat double, lon double")
+    points = spark.createDataFrame([("at", 30.00005, 31.0), ("km", 30.02, 31.0), ("apart", 40.0, 31.0), ("empty", -50.0, -100.0)], "p_id string, p_lat double, p_lon double")
+    homes = spots.select(cells._homes(F.col("lat"), F.col("lon"), dict(enumerate(sizes))).alias("at")).select("at.*")
+    counts = homes.groupBy("level", "cell").agg(F.count("*").alias("n"))
+    assert {r.level: r.n for r in counts.groupBy("level").agg(F.sum("n").alias("n")).collect()} == {i: 4 for i in range(len(sizes))}
+    level = {r.p_id: sizes[r.level] for r in cells.point_levels(points, counts, "p_id", 2, sizes).collect()}
+    assert level["at"] <= 120 and 480 <= level["km"] <= 7680 and level["apart"] > 300_000 and level["empty"] > 1_000_000
+
+
 def test_address_search_and_interpolated_fallback(spark):
     rows = [("a1", None, "Tahrir Street", "10", "Cairo", "11511", "EG"), ("a2", None, "Tahrir Street", "20", "Cairo", "11511", "EG"), ("a3", None, "Nile Street", "15", "Cairo", "11512", "EG"), ("a4", None, "Tahrir Street", "15", "Giza", "12511", "EG"), ("p1", "Cairo Tower", None, None, "Cairo", None, "EG")]
     places = [(i, n, s, h, c, p, k, ", ".join(x for x in (f"{h} {s}" if s else None, c) if x) if s else "", 30.0 + (0.5 if c == "Giza" else 0.0), 31.0 + int(h or 0) / 10_000, 1.0, 0.0) for i, n, s, h, c, p, k in rows]
