@@ -120,7 +120,7 @@ def features_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             sums = np.concatenate([[0], np.cumsum(kind[raw])])
             shape = shape * np.uint64(3) + np.minimum(sums[end] - sums[start], 2).astype(np.uint64)
         shape = mix(shape + np.uint64(1))
-        before = np.concatenate([[np.uint64(7)], shape[:-1]])
+        before = np.where(np.concatenate([[True], doc[1:] != doc[:-1]]), np.uint64(7), np.concatenate([[np.uint64(7)], shape[:-1]]))
         repeat = np.concatenate([[False], (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])]).astype(np.uint64)
         pair = mix(before * np.uint64(31) + shape + repeat)
         found.append(np.stack([words, shape, pair], axis=1).ravel() % np.uint64(DIMENSIONS))

@@ -1,5 +1,7 @@
 """Token counts, quality and toxicity."""
 
+import math
+import re
 import random
 
 import numpy as np
@@ -169,3 +171,45 @@ def test_toxicity_edges(spark, edges, nothing):
     assert len({r.score for r in toxicity.toxicity_report(edges, l.limit(0)).collect()}) == 1
     kept = toxicity.drop_toxic(edges, l)
     assert kept.columns == edges.columns and kept.count() == edges.count()
+
+
+def brute_quality(text, weights):
+    """The scorer word by word: hashed word, shape, and shapes of two neighbours, averaged."""
+    raw = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", raw) if w]
+    if not words:
+        return 1 / (1 + math.exp(-weights[-1]))
+    mask = (1 << 64) - 1
+    mix = lambda h: int(quality.mix(np.array([h & mask], np.uint64))[0])
+    total, before, last = 0.0, 7, None
+    for w in words:
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+        own = int(quality.span_hashes(np.frombuffer(low, np.uint8), np.array([0]), np.array([len(low)]))[0])
+        kinds = [sum(97 <= c <= 122 for c in w), sum(65 <= c <= 90 for c in w), sum(48 <= c <= 57 for c in w), sum(c >= 128 for c in w)]
+        shape = min(len(w), 15)
+        for n in [*kinds, len(w) - sum(kinds)]:
+            shape = shape * 3 + min(n, 2)
+        shape = mix(shape + 1)
+        pair = mix(before * 31 + shape + (low == last))
+        total += sum(float(weights[x % quality.DIMENSIONS]) for x in (own, shape, pair))
+        before, last = shape, low
+    return 1 / (1 + math.exp(-(total / (3 * len(words)) + weights[-1])))
+
+
+def test_scorer_equals_brute_force(spark, sf):
+    weights = np.random.default_rng(3).normal(size=quality.DIMENSIONS + 1).astype(np.float32) * 30
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.with_quality(docs, weights).collect():
+        assert math.isclose(r.score, brute_quality(texts[r.doc_id], weights), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_copies_score_alike_wherever_they_stand(spark):
+    weights = np.random.default_rng(4).normal(size=quality.DIMENSIONS + 1) * 30
+    texts = ["The same text, copied.", "other WORDS 12 stand here", "x", "The same text, copied.", "", None, "The same text, copied.", "x"]
+    scores = {}
+    for order, parts in ((1, 1), (-1, 1), (1, 3), (-1, 8)):
+        frame = spark.createDataFrame([(t,) for t in texts[::order]], "text string").repartition(parts) if parts > 1 else spark.createDataFrame([(t,) for t in texts[::order]], "text string").coalesce(1)
+        for r in quality.with_quality(frame, weights).collect():
+            scores.setdefault(r.text, set()).add(r.score)
+    assert len(scores) == 5 and all(len(s) == 1 for s in scores.values())
