@@ -34,6 +34,7 @@ WIDTH = 16
 MOST = 3000
 LANDMARKS = 256
 CANDIDATES = 3000
+CALIBRATING = 20
 ROUNDS = 6
 THRESHOLD = 0.7
 NONE = -2.0
@@ -206,12 +207,12 @@ def kernel_column(codes: np.ndarray, one: np.ndarray, w: np.ndarray) -> np.ndarr
     return out
 
 
-def _landmarks(codes: np.ndarray, y: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-    """Rows of the landmarks: of CANDIDATES rows of each class those that the ones before explain least (pivoted Cholesky)."""
+def _landmarks(codes: np.ndarray, y: np.ndarray, w: np.ndarray, n: int, candidates: int) -> np.ndarray:
+    """Rows of the landmarks: of `candidates` rows of each class those that the ones before explain least (pivoted Cholesky)."""
     chosen = []
     for sign in (1, -1):
         own = np.flatnonzero(y == sign)
-        own = own[:: -(-len(own) // CANDIDATES)]
+        own = own[:: -(-len(own) // candidates)]
         some = codes[own]
         left = np.array([(np.bincount(np.unique(c, return_inverse=True)[1], w * INSIDE[c]) ** 2).sum() for c in some])
         scale, factors = left.max(initial=0.0), np.zeros((n // 2, len(own)))
@@ -258,11 +259,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(positive: list[bytes], negative: list[bytes], landmarks: int = LANDMARKS, strength: float = 100.0) -> tuple[np.ndarray, float, np.ndarray]:
+def fit(positive: list[bytes], negative: list[bytes], landmarks: int = LANDMARKS, strength: float = 100.0, candidates: int = CANDIDATES) -> tuple[np.ndarray, float, np.ndarray]:
     """Table of weights and bias of the machine that tells the windows apart, and its values of the negative ones."""
     codes, w = features(positive + negative), weights()
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    chosen = _landmarks(codes, y, w, landmarks)
+    chosen = _landmarks(codes, y, w, landmarks, candidates)
     kernel = np.stack([kernel_column(codes, codes[i], w) for i in chosen], axis=1)
     values, vectors = np.linalg.eigh(kernel[chosen])
     good = values > 1e-6 * values.max()
@@ -276,8 +277,12 @@ def fit(positive: list[bytes], negative: list[bytes], landmarks: int = LANDMARKS
     return table, bias, (kernel @ root @ slope + bias)[len(positive) :]
 
 
-def train(documents: DataFrame, labels: DataFrame, most: int = MOST, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> dict:
-    """The machine: table, bias and the logistic function's weights; all of a bounded size."""
+def train(documents: DataFrame, labels: DataFrame, most: int = MOST, landmarks: int = LANDMARKS, rounds: int = ROUNDS, candidates: int = CANDIDATES, calibrating: int = CALIBRATING) -> dict:
+    """The machine: table, bias and the logistic function's weights; all of a bounded size.
+
+    It is taught by at most `most` rows of each class, and its landmarks are chosen among `candidates` of their windows. The rows held
+    back from teaching calibrate it; if a class has fewer than `calibrating` of them, the taught rows do too.
+    """
     rows = written(training_rows(documents, labels, most))
     spark = documents.sparkSession
     shares = {(r[0], r[1]): r[2] for r in rows.groupBy("toxic", "calibrates").count().collect()}
@@ -309,10 +314,10 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MOST, landmarks:
         negative = sorted((hard | {w for r in now if not r["toxic"] for w in r["windows"]}) - set(positive))
         if not positive or not negative:
             return {"constant": constant}
-        table, bias, values = fit(positive, negative, landmarks)
+        table, bias, values = fit(positive, negative, landmarks, candidates=candidates)
         hard = {w for w, v in zip(negative, values.tolist(), strict=True) if v > FAR}  # others have no say in the machine
     model = {"table": table.astype(np.float32), "bias": bias}
-    judged = rows.where("calibrates") if shares.get((1, True), 0) >= 20 and shares.get((0, True), 0) >= 20 else rows
+    judged = rows.where("calibrates") if min(shares.get((c, True), 0) for c in (0, 1)) >= calibrating else rows
     known = found(table, bias, judged)
     model["weights"] = _logistic(np.stack([known.column("first").to_numpy(), known.column("second").to_numpy()], axis=1), known.column("toxic").to_numpy().astype(float))
     return model
