@@ -250,8 +250,10 @@ def numbered(pieces: DataFrame, total: int, rows_a_bucket: int) -> DataFrame:
 
 
 def pack(documents: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", keep: list[str] | None = None, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
-    """token_pieces with sequence_id and offset: each piece's sequence and its place there."""
-    pieces = written(token_pieces(documents, tokenizer, capacity=capacity, end_id=end_id, text=text, keep=keep).select(F.struct("*").alias("piece"), "length", F.monotonically_increasing_id().alias("uid")))
+    """token_pieces with sequence_id and offset: each piece's sequence and its place there. Own columns of the results' names stay, before these."""
+    columns = documents.columns if keep is None else keep
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own"), F.col(text).alias("text"))
+    pieces = written(token_pieces(rows, tokenizer, capacity=capacity, end_id=end_id, keep=["own"]).select(F.struct("*").alias("piece"), "length", F.monotonically_increasing_id().alias("uid")))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = pieces.sparkSession.sparkContext.broadcast(Plan(counts, capacity).slots())
 
@@ -264,4 +266,5 @@ def pack(documents: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_
 
     ranked = numbered(pieces, sum(counts.values()), rows_a_bucket)
     placed = arrow_map(ranked, {"length": F.col("length"), "number": F.col("number")}, "sequence_id bigint, offset bigint", place, keep=["piece"])
-    return placed.select("piece.*", "sequence_id", "offset")
+    made = [F.col("piece")[c].alias(c) for c in ("piece", "start", "length", "ids_crc32")]
+    return placed.select(*[F.col("piece")["own"][c].alias(c) for c in columns], *made, "sequence_id", "offset")

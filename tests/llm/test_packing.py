@@ -100,3 +100,9 @@ def test_edges(spark, edges, nothing):
     assert sum(r.doc_id == 6 for r in rows) == 2
     assert packing.pack(nothing, PATH).count() == 0
     assert packing.pack(edges, PATH).columns[-6:] == ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_own_columns_of_the_results_names_stay(spark):
+    rows = spark.createDataFrame([(1, "some words here", 7, 8, "p"), (2, None, None, None, None)], "doc_id bigint, text string, length int, start int, piece string")
+    got = packing.pack(rows, public_tokenizers.path("word_bpe_49k.json"))
+    assert got.columns == ["doc_id", "text", "length", "start", "piece", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() == 2
