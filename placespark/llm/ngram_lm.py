@@ -39,7 +39,7 @@ BEGIN, END, FIRST = 0, 1, 2
 
 _PROBABILITIES = np.concatenate([[0.0], 10.0 ** (-np.arange(65535) / QUANTUM)])
 
-CHUNK = "chunk bigint, doc_ids array<bigint>, train array<boolean>, sizes array<bigint>, vocabulary binary, tokens binary, n_train bigint"
+CHUNK = "chunk bigint, doc_ids array<string>, train array<boolean>, sizes array<bigint>, vocabulary binary, tokens binary, n_train bigint"
 ASKED = "shard int, chunk bigint, keys binary, counts binary"
 ANSWER = "chunk bigint, shard int, level int, numbers binary, codes binary, backoffs binary, types bigint, hot array<bigint>, hot_counts array<bigint>"
 
@@ -121,7 +121,7 @@ def chunked(documents: DataFrame, train: Column, text: str, doc_id: str, chunk_t
         if held:
             yield _chunk((part << 32) + number, held)
 
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), train.alias("train"))
+    rows = documents.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"), train.alias("train"))
     return rows.mapInArrow(cut, CHUNK)
 
 
@@ -135,7 +135,7 @@ def _chunk(number: int, held: list) -> pa.RecordBatch:
     words, tokens = words[often], place[tokens]
     n_train = int((sizes + 1)[np.array(train, bool)].sum())
     rows = [[number], [ids], [train], [sizes.tolist()], [words.tobytes()], [packed(tokens, np.uint32)], [n_train]]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
+    kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["chunk", "doc_ids", "train", "sizes", "vocabulary", "tokens", "n_train"])
 
 
@@ -326,7 +326,7 @@ class Chunk:
         known[self.first] = 0
         sums = [np.add.reduceat(x, self.first) for x in (known, base, score)]
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        return pa.RecordBatch.from_arrays([pa.array(self.ids, pa.int64()), pa.array(~self.train), pa.array(self.sizes + 1), pa.array(sums[0]), pa.array(np.full(len(self.sizes), total)), pa.array(sums[1]), pa.array(sums[2])], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids, pa.string()), pa.array(~self.train), pa.array(self.sizes + 1), pa.array(sums[0]), pa.array(np.full(len(self.sizes), total)), pa.array(sums[1]), pa.array(sums[2])], names=names)
 
 
 def _lexicon(shards: int):
@@ -396,4 +396,5 @@ def lm_scores(documents: DataFrame, train: Column, *, order: int = ORDER, min_co
         asked = with_answers(lambda c: c.asked(), ASKED)
         made = written(asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_grams_answered(level, shards, hot, spark.sparkContext.broadcast(counts), level == order, min_context), ANSWER))
         counts, answers = hot_of(made), answers.unionByName(made)
-    return with_answers(lambda c: c.scores(total, types), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    scored = with_answers(lambda c: c.scores(total, types), "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return scored.withColumn("doc_id", F.col("doc_id").cast(documents.schema[doc_id].dataType))

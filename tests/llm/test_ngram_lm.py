@@ -130,3 +130,9 @@ def test_query_has_three_levels_and_contexts_seen_once(spark, tmp_path):
     p2 = (1 + ngram_lm.MASS * p1) / (1 + ngram_lm.MASS)
     p3 = (1 + ngram_lm.MASS * p2) / (1 + ngram_lm.MASS)
     assert abs(r.base_score - 4 * math.log10(p1)) < 1e-9 and abs(r.score - math.log10(p2) - 3 * math.log10(p3)) < 5e-3
+
+
+def test_string_ids(spark):
+    rows = spark.createDataFrame([(f"d{i}" if i else None, "one two three one two") for i in range(12)], "doc_id string, text string")
+    got = ngram_lm.lm_scores(rows, ~ngram_lm.is_held_out(rows["doc_id"]))
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted(["None", *[f"d{i}" for i in range(1, 12)]])
