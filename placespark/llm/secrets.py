@@ -3,12 +3,13 @@
 Patterns: assign (a telling name, = or :, and a value of 12 or more characters), access (AKIA, 18 or more), hex (16 or
 more). Besides them, runs of 20 or more encoding characters are candidates. The smallest alphabet that holds a candidate's
 characters is its encoding, and its characters become numbers there. Three tests: chi-squared of the counts against a
-uniform alphabet, Wald and Wolfowitz's runs above and below the middle, and the serial correlation of neighbours. The
-second and third must not reject randomness (|z| up to LIMIT). The first gives the p-value of "this is no random key":
-written text repeats letters, so its chi-squared is about df + n * EXCESS with n characters, and random keys lie far
-below that. Longer candidates tell more, so they are split by length, and in each class Benjamini and Hochberg's rule at
-level RATE, on counts of p-values in fixed bins over the whole table, sets the limit: at most so many of its finds are
-expected to be false.
+uniform alphabet, Wald and Wolfowitz's runs above and below the middle, and the serial correlation of neighbours. Each
+gives a p-value of "this is no random key". Written text repeats letters, so its chi-squared is about df + n * EXCESS
+with n characters, and random keys lie far below that. The other two are tests of equivalence: of "this departs from
+randomness by MARGIN standard errors or more", which a |z| far below MARGIN rejects. A key has to reject all three, so the
+greatest of the p-values is that of the battery (intersection-union). Longer candidates tell more, so they are split by
+length, and in each class Benjamini and Hochberg's rule at level RATE, on counts of these p-values in fixed bins over the
+whole table, sets the limit: at most so many of its finds are expected to be false.
 
 Null and empty texts have no spans. Rows are judged one by one but for the limits, which depend on the whole table.
 """
@@ -45,7 +46,8 @@ ALPHABETS = [
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 3.0),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", 3.2),
 ]
-LIMIT = 3.3
+#: Standard errors by which runs and serial correlation of what is no key depart from randomness.
+MARGIN = 6.5
 RATE = 0.01
 LENGTHS = [20, 24, 32, 40, 48, 64]
 BINS = 400
@@ -53,7 +55,7 @@ PER_DECADE = 20
 
 
 def _test_columns(value: Column) -> Column:
-    """(length class, bin of -log10 p, whether the other tests allow randomness) of one candidate."""
+    """(plain, encoding, n) of one candidate."""
     plain = F.regexp_replace(value, "=", "")
     encoding = F.coalesce(*[F.when(F.translate(plain, a, "") == "", F.struct(F.lit(a).alias("alphabet"), F.lit(float(len(a))).alias("size"), F.lit(e).alias("excess"))) for _, a, e in ALPHABETS])
     return F.struct(plain.alias("plain"), encoding.alias("encoding"), F.length(plain).cast("double").alias("n"))
@@ -83,13 +85,14 @@ def _z_values(s: Column) -> Column:
 
 
 def _judged(z: Column) -> Column:
-    """Upper bound of log10 p by the normal tail, in whole bins, with the length class."""
-    low = F.least(z["z_text"], F.lit(0.0))
+    """The battery's p-value: upper bound of its log10 by the normal tail, in whole bins, with the length class."""
+    worst = F.greatest(z["z_text"], F.abs(z["z_runs"]) - MARGIN, F.abs(z["z_serial"]) - MARGIN)
+    low = F.least(worst, F.lit(0.0))
     # log10 of a normal tail by Borjesson and Sundberg's bound, right at 0
     log_p = (-low * low / 2 - F.log(-low * 0.661 + 0.339 * F.sqrt(low * low + 5.51)) - 0.9189385332046727) / 2.302585092994046
-    p_bin = F.when(z["z_text"] >= 0, F.lit(0)).otherwise(F.least(F.floor(-log_p * PER_DECADE), F.lit(BINS - 1))).cast("int")
+    p_bin = F.when(worst >= 0, F.lit(0)).otherwise(F.least(F.floor(-log_p * PER_DECADE), F.lit(BINS - 1))).cast("int")
     length = sum((F.when(z["n"] >= x, 1).otherwise(0) for x in LENGTHS), F.lit(0))
-    return F.struct(length.alias("length"), p_bin.alias("p_bin"), ((F.abs(z["z_runs"]) <= LIMIT) & (F.abs(z["z_serial"]) <= LIMIT)).alias("random"))
+    return F.struct(length.alias("length"), p_bin.alias("p_bin"))
 
 
 def _limits(counts: DataFrame) -> list[tuple[int, int]]:
@@ -104,20 +107,20 @@ def _limits(counts: DataFrame) -> list[tuple[int, int]]:
 def find_secrets(documents: DataFrame, text: str = "text", name: str = "secrets", keep: list[str] | None = None) -> DataFrame:
     """documents (or its columns keep) with name: array of (kind, start, end), kind by its place in KINDS, in code points, end exclusive.
 
-    The texts are searched once: the spans are written beside the documents' columns, the limits counted from that table.
+    An own column of that name stays, before it. The texts are searched once: the spans are written beside the documents' columns, the limits counted from that table.
     """
     can = [None, F.contains("own_text", F.lit("AKIA")), None, None]
-    df = with_matches(documents, F.col(text), list(zip(PATTERNS, can, strict=True)), name)
-    own = [c for c in df.columns if c != name] if keep is None else keep
-    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")
+    own = documents.columns if keep is None else keep
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(text).alias("text"))
+    df = with_matches(rows, F.col("text"), list(zip(PATTERNS, can, strict=True)), "spans")
 
     def place(spans: Column) -> Column:
         return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-    assign = F.filter(F.get(name, F.lit(0)), lambda s: F.length(F.regexp_replace(s["value"], _VALUE, "")) >= 12)
-    base = F.concat(place(assign), place(F.get(name, F.lit(1))), place(F.get(name, F.lit(2))))
-    asked = F.filter(F.transform(F.get(name, F.lit(3)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _test_columns(s["value"]).alias("t"))), lambda s: s["t"]["encoding"].isNotNull() & (s["t"]["n"] >= LENGTHS[0]))
-    df = df.select(row, base.alias("base"), asked.alias("asked"))
+    assign = F.filter(F.get("spans", F.lit(0)), lambda s: F.length(F.regexp_replace(s["value"], _VALUE, "")) >= 12)
+    base = F.concat(place(assign), place(F.get("spans", F.lit(1))), place(F.get("spans", F.lit(2))))
+    asked = F.filter(F.transform(F.get("spans", F.lit(3)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _test_columns(s["value"]).alias("t"))), lambda s: s["t"]["encoding"].isNotNull() & (s["t"]["n"] >= LENGTHS[0]))
+    df = df.select("row", base.alias("base"), asked.alias("asked"))
     df = df.withColumn("asked", F.transform("asked", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _statistics(s["t"]).alias("t"))))
     df = df.withColumn("asked", F.transform("asked", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _z_values(s["t"]).alias("t"))))
     df = written(df.withColumn("asked", F.transform("asked", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _judged(s["t"]).alias("t")))))
@@ -128,7 +131,7 @@ def find_secrets(documents: DataFrame, text: str = "text", name: str = "secrets"
         ok = F.lit(False)
         for length, least in limits:
             ok = ok | ((t["length"] == length) & (t["p_bin"] >= least))
-        return ok & t["random"]
+        return ok
 
     more = F.transform(F.filter("asked", lambda s: is_found(s["t"])), lambda s: F.struct(F.lit(BASE).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return df.select(*[F.col("row")[c].alias(c) for c in own], F.concat("base", more).alias(name))
