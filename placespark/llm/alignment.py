@@ -19,6 +19,7 @@ tokens: zeros and an empty hash. Repeated rows count each. No documents: no rows
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -56,6 +57,7 @@ class Vocabularies:
     """Both tokenizers, the bytes of their ids, and the identity map."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
         letters = byte_letters()
@@ -93,7 +95,7 @@ class Vocabularies:
         """A's and B's ids of every piece; B writes a space before each text itself."""
         b = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
         b = [[self.space] if p == " " else ids if p[0] == " " else ids[1:] for p, ids in zip(pieces, b, strict=True)]
-        return [(e.ids, ids) for e, ids in zip(self.a.encode_batch(pieces, add_special_tokens=False), b, strict=True)]
+        return [(e.ids, ids) for e, ids in zip(self.a.encode_batch_fast(pieces, add_special_tokens=False), b, strict=True)]
 
 
 @lru_cache(maxsize=2)
