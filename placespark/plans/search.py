@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placespark.functions import analysis
 from placespark.functions.text import fold_marks, looks_like_address, normal_text, street_form, suggestion_form, tokens, with_ordinals_swapped
 from placespark.intermediate import written
 from placespark.operators import search
@@ -70,7 +73,7 @@ def phrase_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.phrases(asked(spark, sf_dir), indexed(spark, sf_dir)[0], last_is_prefix=True).select("query", "doc")
 
 
-@query(POST + ", e AS (SELECT DISTINCT token FROM q), v AS (SELECT e.token AS asked, st.token, levenshtein(e.token, st.token) AS edits FROM e, st WHERE left(e.token, 1) = left(st.token, 1)) SELECT DISTINCT asked, token, edits FROM v WHERE edits <= CASE WHEN length(asked) < 3 THEN 0 WHEN length(asked) < 6 THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY asked ORDER BY edits, token) <= 30")
+@query(POST + ", e AS (SELECT DISTINCT token FROM q), v AS (SELECT e.token AS asked, st.token, damerau_levenshtein(e.token, st.token) AS edits FROM e, st WHERE left(e.token, 1) = left(st.token, 1)) SELECT DISTINCT asked, token, edits FROM v WHERE edits <= CASE WHEN length(asked) < 3 THEN 0 WHEN length(asked) < 6 THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY asked ORDER BY edits, token) <= 30")
 def fuzzy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fuzzy_tokens(asked(spark, sf_dir), indexed(spark, sf_dir)[1]).select("asked", "token", "edits").distinct()
 
@@ -129,3 +132,91 @@ def text_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms of whole texts in four languages."""
     text = F.coalesce("text", F.lit(None).cast("string"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(fold_marks(text)).alias("folded"), F.md5(street_form(text)).alias("street"), F.size(tokens(text)).cast("bigint").alias("n_tokens"))
+
+
+def _map(table: dict[str, tuple[str, ...]]) -> str:
+    return f"MAP {{{', '.join(f"'{k}': {list(v)}" for k, v in sorted(table.items()))}}}"
+
+
+MARKS = {".": "\ue000", ":": "\ue001", "·": "\ue002", ",": "\ue003", ";": "\ue004"}
+
+
+def stream_sql(source: str, chain: analysis.Chain) -> str:
+    """DuckDB list of (pos, tokens) for each row of source (id, text): joining signs become private letters, so that words are what stands between others."""
+    clean = f"translate(coalesce(text, ''), '{analysis.TATWEEL}{analysis.HARAKAT}''’ʼ', '')"
+    for inside, signs in (("\\p{L}", ".:·"), ("\\p{Nd}", ".,;")):
+        for sign in signs:
+            left = "[\\p{L}\\p{M}]" if inside == "\\p{L}" else inside
+            for _ in range(2):
+                clean = f"regexp_replace({clean}, '({left})[{sign}]({inside})', '\\1{MARKS[sign]}\\2', 'g')"
+    words = f"regexp_extract_all(regexp_replace({clean}, '([\\p{{Han}}\\p{{Hiragana}}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}_{''.join(MARKS.values())}]+')"
+    words = f"list_filter({words}, lambda w: regexp_matches(w, '[\\p{{L}}\\p{{Nd}}\\p{{Nl}}]'))"
+    words = f"flatten(list_transform({words}, lambda w: regexp_extract_all(w, '.{{1,255}}')))"
+    word = f"translate(translate(lower(w), '{''.join(MARKS.values())}', '{''.join(MARKS)}'), 'إأآىة', 'ااايه')"
+    some = f"coalesce({_map(chain.alternatives())}[{word}], [{word}])" if chain.synonyms else f"[{word}]"
+    fold = "replace(replace(replace(replace(replace(translate(strip_accents(v), 'øđðłħıŧ', 'oddlhit'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'þ', 'th'), 'ĳ', 'ij')"
+    some = f"list_transform({some}, lambda v: {fold})"
+    if chain.grams:
+        some = f"flatten(list_transform({some}, lambda v: list_transform(list_filter(range(2, 16), lambda k: k <= length(v)), lambda k: substring(v, 1, k))))"
+    return f"SELECT id, list_transform({words}, lambda w: list_sort(list_distinct({some}))) AS stream FROM {source}"
+
+
+ANALYSED = " UNION ALL ".join(
+    f"SELECT id AS doc_id, '{name}' AS chain, CAST(len(stream) AS BIGINT) AS positions, CAST(coalesce(list_sum(list_transform(stream, lambda s: len(s))), 0) AS BIGINT) AS tokens, md5(array_to_string(list_transform(stream, lambda s: array_to_string(s, '|')), ' ')) AS digest FROM ({stream_sql('(SELECT doc_id AS id, text FROM documents)', chain)})"
+    for name, chain in analysis.CHAINS.items() if name != "address_search"
+)
+
+
+@query(ANALYSED)
+def analysed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts read by three analyser chains."""
+    docs = table(spark, sf_dir, "documents").repartition("doc_id")
+    streams = [docs.select("doc_id", F.lit(name).alias("chain"), analysis.stream(F.col("text"), chain).alias("s")) for name, chain in analysis.CHAINS.items() if name != "address_search"]
+    tokens = F.aggregate("s", F.lit(0).cast("bigint"), lambda n, x: n + F.size(x))
+    digest = F.md5(F.array_join(F.transform("s", lambda x: F.array_join(x, "|")), " "))
+    return reduce(DataFrame.unionByName, streams).select("doc_id", "chain", F.size("s").cast("bigint").alias("positions"), tokens.alias("tokens"), digest.alias("digest"))
+
+
+@query(f"""WITH d AS ({stream_sql("(SELECT p_partkey AS id, concat_ws(' ', p_name, CASE p_partkey % 4 WHEN 0 THEN 'St.' WHEN 1 THEN 'street' WHEN 2 THEN 'bd' ELSE 'Boulevard' END) AS text FROM part)", analysis.STANDARD)}),
+o AS (SELECT id AS doc, len(stream) AS field_length, unnest(stream) AS alts FROM d), x AS (SELECT token, doc, count(*) AS tf, any_value(field_length) AS field_length FROM (SELECT doc, field_length, unnest(alts) AS token FROM o) GROUP BY 1, 2),
+l AS (SELECT count(*) AS docs, avg(len(stream)) AS average FROM d WHERE len(stream) > 0), st AS (SELECT token, count(*) AS df FROM x GROUP BY 1),
+q1 AS ({stream_sql("(SELECT DISTINCT concat(split_part(p_name, ' ', 1), CASE p_partkey % 2 WHEN 0 THEN ' Str' ELSE ' blvd' END, CASE p_partkey % 3 WHEN 0 THEN '' ELSE 'x st' END) AS id, concat(split_part(p_name, ' ', 1), CASE p_partkey % 2 WHEN 0 THEN ' Str' ELSE ' blvd' END, CASE p_partkey % 3 WHEN 0 THEN '' ELSE 'x st' END) AS text FROM part)", analysis.STANDARD)}),
+q2 AS (SELECT id AS query, len(stream) AS n, unnest(stream) AS alts, unnest(range(len(stream))) AS pos FROM q1), q AS (SELECT query, n, pos, unnest(alts) AS token FROM q2),
+c AS (SELECT query, pos, max(df) AS df FROM q JOIN st USING (token) GROUP BY 1, 2), h AS (SELECT query, pos, n, doc, sum(tf) AS tf, any_value(field_length) AS field_length FROM q JOIN x USING (token) GROUP BY 1, 2, 3, 4),
+s AS (SELECT query, doc, n, count(*) AS matched, round(sum({BM25}), 5) AS score FROM h JOIN c USING (query, pos), l GROUP BY 1, 2, 3) SELECT query, doc, score FROM s WHERE matched = n""")
+def synonym_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' first words with one street word, among names that end with another: all positions match by any of their alternatives."""
+    part, of = table(spark, sf_dir, "part"), lambda *words: F.get(F.array(*map(F.lit, words)), F.col("p_partkey").cast("int") % len(words))
+    docs = part.select(F.col("p_partkey").alias("osm_id"), F.concat_ws(" ", "p_name", of("St.", "street", "bd", "Boulevard")).alias("name"))
+    index = written(search.postings(docs, ["name"], chains={"name": analysis.STANDARD}))
+    text = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), of(" Str", " blvd"), of("", "x st", "x st"))
+    queries = part.select(text.alias("query")).distinct().withColumn("q", F.col("query"))
+    found = search.match_alternatives(search.query_tokens(queries, chain=analysis.STANDARD), index, search.corpus_statistics(index), every=True)
+    return found.select("query", "doc", F.round("score", 5).alias("score"))
+
+
+def _sloppy_sql(slop: int) -> str:
+    return f"""WITH w AS (SELECT p_partkey AS doc, {TOK.format('p_name')} AS ws FROM part), o AS (SELECT doc, unnest(ws) AS token, unnest(range(len(ws))) AS at FROM w),
+q0 AS (SELECT DISTINCT ws[2:3] || ws[1:1] AS three FROM w WHERE len(ws) >= 3 UNION SELECT DISTINCT [ws[1], ws[3], ws[2]] FROM w WHERE len(ws) >= 3), j AS (
+SELECT array_to_string(three, ' ') AS query, a.doc, greatest(a.at, b.at - 1, c.at - 2) - least(a.at, b.at - 1, c.at - 2) AS distance FROM q0 JOIN o a ON a.token = three[1] JOIN o b ON b.token = three[2] AND b.doc = a.doc JOIN o c ON c.token = three[3] AND c.doc = a.doc
+WHERE a.at <> b.at AND b.at <> c.at AND a.at <> c.at) SELECT query, doc, CAST(min(distance) AS INTEGER) AS distance FROM j WHERE distance <= {slop} GROUP BY 1, 2"""
+
+
+def _sloppy(spark: SparkSession, sf_dir: str, slop: int) -> DataFrame:
+    """The second, third and first word of names, and their first, third and second, as phrases of some slop."""
+    docs = parts(spark, sf_dir)
+    w = tokens(F.col("name"))
+    three = docs.select(w.alias("w")).where("size(w) >= 3").select(F.explode(F.array(F.array(*[F.get("w", F.lit(i)) for i in (1, 2, 0)]), F.array(*[F.get("w", F.lit(i)) for i in (0, 2, 1)]))).alias("t"))
+    queries = three.select(F.array_join("t", " ").alias("query")).distinct().withColumn("q", F.col("query"))
+    found = search.sloppy_phrases(search.query_tokens(queries), written(search.postings(docs, ["name"])), slop)
+    return found.select("query", "doc", "distance")
+
+
+@query(_sloppy_sql(2))
+def sloppy_phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sloppy(spark, sf_dir, 2)
+
+
+@query(_sloppy_sql(3))
+def sloppier_phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sloppy(spark, sf_dir, 3)

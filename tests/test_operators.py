@@ -1,6 +1,7 @@
 """Small cases with known results, edges, and plans."""
 
 import datetime as dt
+import itertools
 import os
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from placespark.functions import address, category, geo, rank, text
+from placespark.functions import address, analysis, category, geo, rank, text
 from placespark.operators import assembly, cells, elements, evaluate, interpolate, metering, nearby, prefix, reverse, search, traffic
 from placespark.plans import movement
 from placespark.sources import elements as sources
@@ -486,3 +487,70 @@ def test_closed_lines_are_areas_and_ids_get_details(spark):
     point = spark.createDataFrame([("p", 0.5, 0.5)], "p_id string, p_lat double, p_lon double")
     inside = cells.enclosing(point, every).select("p_id", F.col("osm_id").alias("zone_id"))
     assert {(r.zone_id, r.zone_name) for r in reverse.with_details(inside, every, "zone_id", ["name"]).collect()} == {("z", "Z"), ("w1", "Park")}
+
+
+def test_chains_by_hand(spark):
+    texts = ["O'Brien St., 3.14 e.g. a.1 shop_2", "شارع التحرير مدرسة أحمد", "مُحَمَّد ـ إلى", "12 Bd de l'Allée Élysées, AVE Foch", "Straße Łódź œuvre", "日本 x", "_ !", "", None, "b" * 300]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {name: {r.i: [list(x) for x in r.s] for r in frame.select("i", analysis.stream(F.col("t"), chain).alias("s")).collect()} for name, chain in analysis.CHAINS.items()}
+    a, n = got["address_standard"], got["arabic_name"]
+    assert a[0] == [["obrien"], ["st", "street"], ["3.14"], ["e.g"], ["a"], ["1"], ["shop_2"]]
+    assert a[1] == [["ش", "شارع"], ["التحرير"], ["مدرسه"], ["احمد"]] and n[1][0] == ["شارع"]
+    assert a[2] == [["محمد"], ["الي"]] == n[2]
+    assert a[3] == [["12"], ["bd", "blvd", "boulevard"], ["de"], ["lallee"], ["elysees"], ["av", "ave", "avenue"], ["foch"]]
+    assert a[4] == [["strasse"], ["lodz"], ["oeuvre"]] and a[5] == [["日"], ["本"], ["x"]] and a[6] == a[7] == a[8] == []
+    assert [len(x[0]) for x in a[9]] == [255, 45] and got["address_search"] == a
+    assert got["address_autocomplete"][3][1] == ["bd", "bl", "blv", "blvd", "bo", "bou", "boul", "boule", "boulev", "bouleva", "boulevar", "boulevard"] and got["address_autocomplete"][5][2] == []
+    pairs = frame.where("i = 3").select(F.explode(analysis.analyzed(F.col("t"), analysis.STANDARD)).alias("x")).select("x.*").collect()
+    assert [(r.pos, r.token) for r in pairs][:4] == [(0, "12"), (1, "bd"), (1, "blvd"), (1, "boulevard")]
+
+
+def test_alternatives_share_a_place(spark):
+    docs = spark.createDataFrame([("a", "Main St"), ("b", "Main Street"), ("c", "Main Road"), ("d", "Street Main")], "osm_id string, name string")
+    index = search.postings(docs, ["name"], chains={"name": analysis.STANDARD})
+    asked = search.query_tokens(spark.createDataFrame([("q", "main str"), ("r", "main st")], "query string, q string"), chain=analysis.STANDARD)
+    assert {r.field_length for r in index.collect()} == {2} and {r.n for r in asked.collect()} == {2}
+    every = search.match_alternatives(asked, index, search.corpus_statistics(index), every=True)
+    assert sorted((r.query, r.doc) for r in every.collect()) == [("r", "a"), ("r", "b"), ("r", "d")]
+    assert sorted((r.query, r.doc) for r in search.phrases(asked, index).collect()) == [("r", "a"), ("r", "b")]
+    assert {r.doc: r.distance for r in search.sloppy_phrases(asked.where("query = 'r'"), index, 2).collect()} == {"a": 0, "b": 0, "d": 2}
+
+
+def test_swaps_are_one_edit(spark):
+    words = ["street", "stret", "tsreet", "streets", "sterte", "strteer", "road", "raod", "rad", "orad", "ab", "ba", "x" * 30, "x" * 28 + "yx", "abcdef", "badcfe", "bacdfe"]
+    frame = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+
+    def distance(a, b):
+        d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    for r in frame.withColumn("e", search.edits_within_two(F.col("a"), F.col("b"))).collect():
+        assert r.e == min(distance(r.a, r.b), 3), (r.a, r.b)
+    for prefix in (0, 1, 2):
+        asked = spark.createDataFrame([(w, w, 0, 1) for w in words], "query string, token string, pos int, n int")
+        got = {(r.asked, r.token, r.edits) for r in search.fuzzy_tokens(asked, spark.createDataFrame([(w,) for w in words], "token string"), prefix).collect()}
+        allowed = lambda w: 0 if len(w) < 3 else 1 if len(w) < 6 else 2
+        assert got == {(a, b, distance(a, b)) for a in words for b in words if a[:prefix] == b[:prefix] and distance(a, b) <= allowed(a)}
+
+
+def test_sloppy_phrases_against_all_choices(spark):
+    rng = random.Random(6)
+    docs = [(str(i), " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 7)))) for i in range(60)]
+    queries = sorted({" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) for _ in range(40)})
+    index = search.postings(spark.createDataFrame(docs, "osm_id string, name string"), ["name"]).persist()
+    asked = search.query_tokens(spark.createDataFrame([(q, q) for q in queries], "query string, q string"))
+    for slop in (0, 1, 3):
+        want = {}
+        for q in queries:
+            for i, text in docs:
+                w = q.split()
+                choices = [c for c in itertools.permutations(range(len(text.split())), len(w)) if all(text.split()[p] == x for p, x in zip(c, w, strict=True))]
+                moves = [max(p - k for k, p in enumerate(c)) - min(p - k for k, p in enumerate(c)) for c in choices]
+                if moves and min(moves) <= slop:
+                    want[q, i] = min(moves)
+        assert {(r.query, r.doc): r.distance for r in search.sloppy_phrases(asked, index, slop).collect()} == want
