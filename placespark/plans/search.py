@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from placespark.functions import analysis
 from placespark.functions.text import fold_marks, looks_like_address, normal_text, street_form, suggestion_form, tokens, with_ordinals_swapped
 from placespark.intermediate import written
-from placespark.operators import search
+from placespark.operators import clauses, search
 from placespark.plans.fixtures import table
 
 QUERIES, SQL = {}, {}
@@ -196,17 +196,18 @@ def synonym_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sloppy_sql(slop: int) -> str:
-    return f"""WITH w AS (SELECT p_partkey AS doc, {TOK.format('p_name')} AS ws FROM part), o AS (SELECT doc, unnest(ws) AS token, unnest(range(len(ws))) AS at FROM w),
-q0 AS (SELECT DISTINCT ws[2:3] || ws[1:1] AS three FROM w WHERE len(ws) >= 3 UNION SELECT DISTINCT [ws[1], ws[3], ws[2]] FROM w WHERE len(ws) >= 3), j AS (
+    text = "concat_ws(' ', p_name, p_type, p_brand)"
+    return f"""WITH w AS (SELECT p_partkey AS doc, {TOK.format(text)} AS ws FROM part), o AS (SELECT doc, unnest(ws) AS token, unnest(range(len(ws))) AS at FROM w),
+q0 AS (SELECT DISTINCT [ws[2], ws[3], ws[1]] AS three FROM w WHERE len(ws) >= 3 UNION SELECT DISTINCT [ws[1], ws[3], ws[2]] FROM w WHERE len(ws) >= 3), j AS (
 SELECT array_to_string(three, ' ') AS query, a.doc, greatest(a.at, b.at - 1, c.at - 2) - least(a.at, b.at - 1, c.at - 2) AS distance FROM q0 JOIN o a ON a.token = three[1] JOIN o b ON b.token = three[2] AND b.doc = a.doc JOIN o c ON c.token = three[3] AND c.doc = a.doc
 WHERE a.at <> b.at AND b.at <> c.at AND a.at <> c.at) SELECT query, doc, CAST(min(distance) AS INTEGER) AS distance FROM j WHERE distance <= {slop} GROUP BY 1, 2"""
 
 
 def _sloppy(spark: SparkSession, sf_dir: str, slop: int) -> DataFrame:
-    """The second, third and first word of names, and their first, third and second, as phrases of some slop."""
-    docs = parts(spark, sf_dir)
+    """The second, third and first word of parts' texts, and the first, third and second, as phrases of some slop."""
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("osm_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name"))
     w = tokens(F.col("name"))
-    three = docs.select(w.alias("w")).where("size(w) >= 3").select(F.explode(F.array(F.array(*[F.get("w", F.lit(i)) for i in (1, 2, 0)]), F.array(*[F.get("w", F.lit(i)) for i in (0, 2, 1)]))).alias("t"))
+    three = docs.select(w.alias("w")).where("size(w) >= 3").select(F.explode(F.array(*[F.array(*[F.get("w", F.lit(i)) for i in places]) for places in ((1, 2, 0), (0, 2, 1))])).alias("t"))
     queries = three.select(F.array_join("t", " ").alias("query")).distinct().withColumn("q", F.col("query"))
     found = search.sloppy_phrases(search.query_tokens(queries), written(search.postings(docs, ["name"])), slop)
     return found.select("query", "doc", "distance")
@@ -220,3 +221,41 @@ def sloppy_phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_sloppy_sql(3))
 def sloppier_phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sloppy(spark, sf_dir, 3)
+
+
+TREE_SQL = f"""WITH w AS (SELECT p_partkey AS doc, 'name' AS field, {TOK.format('p_name')} AS ws FROM part UNION ALL SELECT p_partkey, 'name_en', {TOK.format('p_brand')} FROM part UNION ALL SELECT p_partkey, 'tags_text', {TOK.format('p_type')} FROM part),
+o AS (SELECT doc, field, len(ws) AS field_length, unnest(ws) AS token, unnest(range(len(ws))) AS pos FROM w), x AS (SELECT field, token, doc, count(*) AS tf, any_value(field_length) AS field_length FROM o GROUP BY 1, 2, 3),
+l AS (SELECT field, count(*) AS docs, avg(len(ws)) AS average FROM w WHERE len(ws) > 0 GROUP BY 1), df AS (SELECT field, token, count(*) AS df FROM x GROUP BY 1, 2), imp AS (SELECT field, token, doc, {BM25} AS impact FROM x JOIN df USING (field, token) JOIN l USING (field)),
+q0 AS (SELECT DISTINCT concat_ws(' ', substr(p_name, 1, 14), p_brand) AS query, substr(p_name, 1, 14) AS own, p_brand AS want FROM part),
+t AS (SELECT query, want, 0 AS clause, unnest({TOK.format('query')}) AS token FROM q0 UNION ALL SELECT query, want, 1, unnest({TOK.format('own')}) FROM q0), q AS (SELECT query, want, clause, token, count(*) AS times FROM t GROUP BY ALL),
+f AS (SELECT query, want, clause, doc, field, sum(impact * times * CASE field WHEN 'name' THEN 4 WHEN 'name_en' THEN 2 ELSE 1 END) AS s FROM q JOIN imp USING (token) WHERE clause = 0 OR field = 'name' GROUP BY ALL),
+c AS (SELECT query, want, clause, doc, max(s) AS s FROM f GROUP BY ALL), p AS (SELECT query, unnest({TOK.format('own')}) AS token, unnest(range(len({TOK.format('own')}))) AS pos, len({TOK.format('own')}) AS n FROM q0),
+ph AS (SELECT DISTINCT query, doc FROM (SELECT query, n, doc, o.pos - p.pos AS start, count(DISTINCT p.pos) AS got FROM p JOIN o ON o.token = p.token AND o.field = 'name' GROUP BY ALL) WHERE got = n),
+s AS (SELECT c.query, c.doc, round(sum(c.s) + max(CASE WHEN ph.doc IS NOT NULL THEN 10 ELSE 0 END), 6) AS score FROM c JOIN part ON p_partkey = c.doc AND p_brand = c.want LEFT JOIN ph ON ph.query = c.query AND ph.doc = c.doc GROUP BY 1, 2 HAVING max(clause) = 1)
+SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"""
+
+
+@query(TREE_SQL)
+def clause_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names' beginnings with a brand: words over three fields, words of the name required, the name's phrase, only of that brand."""
+    part = table(spark, sf_dir, "part")
+    docs = part.select(F.col("p_partkey").alias("osm_id"), F.col("p_name").alias("name"), F.col("p_type").alias("tags_text"), F.col("p_brand").alias("name_en"), F.col("p_brand").alias("brand"))
+    index = written(search.postings(docs, ["name", "name_en", "tags_text"]).unionByName(clauses.exact_postings(docs, ["brand"])))
+    queries = part.select(F.concat_ws(" ", F.substring("p_name", 1, 14), "p_brand").alias("query"), F.substring("p_name", 1, 14).alias("own"), F.col("p_brand").alias("want")).distinct()
+    own = search.query_tokens(queries, "own")
+    tree = clauses.Tree(
+        [clauses.Words(search.query_tokens(queries, "query"), {"name": 4.0, "name_en": 2.0, "tags_text": 1.0}), clauses.Words(own, {"name": 4.0}, required=True), clauses.Words(clauses.exact_word(queries, "want"), {"brand": 0.0}, required=True)],
+        [clauses.Phrase(own, ("name",), 10.0)],
+    )
+    return clauses.best(tree, clauses.impact_index(index, search.corpus_statistics(index)), 10)
+
+
+@query(f"""WITH w AS (SELECT doc_id AS doc, {TOK.format('text')} AS ws FROM documents), o AS (SELECT doc, len(ws) AS field_length, unnest(ws) AS token FROM w), x AS (SELECT token, doc, count(*) AS tf, any_value(field_length) AS field_length FROM o GROUP BY 1, 2),
+l AS (SELECT count(*) AS docs, avg(len(ws)) AS average FROM w WHERE len(ws) > 0), df AS (SELECT token, count(*) AS df FROM x GROUP BY 1), q AS (SELECT item_id AS query, token, count(*) AS times FROM (SELECT item_id, unnest({TOK.format('text')}) AS token FROM benchmark) GROUP BY 1, 2),
+s AS (SELECT query, doc, round(sum({BM25} * times), 6) AS score FROM q JOIN x USING (token) JOIN df USING (token), l GROUP BY 1, 2) SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM s QUALIFY rank <= 20""")
+def best_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's best documents by its words, common ones among them."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("osm_id"), "text")
+    index = written(search.postings(docs, ["text"]))
+    asked = search.query_tokens(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text"), "text")
+    return clauses.best(clauses.Tree([clauses.Words(asked, {"text": 1.0})]), clauses.impact_index(index, search.corpus_statistics(index)), 20)

@@ -10,7 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from placespark.functions import address, analysis, category, geo, rank, text
-from placespark.operators import assembly, cells, elements, evaluate, interpolate, metering, nearby, prefix, reverse, search, traffic
+from placespark.operators import assembly, cells, clauses, elements, evaluate, interpolate, metering, nearby, prefix, reverse, search, traffic
 from placespark.plans import movement
 from placespark.sources import elements as sources
 from placespark.streaming import jobs
@@ -554,3 +554,37 @@ def test_sloppy_phrases_against_all_choices(spark):
                 if moves and min(moves) <= slop:
                     want[q, i] = min(moves)
         assert {(r.query, r.doc): r.distance for r in search.sloppy_phrases(asked, index, slop).collect()} == want
+
+
+def test_best_documents_equal_scoring_all(spark, monkeypatch):
+    """Trees of every kind over skewed words: results are those of scoring every document, and common words are hardly read."""
+    rng = random.Random(9)
+    vocabulary = ["street"] * 40 + ["main"] * 10 + ["north"] * 5 + [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 6))), rng.choice(["cairo", "giza", None]), i % 3) for i in range(900)]
+    frame = spark.createDataFrame(docs, "osm_id int, name string, city string, kind int")
+    index = search.postings(frame, ["name", "city"]).persist()
+    index = index.unionByName(clauses.exact_postings(frame, ["kind"]))
+    stats = search.corpus_statistics(index)
+    texts = ["street", "main street", "north w3", "w1 w2 street", "w5", "street cairo", "nothing here", "street main north"]
+    queries = spark.createDataFrame([(t, t, i % 4) for i, t in enumerate(texts)], "query string, q string, want int")
+    asked, first = search.query_tokens(queries), search.query_tokens(queries.withColumn("q", F.split_part("q", F.lit(" "), F.lit(1))))
+    barred = search.query_tokens(queries.withColumn("q", F.lit("w7")))
+    every = clauses.Words(asked, {"name": 2.0, "city": 1.0})
+    trees = [
+        clauses.Tree([every]), clauses.Tree([every, clauses.Words(barred, {"name": 1.0}, excluded=True)], [clauses.Phrase(asked, ("name",), 5.0)]),
+        clauses.Tree([clauses.Words(first, {"name": 1.0}, 3.0, required=True), every], condition=(F.col("want") == 3) | (F.col("kind") == F.col("want"))),
+        clauses.Tree([every, clauses.Words(clauses.exact_word(queries.where("want < 3"), "want"), {"kind": 0.0}, required=True)]),
+        clauses.Tree([every, clauses.Words(asked, {"name": 1.0}, every=True)], [clauses.Phrase(asked, ("name",), 2.0, 2)], minimum=2),
+    ]
+    more = queries.select("query", "want"), frame.select(F.col("osm_id").alias("doc"), "kind")
+    for tree in trees:
+        whole = clauses.impact_index(index, stats, 10_000)
+        everything = clauses.scores(tree, clauses._terms(tree), queries.select("query").crossJoin(frame.select(F.col("osm_id").alias("doc"))), whole[0], *more)
+        want = {}
+        for r in sorted(everything.collect(), key=lambda r: (-r.score, r.doc)):
+            want.setdefault(r.query, []).append((r.doc, r.score))
+        for size, k in ((8, 7), (300, 20)):
+            got = {}
+            for r in clauses.best(tree, clauses.impact_index(index, stats, size), k, *more).orderBy("rank").collect():
+                got.setdefault(r.query, []).append((r.doc, r.score))
+            assert got == {q: rows[:k] for q, rows in want.items()}
