@@ -41,16 +41,27 @@ def trace_speed(points: DataFrame) -> DataFrame:
     return points.select("trace", "gid").distinct().join(speed, "trace")
 
 
+def two_decimals(kph: float) -> float:
+    """As a speed is kept: written with two decimals."""
+    return float(f"{kph:.2f}")
+
+
 def ewma(observations: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """Smoothed speed of each edge in the order of (ts, event_id), number of observations and last time; unrounded.
+    """Smoothed speed of each edge in the order of (ts, event_id), kept with two decimals at each step; number of observations and last time.
 
-    The fold speed + alpha (x - speed) is a sum with weights by how many observations follow, so it is a window and a sum that
-    adds up before the shuffle, and no edge's observations are gathered. Weights below the least double are 0.
+    Each step rounds, so it is an ordered fold with a state of constant size: a hot edge costs its task time, not memory.
     """
-    later = F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("ts"), F.desc("event_id"))) - 1
-    rows = observations.withColumn("later", later).withColumn("first", F.count("*").over(Window.partitionBy("gid")) - 1 == F.col("later"))
-    weight = F.pow(F.lit(1.0 - alpha), F.col("later")) * F.when(F.col("first"), 1.0).otherwise(alpha)
-    return rows.groupBy("gid").agg(F.sum(weight * F.col("kph")).alias("kph"), F.count("*").alias("n"), F.max("ts").alias("ts"))
+    timed = observations.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+
+    def step(state: tuple, kph: float, at: int) -> tuple[tuple, tuple]:
+        before, n, last = state
+        now = two_decimals(kph if not n else (1 - alpha) * before + alpha * kph)
+        state = (now, n + 1, max(at, last))
+        return state, state
+
+    steps = ordered_fold(timed, ["gid"], ["ts", "event_id"], ["kph", "at"], "kph double, n bigint, at bigint", lambda: (0.0, 0, -(1 << 62)), step)
+    last = steps.groupBy("gid").agg(F.max_by(F.struct("kph", "n", "at"), F.col("n")).alias("s"))
+    return last.select("gid", "s.kph", "s.n", F.timestamp_micros("s.at").cast(observations.schema["ts"].dataType).alias("ts"))
 
 
 def ewma_with_expiry(observations: DataFrame, alpha: float = ALPHA, idle_s: int = IDLE_S) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from placespark.operators.metering import DEFAULT_MILLI, period
-from placespark.operators.traffic import ALPHA, IDLE_S
+from placespark.operators.traffic import ALPHA, IDLE_S, two_decimals
 from placespark.sources.elements import ELEMENT
 
 
@@ -65,7 +65,7 @@ def once_a_window_stream(observations: DataFrame, interval: str, late: str) -> D
 
 
 class EdgeSpeed(StatefulProcessor):
-    """Smoothed speed of an edge, unrounded as in the batch job, started anew after `idle` seconds without observations.
+    """Smoothed speed of an edge, kept with two decimals as in the batch job, started anew after `idle` seconds without observations.
 
     With expires, a timer of event time reverts an edge that has been idle: it is reported once with no speed, and forgotten.
     """
@@ -84,7 +84,7 @@ class EdgeSpeed(StatefulProcessor):
             ts = pd.Timestamp(row.ts).timestamp()
             fresh = n == 0 or ts - last > self.idle
             weight = self.alpha * float(getattr(row, "weight", 1.0))
-            kph = row.kph if fresh else kph + weight * (row.kph - kph)
+            kph = two_decimals(row.kph if fresh else (1 - weight) * kph + weight * row.kph)
             n, last = (1 if fresh else n + 1), max(ts, last)
         self.state.update((kph, n, last))
         if self.expires:

@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from placespark.functions import address, analysis, category, geo, rank, text
 from placespark.operators import assembly, cells, clauses, elements, evaluate, interpolate, metering, nearby, prefix, reverse, search, traffic
 from placespark.plans import movement
+from placespark.sources import claims
 from placespark.sources import elements as sources
 from placespark.streaming import jobs
 
@@ -588,3 +590,33 @@ def test_best_documents_equal_scoring_all(spark, monkeypatch):
             for r in clauses.best(tree, clauses.impact_index(index, stats, size), k, *more).orderBy("rank").collect():
                 got.setdefault(r.query, []).append((r.doc, r.score))
             assert got == {q: rows[:k] for q, rows in want.items()}
+
+
+def test_claims_by_two_workers_and_a_crash(spark, tmp_path):
+    clock = [0.0]
+    one, two = (claims.Claims(spark, f"{tmp_path}/claims", 3600, lambda: time.time() + clock[0]) for _ in range(2))
+    files, ran = [f"/data/{i}.json" for i in range(6)], []
+
+    def crash(file):
+        if file.endswith("3.json"):
+            raise RuntimeError("lost")
+        ran.append(("one", file))
+
+    with pytest.raises(RuntimeError):
+        one.work(files, crash)
+    assert two.work(files, lambda f: ran.append(("two", f))) == files[4:]
+    assert two.work(files, lambda f: ran.append(("two", f))) == []
+    clock[0] += 3601
+    assert not two.claim(files[0]) and two.work(files, lambda f: ran.append(("two", f))) == [files[3]]
+    assert sorted(f for _, f in ran) == files and one.work(files, crash) == []
+    one.finish(files[0])
+    assert one.is_done(files[0]) and not one.claim(files[0])
+
+
+def test_one_of_many_claims_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    workers = [claims.Claims(spark, f"{tmp_path}/claims") for _ in range(8)]
+    for file in ("a", "b", "c"):
+        with ThreadPoolExecutor(8) as pool:
+            assert sum(pool.map(lambda w, f=file: w.claim(f), workers)) == 1
