@@ -9,10 +9,12 @@ Folder and files are reached by Hadoop's file systems; creating a file that must
 from __future__ import annotations
 
 import hashlib
+import os
 import time
 import uuid
 from collections.abc import Callable, Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 #: Fixed value: seconds after which an unfinished claim can be taken over.
@@ -31,6 +33,20 @@ class Claims:
     def _at(self, file: str, kind: str) -> object:
         return self.path(f"{self.folder}/{hashlib.sha256(file.encode()).hexdigest()}.{kind}")
 
+    def _create(self, at: object) -> bool:
+        """Make an empty file; false where it is there already. Hadoop's local file system looks first and then creates, so the system is asked itself."""
+        try:
+            if self.files.getScheme() == "file":
+                os.close(os.open(self.path.getPathWithoutSchemeAndAuthority(at).toString(), os.O_CREAT | os.O_EXCL))
+                return True
+            return self.files.createNewFile(at)
+        except FileExistsError:
+            return False
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                return False
+            raise
+
     def is_done(self, file: str) -> bool:
         return self.files.exists(self._at(file, "done"))
 
@@ -43,11 +59,11 @@ class Claims:
             claimed = self.files.getFileStatus(at).getModificationTime() / 1000
             if self.now() - claimed < self.ttl or not self.files.rename(at, self.path(f"{self.folder}/_{uuid.uuid4().hex}")):
                 return False
-        return self.files.createNewFile(at) and not self.is_done(file)
+        return self._create(at) and not self.is_done(file)
 
     def finish(self, file: str) -> None:
         """Mark a file done; twice is once."""
-        self.files.createNewFile(self._at(file, "done"))
+        self._create(self._at(file, "done"))
 
     def work(self, files: Iterable[str], job: Callable[[str], None]) -> list[str]:
         """Run job for each file that this worker can claim, and mark it done after success; the files done. An error leaves its claim to age."""

@@ -20,32 +20,79 @@ def element_stream(spark: SparkSession, folder: str, files_a_batch: int = 100) -
     return spark.readStream.schema(ELEMENT).option("maxFilesPerTrigger", files_a_batch).json(folder)
 
 
-def upsert_stream(stream: DataFrame, table: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str, keep: int = 2) -> StreamingQuery:
-    """Merge every micro-batch into a Parquet table: a new version folder a batch, then a pointer to it; the last `keep` versions stay.
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
 
-    A batch that runs again writes the same version from the same predecessor, so nothing is counted twice, and readers of
-    current_version never see half a version.
+
+def _manifests(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the versions that are whole, ascending."""
+    files, at = _file_system(spark, table)
+    folder = at(f"{table}/_versions")
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _buckets_of(spark: SparkSession, table: str, number: int) -> dict[int, int]:
+    """Where a version's buckets are: bucket -> the version that wrote it."""
+    return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version bigint").json(f"{table}/_versions/{number}").collect()}
+
+
+def upsert_stream(stream: DataFrame, table: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str, keep: int = 2, key: str = "osm_id", buckets: int = 64) -> StreamingQuery:
+    """Merge every micro-batch into a Parquet table of key buckets: a batch reads and writes only the buckets that it has keys of.
+
+    merge gets the old rows of these buckets (none at first) and the batch. A version is a list of buckets and of the versions that wrote
+    them: it is written aside and renamed, and never changed, so that readers find a whole version at any time. A batch that runs again
+    starts from the version before it and writes the same, so nothing is counted twice. What the last `keep` versions (2 at
+    least) don't name is removed.
     """
-    spark = stream.sparkSession
+    spark, keep = stream.sparkSession, max(2, keep)
 
     def apply(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(f"{table}/v={number - 1}") if number else None
-        merge(old, batch).write.mode("overwrite").parquet(f"{table}/v={number}")
-        spark.range(1).select(F.lit(number).cast("bigint").alias("version")).write.mode("overwrite").parquet(f"{table}/_pointer")
-        if number >= keep:
-            past = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={number - keep}")
-            past.getFileSystem(spark._jsc.hadoopConfiguration()).delete(past, True)
+        files, at = _file_system(spark, table)
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+        before = max((v for v in _manifests(spark, table) if v < number), default=None)
+        held = {} if before is None else _buckets_of(spark, table, before)
+        batch = batch.persist()
+        try:
+            touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())
+            paths = [f"{table}/v={held[b]}/bucket={b}" for b in touched if b in held]
+            old = spark.read.parquet(*paths) if paths else None
+            merged = merge(old, batch)
+            merged.select("*", bucket).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{table}/v={number}")
+        finally:
+            batch.unpersist()
+        rows = [(b, number if b in touched else held[b]) for b in sorted({*held, *touched})]
+        aside = f"{table}/_versions/_{number}"
+        spark.createDataFrame(rows, "bucket int, version bigint").coalesce(1).write.mode("overwrite").json(aside)
+        files.delete(at(f"{table}/_versions/{number}"), True)
+        if not files.rename(at(aside), at(f"{table}/_versions/{number}")):
+            raise OSError(f"version {number} of {table} couldn't be named")
+        _clear(spark, table, keep)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _clear(spark: SparkSession, table: str, keep: int) -> None:
+    """Remove versions before the last `keep`, and the buckets that only they name."""
+    files, at = _file_system(spark, table)
+    numbers = _manifests(spark, table)
+    needed = {(b, v) for n in numbers[-keep:] for b, v in _buckets_of(spark, table, n).items()}
+    for n in numbers[:-keep]:
+        for b, v in _buckets_of(spark, table, n).items():
+            if (b, v) not in needed:
+                files.delete(at(f"{table}/v={v}/bucket={b}"), True)
+        files.delete(at(f"{table}/_versions/{n}"), True)
+
+
 def latest_version(spark: SparkSession, table: str, number: int) -> DataFrame:
-    return spark.read.parquet(f"{table}/v={number}")
+    """A version's rows."""
+    return spark.read.parquet(*[f"{table}/v={v}/bucket={b}" for b, v in _buckets_of(spark, table, number).items()])
 
 
 def current_version(spark: SparkSession, table: str) -> DataFrame:
-    """The version that the pointer names."""
-    return latest_version(spark, table, spark.read.parquet(f"{table}/_pointer").first()["version"])
+    """The last whole version."""
+    return latest_version(spark, table, _manifests(spark, table)[-1])
 
 
 def rollup_stream(events: DataFrame) -> DataFrame:

@@ -345,7 +345,38 @@ def test_upsert_stream(spark, tmp_path):
     assert {(r.osm_id, r.osm_type) for r in jobs.latest_version(spark, table, 1).collect()} == {("a", "way"), ("b", "node")}
     (folder / "c.json").write_text('{"osm_id":"c","osm_type":"node","tags":{},"admin_level":0,"area_km2":0.0}\n')
     jobs.upsert_stream(jobs.element_stream(spark, str(folder)), table, merge, str(tmp_path / "c")).awaitTermination()
-    assert jobs.current_version(spark, table).count() == 3 and not (tmp_path / "table" / "v=0").exists()
+    assert jobs.current_version(spark, table).count() == 3 and not (tmp_path / "table" / "_versions" / "0").exists()
+
+
+def test_upserts_rewrite_touched_buckets_only(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "table")
+    folder.mkdir()
+    row = '{{"osm_id":"{}","osm_type":"{}","tags":{{}},"admin_level":0,"area_km2":0.0}}\n'
+    seen = []
+
+    def merge(old, new):
+        seen.append(0 if old is None else old.count())
+        return new if old is None else new.unionByName(old.join(new, "osm_id", "left_anti"))
+
+    def batch(name, rows):
+        (folder / name).write_text("".join(row.format(*r) for r in rows))
+        jobs.upsert_stream(jobs.element_stream(spark, str(folder)), table, merge, str(tmp_path / "c"), buckets=16).awaitTermination()
+
+    batch("a.json", [(f"n{i}", "node") for i in range(200)])
+    first = jobs._buckets_of(spark, table, 0)
+    batch("b.json", [("n7", "way"), ("m1", "node")])
+    second = jobs._buckets_of(spark, table, 1)
+    changed = [b for b in second if second[b] != first.get(b)]
+    assert 1 <= len(changed) <= 2 and seen[1] < 60 and len(list((tmp_path / "table" / "v=1").glob("bucket=*"))) == len(changed)
+    rows = {r.osm_id: r.osm_type for r in jobs.current_version(spark, table).collect()}
+    assert len(rows) == 201 and rows["n7"] == "way"
+    # a reader in the middle of the next batch finds the version before: its folder and its unnamed list are there already
+    (tmp_path / "table" / "v=2" / "bucket=0").mkdir(parents=True)
+    (tmp_path / "table" / "_versions" / "_2").mkdir()
+    assert jobs.current_version(spark, table).count() == 201
+    batch("c.json", [("n8", "way")])
+    assert {r.osm_id: r.osm_type for r in jobs.current_version(spark, table).collect()} == rows | {"n8": "way"}
+    assert jobs.latest_version(spark, table, 1).count() == 201
 
 
 def batches_of(spark, tmp_path, frames):
