@@ -57,7 +57,7 @@ def named_cases(places: DataFrame, n: int) -> DataFrame:
 
 def address_cases(addresses: DataFrame, n: int) -> DataFrame:
     """Test cases: one address for each number, street and city, n of them."""
-    key = [F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for c in ("number", "street_norm")]
+    key = [F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for c in ("number", "street_norm", "city")]
     first = F.row_number().over(Window.partitionBy(*key).orderBy("osm_id"))
     return addresses.withColumn("place", first).where("place = 1").drop("place").orderBy("osm_id").limit(n)
 

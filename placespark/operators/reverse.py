@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from placespark.functions.geo import distance_confidence, is_closed, ring_area_km2
 from placespark.operators.cells import enclosing, nearest, nearest_lines
+from placespark.operators.interpolate import reverse_interpolate
 
 #: Planar reach of a street, and the area above which a place has none.
 STREET_DEGREES = 0.005
@@ -40,6 +41,15 @@ def reverse_geocode(points: DataFrame, addresses: DataFrame, lines: DataFrame, z
     return points.join(address, "p_id", "left").join(line, "p_id", "left").join(zone, "p_id", "left")
 
 
+def whole_reverse_geocode(points: DataFrame, addresses: DataFrame, lines: DataFrame, zones: DataFrame) -> DataFrame:
+    """reverse_geocode with closed lines among the zones, the matched address's number and street, and the house number that the point itself
+    would have on the street beside it: number, its street, parity and number_confidence; nulls where no numbered address is near."""
+    found = reverse_geocode(points, addresses, lines.where(~is_closed(F.col("line"))), areas(zones, lines))
+    named = with_details(found, addresses, "address_id", ["number", "street_norm"])
+    number = reverse_interpolate(points, addresses).select("p_id", "number", "street", "parity", F.col("confidence").alias("number_confidence"))
+    return named.join(number, "p_id", "left")
+
+
 def needs_enrichment(places: DataFrame) -> DataFrame:
     """Places whose stored parents or street can't be right: a parent without area, the place itself, one not larger, or
     a street on a large or administrative place."""

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from placespark.intermediate import shared_folder
 from placespark.operators import evaluate, metering, traffic
-from placespark.plans.fixtures import table, with_
+from placespark.plans.fixtures import lines, table, with_
 from placespark.streaming import jobs
 
+#: An edge's list of speeds folded as it is kept, with two decimals.
+SMOOTHED = "list_reduce(list_prepend(CAST(printf('%.2f', v[1]) AS DOUBLE), v[2:]), lambda a, x: CAST(printf('%.2f', (1 - 0.3::DOUBLE) * a + 0.3::DOUBLE * x) AS DOUBLE))"
 QUERIES, SQL = {}, {}
 
 
@@ -124,7 +126,7 @@ def invoice_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metering.upsert_invoices(old, new.select(*old.columns)).select("tenant", "status", "total")
 
 
-@query(f"{with_('edge_obs')}, l AS (SELECT gid, list(kph ORDER BY ts, event_id) AS v, max(ts) AS ts FROM edge_obs GROUP BY gid) SELECT gid, round(list_reduce(list_prepend(CAST(printf('%.2f', v[1]) AS DOUBLE), v[2:]), lambda a, x: CAST(printf('%.2f', (1 - 0.3::DOUBLE) * a + 0.3::DOUBLE * x) AS DOUBLE)), 6) AS kph, CAST(len(v) AS BIGINT) AS n FROM l")
+@query(f"{with_('edge_obs')}, l AS (SELECT gid, list(kph ORDER BY ts, event_id) AS v, max(ts) AS ts FROM edge_obs GROUP BY gid) SELECT gid, round({SMOOTHED}, 6) AS kph, CAST(len(v) AS BIGINT) AS n FROM l")
 def edge_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.ewma(table(spark, sf_dir, "edge_obs")).select("gid", F.round("kph", 6).alias("kph"), "n")
 
@@ -132,7 +134,7 @@ def edge_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{with_('edge_obs')}, g AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY gid ORDER BY ts, event_id)) > 86400 THEN 1 ELSE 0 END AS fresh FROM edge_obs),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY gid ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g), m AS (SELECT *, max(run) OVER (PARTITION BY gid) AS last_run FROM r),
-l AS (SELECT gid, list(kph ORDER BY ts, event_id) AS v FROM m WHERE run = last_run GROUP BY gid) SELECT gid, round(list_reduce(list_prepend(CAST(printf('%.2f', v[1]) AS DOUBLE), v[2:]), lambda a, x: CAST(printf('%.2f', (1 - 0.3::DOUBLE) * a + 0.3::DOUBLE * x) AS DOUBLE)), 6) AS kph, CAST(len(v) AS BIGINT) AS n FROM l""")
+l AS (SELECT gid, list(kph ORDER BY ts, event_id) AS v FROM m WHERE run = last_run GROUP BY gid) SELECT gid, round({SMOOTHED}, 6) AS kph, CAST(len(v) AS BIGINT) AS n FROM l""")
 def edge_speeds_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.ewma_with_expiry(table(spark, sf_dir, "edge_obs"), idle_s=86_400).select("gid", F.round("kph", 6).alias("kph"), "n")
 
@@ -157,7 +159,16 @@ def uncovered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.uncovered_windows(rows)
 
 
-@query(f"{with_('edge_obs')}, s AS (SELECT gid, list(kph ORDER BY ts, event_id) AS v FROM edge_obs GROUP BY gid), v AS (SELECT gid, list_reduce(list_prepend(CAST(printf('%.2f', v[1]) AS DOUBLE), v[2:]), lambda a, x: CAST(printf('%.2f', (1 - 0.3::DOUBLE) * a + 0.3::DOUBLE * x) AS DOUBLE)) AS kph FROM s WHERE len(v) >= 3)" + """
+@query(f"""{with_('edge_obs', 'points', 'line_ends')}, s AS (SELECT gid, list(kph ORDER BY ts, event_id) AS v FROM edge_obs GROUP BY gid), v AS (SELECT gid, {SMOOTHED} AS kph, CAST(len(v) AS BIGINT) AS n FROM s WHERE len(v) >= 3),
+l AS (SELECT p_id, CAST(substr(osm_id, 2) AS BIGINT) AS gid, sqrt(pow(p_lat - a_lat, 2) + pow(p_lon - greatest(least(p_lon, b_lon), a_lon), 2)) AS g FROM points, line_ends WHERE g <= 0.005 QUALIFY row_number() OVER (PARTITION BY p_id ORDER BY g, gid) = 1)
+SELECT p_id, gid, kph, n FROM points LEFT JOIN l USING (p_id) LEFT JOIN v USING (gid)""")
+def speeds_at_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible speed of the road nearest to each point."""
+    roads = lines(spark, sf_dir).select(F.substring("osm_id", 2, 20).cast("bigint").alias("gid"), "line")
+    return traffic.edge_speed_at(table(spark, sf_dir, "points"), roads, traffic.ewma(traffic.plausible(table(spark, sf_dir, "edge_obs")))).select("p_id", "gid", "kph", "n")
+
+
+@query(f"{with_('edge_obs')}, s AS (SELECT gid, list(kph ORDER BY ts, event_id) AS v FROM edge_obs GROUP BY gid), v AS (SELECT gid, {SMOOTHED} AS kph FROM s WHERE len(v) >= 3)" + """
 SELECT event_id, CASE WHEN kph / 60 >= 0.75 THEN 'free' WHEN kph / 60 >= 0.5 THEN 'moderate' WHEN kph / 60 >= 0.25 THEN 'slow' WHEN kph IS NOT NULL THEN 'jam' ELSE 'unknown' END AS level FROM events LEFT JOIN v ON gid = user_id""")
 def route_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("gid"), F.lit(60.0).alias("free_flow"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placespark.functions import address, category, geo, text
-from placespark.operators import cells, elements, interpolate, nearby, prefix, reverse
+from placespark.operators import cells, elements, evaluate, interpolate, nearby, prefix, reverse
 from placespark.plans.fixtures import lines, table, with_, zones
 from placespark.sources.elements import on_globe, provider_id
 
@@ -96,6 +96,47 @@ def reverse_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_id", "address_id", F.round("address_m", 3).alias("address_m"), "confidence", "line_id", F.round("line_m", 3).alias("line_m"), F.array_join("zone_ids", ",").alias("zone_ids"))
 
 
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes' edges as closed lines."""
+    return zones(spark, sf_dir).where("osm_id <> 'zall'").select(F.concat(F.lit("r"), F.substring("osm_id", 2, 9)).alias("osm_id"), "name", F.col("polygons")[0][0].alias("line"))
+
+
+NUMBERS = """near AS (SELECT p_id, p_lon, a.osm_id, number, a.lon, street_norm, sqrt(pow(p_lat - a.lat, 2) + pow(p_lon - a.lon, 2)) AS d FROM points, addresses a WHERE abs(p_lat - a.lat) <= 0.003 AND abs(p_lon - a.lon) <= 0.003),
+r0 AS (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY d, osm_id) AS k0 FROM near WHERE d <= 0.003 QUALIFY k0 <= 20), r1 AS (SELECT *, first_value(street_norm) OVER (PARTITION BY p_id ORDER BY k0) AS street FROM r0),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY k0) AS k FROM r1 WHERE street_norm = street),
+f AS (SELECT p_id, any_value(street) AS street, any_value(p_lon) AS p_lon, arg_min(number, k) AS n1, arg_min(lon, k) AS lon1, count(CASE WHEN k <= 6 AND number % 2 = 1 THEN 1 END) AS odds, count(CASE WHEN k <= 6 THEN 1 END) AS few FROM r GROUP BY 1),
+g AS (SELECT f.*, s.n2, s.lon2 FROM f LEFT JOIN (SELECT r.p_id, arg_min(number, k) AS n2, arg_min(lon, k) AS lon2 FROM r JOIN f USING (p_id) WHERE number <> n1 GROUP BY 1) s USING (p_id)),
+h AS (SELECT *, CASE WHEN odds * 2 = few THEN n1 % 2 WHEN odds * 2 > few THEN 1 ELSE 0 END AS odd, coalesce(CAST(round(n1 + least(greatest((p_lon - lon1) / (lon2 - lon1), 0), 1) * (n2 - n1)) AS BIGINT), n1) AS e FROM g),
+u AS (SELECT p_id, street, CASE WHEN e % 2 <> odd THEN CASE WHEN e + 1 <= greatest(n1, coalesce(n2, n1)) THEN e + 1 ELSE greatest(e - 1, 1) END ELSE e END AS number, CASE WHEN odd = 1 THEN 'odd' ELSE 'even' END AS parity,
+  round(CASE WHEN abs(n2 - n1) <= 2 THEN 0.95 WHEN abs(n2 - n1) <= 6 THEN 0.85 WHEN abs(n2 - n1) <= 10 THEN 0.75 WHEN abs(n2 - n1) <= 20 THEN 0.65 WHEN abs(n2 - n1) <= 50 THEN 0.5 ELSE 0.3 END::DOUBLE * 0.8, 4) AS number_confidence FROM h)"""
+
+
+@query(f"""{with_('addresses', 'points', 'line_ends', 'zone_boxes')}, a AS (SELECT p_id, osm_id AS address_id, number AS address_number, street_norm AS address_street, {AWAY} AS d FROM points, addresses QUALIFY row_number() OVER (PARTITION BY p_id ORDER BY d, osm_id) = 1),
+l AS (SELECT p_id, osm_id AS line_id, sqrt(pow(p_lat - a_lat, 2) + pow(p_lon - greatest(least(p_lon, b_lon), a_lon), 2)) AS g FROM points, line_ends WHERE g <= 0.005 QUALIFY row_number() OVER (PARTITION BY p_id ORDER BY g, osm_id) = 1),
+zz AS (SELECT osm_id, area_km2, coalesce(admin_level, -1) AS level, south, west, north, east FROM zone_boxes UNION ALL SELECT concat('r', substr(osm_id, 2)), 142, -1, south, west, north, east FROM zone_boxes WHERE osm_id <> 'zall'),
+z AS (SELECT p_id, string_agg(osm_id, ',' ORDER BY area_km2, -level, osm_id) AS zone_ids FROM points JOIN zz ON p_lat >= south AND p_lat < north AND p_lon >= west AND p_lon < east GROUP BY 1), {NUMBERS}
+SELECT p_id, address_id, round(d, 3) AS address_m, address_number, address_street, line_id, zone_ids, u.number, u.street, u.parity, u.number_confidence FROM points LEFT JOIN a USING (p_id) LEFT JOIN l USING (p_id) LEFT JOIN z USING (p_id) LEFT JOIN u USING (p_id)""")
+def whole_reverse_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with their address, its details, the interpolated number, the street beside, and the areas around, closed lines among them."""
+    every = lines(spark, sf_dir).unionByName(rings(spark, sf_dir))
+    rows = reverse.whole_reverse_geocode(table(spark, sf_dir, "points"), table(spark, sf_dir, "addresses"), every, zones(spark, sf_dir))
+    ids = F.array_join("zone_ids", ",").alias("zone_ids")
+    return rows.select("p_id", "address_id", F.round("address_m", 3).alias("address_m"), "address_number", F.col("address_street_norm").alias("address_street"), "line_id", ids, "number", "street", "parity", "number_confidence")
+
+
+@query(f"{with_('places')} SELECT osm_id, lat, lon FROM places WHERE lat >= 29.75 AND lat <= 30.1 AND lon >= 31.1 AND lon <= 31.4")
+def places_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearby.within_box(table(spark, sf_dir, "places"), 29.75, 31.1, 30.1, 31.4).select("osm_id", "lat", "lon")
+
+
+@query(f"""{with_('addresses')}, c AS (SELECT *, concat('city ', o % 3) AS city FROM (SELECT *, CAST(substr(osm_id, 2) AS BIGINT) AS o FROM addresses)) SELECT osm_id, number, street_norm, city FROM (
+  SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY number, street_norm, city ORDER BY osm_id) = 1) ORDER BY osm_id LIMIT 500""")
+def address_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test cases for address search: one for each number, street and city."""
+    city = F.concat(F.lit("city "), (F.substring("osm_id", 2, 20).cast("bigint") % 3).cast("string"))
+    return evaluate.address_cases(table(spark, sf_dir, "addresses").withColumn("city", city), 500).select("osm_id", "number", "street_norm", "city")
+
+
 @query(f"""{with_('places', 'zone_boxes')}
 SELECT osm_id, string_agg(zid, ',' ORDER BY zarea, zlevel, zid) AS parents FROM (
   SELECT p.osm_id, z.osm_id AS zid, z.area_km2 AS zarea, -coalesce(z.admin_level, -1) AS zlevel FROM places p JOIN zone_boxes z
