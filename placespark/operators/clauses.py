@@ -105,8 +105,7 @@ def _terms(tree: Tree) -> DataFrame:
 
 def scores(tree: Tree, terms: DataFrame, candidates: DataFrame, rows: DataFrame, queries: DataFrame | None, docs: DataFrame | None) -> DataFrame:
     """(query, doc, score) of the candidates (query, doc) that the tree takes, scored exactly."""
-    held = written(candidates.join(rows.drop("block"), "doc"))
-    joined = terms.join(held, ["query", "token", "field"])
+    joined = candidates.join(terms, "query").join(rows.select("doc", "token", "field", "impact"), ["doc", "token", "field"])
     of_field = joined.groupBy("query", "doc", "clause", "field").agg(F.sum(F.col("impact") * F.col("times") * F.col("weight")).alias("score"), F.sum("times").alias("matched"), F.first("n").alias("n"))
     every = [i for i, c in enumerate(tree.words) if c.every]
     of_field = of_field.where(~F.col("clause").isin(every) | (F.col("matched") >= F.col("n"))) if every else of_field
@@ -114,7 +113,8 @@ def scores(tree: Tree, terms: DataFrame, candidates: DataFrame, rows: DataFrame,
     boost = F.element_at(F.array(*[F.lit(0.0 if c.excluded else float(c.boost)) for c in tree.words]), F.col("clause") + 1)
     parts = [best.select("query", "doc", "clause", (F.col("score") * boost).alias("score"))]
     for i, p in enumerate(tree.phrases):
-        own = held.where(F.col("field").isin(list(p.fields)))
+        asked = candidates.join(p.asked.select("query", "token").distinct(), "query")
+        own = asked.join(rows.where(F.col("field").isin(list(p.fields))).select("doc", "token", "field", "positions"), ["doc", "token"])
         found = sloppy_phrases(p.asked, own, p.slop) if p.slop else phrases(p.asked, own)
         parts.append(found.select("query", "doc").distinct().select("query", "doc", F.lit(len(tree.words) + i).alias("clause"), F.lit(float(p.boost)).alias("score")))
     out = reduce(DataFrame.unionByName, parts).groupBy("query", "doc").agg(F.round(F.sum("score") + 1e-12, 6).alias("score"), F.collect_set("clause").alias("clauses"))
