@@ -27,7 +27,8 @@ BLOCK = 256
 class Words:
     """A clause of words (query, token, pos, n) in weighted fields: boost times the best field's sum of BM25.
 
-    required: a document must match it; excluded: must not (it scores nothing); every: all words must match in the field.
+    required: a document must match it; excluded: must not (it scores nothing); every: all words must match in the field; ordered: they
+    must stand in the query's order in the field.
     """
 
     asked: DataFrame
@@ -36,6 +37,7 @@ class Words:
     required: bool = False
     excluded: bool = False
     every: bool = False
+    ordered: bool = False
 
 
 @dataclass(frozen=True)
@@ -51,12 +53,18 @@ class Phrase:
 @dataclass(frozen=True)
 class Tree:
     """Clauses whose scores add up; at least `minimum` of the optional ones must match. Documents must have all required clauses and no
-    excluded one, and condition (over columns of queries and docs, a query and a doc in a row) must hold."""
+    excluded one, and condition (over columns of queries and docs, a query and a doc in a row) must hold. factor, over the same columns,
+    multiplies the score; the index must have been made with its ceilings. Bonuses of phrases have no ceilings, so there are none then."""
 
     words: list[Words]
     phrases: list[Phrase] = field(default_factory=list)
     minimum: int = 0
     condition: Column | None = None
+    factor: Column | None = None
+
+    def __post_init__(self) -> None:
+        if self.factor is not None and self.phrases:
+            raise ValueError("a tree with a factor takes ordered words instead of phrases")
 
 
 def numbered(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
@@ -71,13 +79,18 @@ def numbered(rows: DataFrame, group: list[str], order: list[Column]) -> DataFram
     return placed.join(starts, [*group, "range"]).withColumn("place", F.col("at") + F.col("shift")).drop("at", "range", "shift")
 
 
-def impact_index(index: DataFrame, statistics: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Of postings: (field, token, block, doc, impact, positions), and each block's begin (field, token, block, top, first, last)."""
+def impact_index(index: DataFrame, statistics: DataFrame, block: int = BLOCK, ceilings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of postings: (field, token, block, doc, impact, positions), and each block's begin (field, token, block, top, first).
+
+    ceilings (doc, ceiling): the most that a tree's factor can be for the document, whatever the query; blocks are then ordered by
+    impact times ceiling. Documents without one have 1.
+    """
     score = bm25(F.col("tf"), F.col("df"), F.col("docs"), F.col("field_length"), F.col("average"))
     rows = index.join(statistics, ["field", "token"]).select("field", "token", "doc", "positions", "field_length", score.alias("impact"))
-    rows = written(numbered(rows, ["field", "token"], [F.desc("impact"), F.asc("doc")]).withColumn("block", F.floor(F.col("place") / block).cast("int")).drop("place"))
-    begin = F.min_by("doc", F.struct(-F.col("impact"), F.col("doc")))
-    heads = rows.groupBy("field", "token", "block").agg(F.max("impact").alias("top"), begin.alias("first"))
+    rows = rows.withColumn("most", F.col("impact")) if ceilings is None else rows.join(ceilings, "doc", "left").withColumn("most", F.col("impact") * F.coalesce("ceiling", F.lit(1.0))).drop("ceiling")
+    rows = written(numbered(rows, ["field", "token"], [F.desc("most"), F.asc("doc")]).withColumn("block", F.floor(F.col("place") / block).cast("int")).drop("place"))
+    begin = F.min_by("doc", F.struct(-F.col("most"), F.col("doc")))
+    heads = rows.groupBy("field", "token", "block").agg(F.max("most").alias("top"), begin.alias("first"))
     return rows, written(heads)
 
 
@@ -109,6 +122,15 @@ def scores(tree: Tree, terms: DataFrame, candidates: DataFrame, rows: DataFrame,
     of_field = joined.groupBy("query", "doc", "clause", "field").agg(F.sum(F.col("impact") * F.col("times") * F.col("weight")).alias("score"), F.sum("times").alias("matched"), F.first("n").alias("n"))
     every = [i for i, c in enumerate(tree.words) if c.every]
     of_field = of_field.where(~F.col("clause").isin(every) | (F.col("matched") >= F.col("n"))) if every else of_field
+    ordered = [i for i, c in enumerate(tree.words) if c.ordered]
+    if ordered:
+        holds = []
+        for i in ordered:
+            clause = tree.words[i]
+            own = candidates.join(clause.asked.select("query", "token").distinct(), "query").join(rows.where(F.col("field").isin(list(clause.fields))).select("doc", "token", "field", "positions"), ["doc", "token"])
+            holds.append(phrases(clause.asked, own).withColumn("clause", F.lit(i)))
+        in_order = F.col("clause").isin(ordered)
+        of_field = of_field.where(~in_order).unionByName(of_field.where(in_order).join(reduce(DataFrame.unionByName, holds), ["query", "doc", "field", "clause"]))
     best = of_field.groupBy("query", "doc", "clause").agg(F.max("score").alias("score"))
     boost = F.element_at(F.array(*[F.lit(0.0 if c.excluded else float(c.boost)) for c in tree.words]), F.col("clause") + 1)
     parts = [best.select("query", "doc", "clause", (F.col("score") * boost).alias("score"))]
@@ -117,7 +139,7 @@ def scores(tree: Tree, terms: DataFrame, candidates: DataFrame, rows: DataFrame,
         own = asked.join(rows.where(F.col("field").isin(list(p.fields))).select("doc", "token", "field", "positions"), ["doc", "token"])
         found = sloppy_phrases(p.asked, own, p.slop) if p.slop else phrases(p.asked, own)
         parts.append(found.select("query", "doc").distinct().select("query", "doc", F.lit(len(tree.words) + i).alias("clause"), F.lit(float(p.boost)).alias("score")))
-    out = reduce(DataFrame.unionByName, parts).groupBy("query", "doc").agg(F.round(F.sum("score") + 1e-12, 6).alias("score"), F.collect_set("clause").alias("clauses"))
+    out = reduce(DataFrame.unionByName, parts).groupBy("query", "doc").agg(F.sum("score").alias("score"), F.collect_set("clause").alias("clauses"))
     needed, barred = [i for i, c in enumerate(tree.words) if c.required], [i for i, c in enumerate(tree.words) if c.excluded]
     for i in needed:
         out = out.where(F.array_contains("clauses", i))
@@ -125,9 +147,11 @@ def scores(tree: Tree, terms: DataFrame, candidates: DataFrame, rows: DataFrame,
         out = out.where(~F.array_contains("clauses", i))
     if tree.minimum:
         out = out.where(F.size(F.array_except("clauses", F.array(*map(F.lit, needed)) if needed else F.array().cast("array<int>"))) >= tree.minimum)
-    if tree.condition is not None:
-        out = out.join(queries, "query").join(docs, "doc").where(tree.condition)
-    return out.select("query", "doc", "score")
+    if tree.condition is not None or tree.factor is not None:
+        out = out.join(queries, "query").join(docs, "doc")
+        out = out if tree.condition is None else out.where(tree.condition)
+        out = out if tree.factor is None else out.withColumn("score", F.col("score") * tree.factor)
+    return out.select("query", "doc", F.round(F.col("score") + 1e-12, 6).alias("score"))
 
 
 def _driving(terms: DataFrame, heads: DataFrame, tree: Tree) -> DataFrame:
@@ -149,7 +173,7 @@ def _bounds(terms: DataFrame, heads: DataFrame, tree: Tree, depth: int) -> DataF
     next_ = terms.withColumn("block", at).join(heads.where(F.col("block").isin(0, depth)), ["field", "token", "block"]).withColumn("part", F.col("top") * F.col("times") * F.col("weight") * boost)
     parts = next_.groupBy("query", "clause", "token").agg(F.max("part").alias("part"), F.min(F.when(F.col("drives"), F.col("first"))).alias("first"), F.max("drives").alias("drives"))
     bonus = sum(p.boost for p in tree.phrases)
-    return parts.groupBy("query").agg(F.round(F.sum("part") + bonus + 1e-12, 6).alias("bound"), F.min("first").alias("first"), F.max("drives").alias("drives")).where("drives").drop("drives")
+    return parts.groupBy("query").agg(F.round(F.sum("part") * (1 + 1e-12) + bonus + 1e-12, 6).alias("bound"), F.min("first").alias("first"), F.max("drives").alias("drives")).where("drives").drop("drives")
 
 
 def best(tree: Tree, impacts: tuple[DataFrame, DataFrame], k: int, queries: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:

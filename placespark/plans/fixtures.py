@@ -47,6 +47,13 @@ SQL: dict[str, tuple[str, str]] = {
         SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE concat('tenant-', page_id % 4, '-key-', page_id % 7) END AS consumer, CAST(CASE WHEN page_id % 11 = 0 THEN 404 ELSE 200 END AS INT) AS status, url AS uri
         FROM pages"""),
     "names": ("part", "SELECT concat('p', p_partkey) AS osm_id, p_name AS name, p_size / CAST('5' AS DOUBLE) AS offline_rank, (p_partkey * 37) % 101 / CAST('1' AS DOUBLE) AS popularity FROM part"),
+    "corpus": ("part", f"""
+        SELECT concat('p', p_partkey) AS osm_id, CASE WHEN p_partkey % 25 = 0 THEN concat(p_name, ' bank') ELSE p_name END AS name, lower(p_type) AS addr_city,
+          CASE WHEN p_partkey % 3 = 0 THEN 'place' ELSE 'amenity' END AS category_key, CASE p_partkey % 4 WHEN 0 THEN 'bank' WHEN 1 THEN 'hotel' WHEN 2 THEN 'school' ELSE 'fuel' END AS category_value,
+          CASE p_partkey % 4 WHEN 0 THEN 'bank' WHEN 1 THEN 'hotel' WHEN 2 THEN 'school' ELSE 'fuel' END AS category_text,
+          {D("'28.00'")} + ((p_partkey * 7919) % 5500) / {D("'1000'")} AS lat, {D("'30.00'")} + ((p_partkey * 104729) % 6000) / {D("'1000'")} AS lon,
+          p_size / CAST('5' AS DOUBLE) AS offline_rank, (p_partkey * 37) % 101 / CAST('1' AS DOUBLE) AS popularity
+        FROM part"""),
 }
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from placespark.functions import address, analysis, category, geo, rank, text
+from placespark.intermediate import written
 from placespark.operators import assembly, cells, clauses, elements, evaluate, interpolate, metering, nearby, prefix, reverse, search, traffic
 from placespark.plans import movement
 from placespark.sources import claims
@@ -623,6 +624,103 @@ def test_best_documents_equal_scoring_all(spark, monkeypatch):
             assert got == {q: rows[:k] for q, rows in want.items()}
 
 
+def test_factors_and_ordered_words_equal_scoring_all(spark):
+    """A factor that depends on query and document, with ceilings, and words in order: results are those of scoring every document."""
+    rng = random.Random(4)
+    vocabulary = ["street"] * 30 + ["main"] * 10 + ["north"] * 5 + [f"w{i}" for i in range(20)]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 6))), rng.random() * 9, i % 4) for i in range(700)]
+    frame = spark.createDataFrame(docs, "osm_id int, name string, worth double, kind int")
+    index = search.postings(frame, ["name"])
+    stats = search.corpus_statistics(index)
+    texts = ["street", "main street", "north w3", "street main north"]
+    queries = spark.createDataFrame([(t, t, i) for i, t in enumerate(texts)], "query string, q string, want int")
+    asked = search.query_tokens(queries)
+    factor = F.col("worth") + F.when(F.col("kind") == F.col("want"), 5.0).otherwise(0.0)
+    ceilings = frame.select(F.col("osm_id").alias("doc"), (F.col("worth") + 5).alias("ceiling"))
+    tree = clauses.Tree([clauses.Words(asked, {"name": 2.0}), clauses.Words(asked, {"name": 10.0}, ordered=True)], minimum=1, factor=factor)
+    more = queries.select("query", "want"), frame.select(F.col("osm_id").alias("doc"), "worth", "kind")
+    whole = clauses.impact_index(index, stats, 10_000, ceilings)
+    everything = clauses.scores(tree, clauses._terms(tree), queries.select("query").crossJoin(frame.select(F.col("osm_id").alias("doc"))), whole[0], *more).collect()
+    score = {(r.query, r.doc): r.score for r in everything}
+    impact = {(r.doc, r.token): r.impact for r in whole[0].collect()}
+    for q, want in zip(texts, range(4), strict=True):
+        for i, text, worth, kind in docs:
+            words = q.split()
+            parts = sum(impact.get((i, w), 0.0) for w in words)
+            value = 2 * parts + (10 * parts if f" {q} " in f" {text} " else 0.0)
+            assert score.get((q, i), 0.0) == pytest.approx(value * (worth + 5 * (kind == want)), abs=2e-6)
+    best = {}
+    for r in sorted(everything, key=lambda r: (-r.score, r.doc)):
+        best.setdefault(r.query, []).append((r.doc, r.score))
+    got = {}
+    for r in clauses.best(tree, clauses.impact_index(index, stats, 8, ceilings), 6, *more).orderBy("rank").collect():
+        got.setdefault(r.query, []).append((r.doc, r.score))
+    assert got == {q: rows[:6] for q, rows in best.items()}
+    with pytest.raises(ValueError):
+        clauses.Tree([], [clauses.Phrase(asked, ("name",), 1.0)], factor=factor)
+
+
+def test_suggestions_from_the_corpus(spark):
+    """Whole words before words that only begin so, near before far, types interleaved with names, villages not for types, edges."""
+    places = spark.createDataFrame(
+        [
+            ("a", "Metro", None, "shop", "supermarket", "supermarket", 43.7, -79.4, 1.0, 0.0, "1 Main Street"), ("b", "Metrosport", None, "shop", "sports", "sports", 43.7, -79.4, 9.0, 0.0, None),
+            ("c", "Metro", "Metro", "shop", "supermarket", "supermarket", 30.05, 31.25, 1.0, 0.0, None), ("d", "Black Bank", None, "place", "village", "village", 43.7, -79.4, 9.0, 9.0, None),
+            ("e", "Creek Bank", None, "amenity", "cafe", "cafe", 43.7, -79.4, 1.0, 0.0, None), ("f", "Savings", None, "amenity", "bank", "bank", 43.7, -79.4, 1.0, 0.0, None),
+            ("g", None, None, None, None, None, None, None, None, None, None), ("h", "A" * 40 + " B", None, "shop", "x", "x", 0.0, 0.0, 0.0, None, ""), ("i", "North Metro Hall", None, "shop", "x", "x", None, None, 2.0, 1.0, ""),
+        ],
+        "osm_id string, name string, name_en string, category_key string, category_value string, category_text string, lat double, lon double, offline_rank double, popularity double, full_address string",
+    )
+    asked = spark.createDataFrame(
+        [("1", "metro", 43.7, -79.4), ("2", "METRO", 30.05, 31.25), ("3", "bank", 43.7, -79.4), ("4", "black ba", None, None), ("5", "a" * 40, None, None), ("6", "", None, None), ("7", None, 1.0, 1.0), ("8", "zzz", None, None), ("9", "metr", None, None), ("10", "a" * 40 + " b", None, None)],
+        "query string, q string, bias_lat double, bias_lon double",
+    )
+    impacts = prefix.corpus_index(places, 2)
+    got = {}
+    for r in prefix.suggest_from_corpus(asked, impacts, places, 5).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append(r.osm_id)
+        assert 0 < r.confidence <= 1
+    assert got["1"][0] == "a" and got["2"][0] == "c" and set(got["1"]) == {"a", "b", "c", "i"}
+    assert got["3"] == ["e", "f"]  # by name, then by type; the village isn't meant
+    assert got["4"][0] == "d" and got["5"] == ["h"] and got["10"] == ["h"] and got["9"][0] == "b"
+    assert not {"6", "7", "8"} & set(got)
+    index = prefix.build_prefix_index(places, None)
+    both = prefix.suggest_with_fallback(asked.where("query IN ('1', '4')"), index, impacts, places, 2).collect()
+    assert {r.query: r.source for r in both} == {"1": "index", "4": "corpus"}
+    assert not prefix.suggest_from_corpus(asked.limit(0), impacts, places).collect()
+    labels = places.select("osm_id", prefix.corpus_label(F.col("name"), F.col("name_en"), F.col("full_address")).alias("label")).collect()
+    assert {r.osm_id: r.label for r in labels if r.osm_id in "acg"} == {"a": "Metro, 1 Main Street", "c": "Metro", "g": ""}
+
+
+def test_kept_prefix_index_equals_a_rebuild(spark):
+    """Random rounds of new, changed and removed places: what is served equals a new index, through lists that run out as well."""
+    rng = random.Random(12)
+    words = ["cafe", "cairo", "calm", "north", "nile", "new"]
+    schema = "osm_id string, name string, lat double, lon double, offline_rank double, popularity double"
+
+    def place(i):
+        return f"n{i}", rng.choice([None, "", *[f"{rng.choice(words)} {rng.choice(words)}" for _ in range(9)]]), rng.choice([30.0, 30.5, None]), 31.0, float(rng.randrange(8)), float(rng.randrange(3))
+
+    now = {f"n{i}": place(i) for i in range(60)}
+    index = prefix.build_kept_index(spark.createDataFrame(list(now.values()), schema), 4, 2)
+    for step in range(4):
+        changed = rng.sample(sorted(now), 12 if step < 3 else len(now))
+        for i in changed:
+            if rng.random() < 0.5 or step == 3:
+                now.pop(i)
+            else:
+                now[i] = place(int(i[1:]))
+        fresh = [f"n{100 * (step + 1) + j}" for j in range(3)]
+        now |= {i: place(int(i[1:])) for i in fresh}
+        frame = spark.createDataFrame(list(now.values()), schema)
+        ids = spark.createDataFrame([(i,) for i in [*changed, *fresh, *fresh, None, "nowhere"]], "osm_id string")
+        index = written(prefix.refresh_index(index, frame, ids, 4, 2))
+        want = {tuple(r) for r in prefix.build_prefix_index(frame, None, 4).select("scope", "prefix", "osm_id", "score", "rank").collect()}
+        assert {tuple(r) for r in prefix.served(index, 4).select("scope", "prefix", "osm_id", "score", "rank").collect()} == want
+    untouched = prefix.refresh_index(index, frame, ids.limit(0), 4, 2)
+    assert untouched.exceptAll(index).isEmpty() and index.exceptAll(untouched).isEmpty()
+
+
 def test_claims_by_two_workers_and_a_crash(spark, tmp_path):
     clock = [0.0]
     one, two = (claims.Claims(spark, f"{tmp_path}/claims", 3600, lambda: time.time() + clock[0]) for _ in range(2))
