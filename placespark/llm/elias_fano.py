@@ -1,7 +1,8 @@
 """Elias-Fano sequences and the levels of an n-gram trie, as flat bytes that can be mapped from a file.
 
 A non-decreasing sequence is kept as its low bits, packed, and its high parts in unary. Reading an element selects a one
-of the unary part; searching selects the zeros around the high part and halves the few elements between.
+of the unary part; searching selects the zeros around the high part and halves the few elements between. Where many
+are asked for at once, the sequence is read from one end to the other, and they are sought among its elements.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import tempfile
 import numpy as np
 
 U = np.uint64
+#: A sequence of fewer elements than this many for each one asked for is read through.
+DENSE = 8
 
 
 class Bits:
@@ -55,7 +58,8 @@ class EliasFano:
         most = int(values[-1]) + 1 if n else 1
         bits = max(0, (most // max(1, n)).bit_length() - 1)
         if bits:
-            low = np.packbits(((values[:, None] >> np.arange(bits, dtype=U)) & U(1)).astype(np.uint8).ravel(), bitorder="little")
+            places = np.ascontiguousarray(values, U).view(np.uint8).reshape(n, 8)
+            low = np.packbits(np.unpackbits(places[:, : -(-bits // 8)], axis=1, count=bits, bitorder="little").ravel(), bitorder="little")
         else:
             low = np.zeros(0, np.uint8)
         low = np.frombuffer(low.tobytes() + bytes(16 + -len(low) % 8), np.uint64)
@@ -74,6 +78,15 @@ class EliasFano:
         word, shift = place >> 6, (place & 63).astype(U)
         return ((self.low[word] >> shift) | ((self.low[word + 1] << U(1)) << (U(63) - shift))) & U((1 << self.low_bits) - 1)
 
+    def every(self) -> np.ndarray:
+        """All elements, read in passing."""
+        top = np.flatnonzero(np.unpackbits(self.high.words.view(np.uint8), bitorder="little").view(bool)) - np.arange(self.n)
+        places = np.zeros((self.n, 8), np.uint8)
+        if self.low_bits:
+            low = np.unpackbits(self.low.view(np.uint8), count=self.n * self.low_bits, bitorder="little")
+            places[:, : -(-self.low_bits // 8)] = np.packbits(low.reshape(self.n, self.low_bits), axis=1, bitorder="little")
+        return top.astype(U) << U(self.low_bits) | places.view(U).ravel()
+
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
         return (((self.high.one(i) - i).astype(U)) << U(self.low_bits)) | self._low(i)
@@ -84,6 +97,10 @@ class EliasFano:
         out = np.full(len(x), -1, np.int64)
         if not self.n:
             return out
+        if self.n < DENSE * len(x):
+            values = self.every()
+            place = np.minimum(np.searchsorted(values, x), self.n - 1)
+            return np.where(values[place] == x, place, -1)
         top = (x >> U(self.low_bits)).astype(np.int64)
         inside = np.flatnonzero(x <= self[np.array([self.n - 1])][0])
         top, low = top[inside], x[inside] & U((1 << self.low_bits) - 1)
@@ -115,8 +132,9 @@ class Level:
     @staticmethod
     def pack(context: np.ndarray, word: np.ndarray, codes: np.ndarray, backoffs: np.ndarray) -> bytes:
         """Bytes of distinct (context, word), in that order, with their quantised values."""
-        contexts, first = np.unique(context, return_index=True)
-        rank = np.searchsorted(contexts, context)
+        new = np.concatenate([[True], context[1:] != context[:-1]])[: len(context)]
+        first, rank = np.flatnonzero(new), np.cumsum(new) - 1
+        contexts = context[first]
         span = int(word.max()) + 1 if len(word) else 1
         successors = rank.astype(U) * U(span) + word.astype(U)  # relative to the context, so they never decrease
         parts = [EliasFano.pack(contexts.astype(U)), EliasFano.pack(np.append(first, len(context)).astype(U)), EliasFano.pack(successors)]

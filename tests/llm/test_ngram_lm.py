@@ -4,9 +4,10 @@ import re
 import zlib
 
 import numpy as np
+import zstandard
 
 from placespark.llm import ngram_lm
-from placespark.llm.elias_fano import EliasFano, Level, mapped
+from placespark.llm.elias_fano import Bits, EliasFano, Level, mapped
 
 
 def test_elias_fano():
@@ -136,3 +137,37 @@ def test_string_ids(spark):
     rows = spark.createDataFrame([(f"d{i}" if i else None, "one two three one two") for i in range(12)], "doc_id string, text string")
     got = ngram_lm.lm_scores(rows, ~ngram_lm.is_held_out(rows["doc_id"]))
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted(["None", *[f"d{i}" for i in range(1, 12)]])
+
+
+def test_lookups_of_many_read_through_and_equal_those_of_few(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n, top in ((1, 1), (7, 3), (4000, 50), (4000, 1 << 40), (4000, (1 << 64) - 1)):
+        values = np.sort(rng.integers(0, top, n, dtype=np.uint64))
+        held = EliasFano(mapped(EliasFano.pack(values)))
+        asked = np.sort(np.concatenate([np.unique(values), rng.integers(0, top, n, dtype=np.uint64)]))
+        few = [held.find(asked[i : i + 1 + n // 100]) for i in range(0, len(asked), 1 + n // 100)]
+        with monkeypatch.context() as m:
+            m.setattr(Bits, "_select", None)  # no selection for each one asked for
+            many = held.find(asked)
+            assert (held.every() == values).all()
+        known = set(values.tolist())
+        for place in (many, np.concatenate(few)):
+            assert [p >= 0 for p in place.tolist()] == [x in known for x in asked.tolist()]
+            assert (values[place[place >= 0]] == asked[place >= 0]).all()
+
+
+def test_payloads_hold_the_bytes_that_numbers_need():
+    for values, kind, most in (([], np.int64, 0), ([0] * 50, np.uint32, 0), ([1, 255] * 50, np.int64, 1), ([3, 256] * 50, np.uint32, 2), ([-1, 5], np.int64, 8), ([(1 << 64) - 1, 0], np.uint64, 8)):
+        data = ngram_lm.packed(np.array(values, kind), kind)
+        assert ngram_lm.unpacked(data, kind).tolist() == values and ngram_lm.unpacked(data, kind).dtype == kind
+        assert len(zstandard.ZstdDecompressor().decompress(data)) <= 9 + most * len(values)
+
+
+def test_distinct_pairs_of_small_and_large_numbers():
+    rng = np.random.default_rng(4)
+    for n, contexts, words in ((0, 1, 1), (1, 1, 1), (3000, 40, 30), (3000, 1 << 40, 1 << 20), (3000, 1 << 62, 1 << 62)):
+        pool = rng.integers(0, (contexts, words), (n // 2 + 1, 2))
+        context, word = (np.ascontiguousarray(x) for x in pool[rng.integers(0, len(pool), n)].T)
+        own, of, which = ngram_lm.distinct(context, word)
+        assert list(zip(own.tolist(), of.tolist(), strict=True)) == sorted(set(zip(context.tolist(), word.tolist(), strict=True)))
+        assert (own[which] == context).all() and (of[which] == word).all()
