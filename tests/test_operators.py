@@ -749,3 +749,31 @@ def test_one_of_many_claims_wins(spark, tmp_path):
     for file in ("a", "b", "c"):
         with ThreadPoolExecutor(8) as pool:
             assert sum(pool.map(lambda w, f=file: w.claim(f), workers)) == 1
+
+
+def test_copies_are_scored_once(spark):
+    draw = random.Random(5)
+    docs = [(f"d{i:03}", " ".join(draw.choice("abcde") for _ in range(draw.randint(1, 3))), draw.choice(["x y", "z", None])) for i in range(120)]
+    frame = spark.createDataFrame(docs, "osm_id string, name string, name_en string")
+    kept, members = search.without_copies(frame, ["name", "name_en"])
+    assert kept.count() == len({d[1:] for d in docs}) < len(docs) == members.count()
+    index, own = search.postings(frame, ["name", "name_en"]), search.postings(kept, ["name", "name_en"], "doc")
+    statistics = lambda *x: {(r.field, r.token): (r.df, r.docs, r.average) for r in search.corpus_statistics(*x).collect()}
+    assert statistics(index) == statistics(own, kept)
+    asked = search.query_tokens(spark.createDataFrame([(q, q) for q in ("a b x", "a q x y", "c z z e", "e", "q")], "query string, q string"))
+    scored = lambda *x: search.cross_fields(asked, *x).withColumn("score", F.round("score", 9))
+    every = scored(index, search.corpus_statistics(index))
+    rows = lambda df: {(r["query"], r["doc"], r["score"], r["rank"]) for r in df.collect()}
+    assert rows(search.top(every, 7)) == rows(search.top_members(search.top(scored(own, search.corpus_statistics(own, kept)), 7), members, 7))
+    words = {i: {*n.split(), *(e or "").split()} for i, n, e in docs}
+    want = {(q, i) for q in ("a b x", "a q x y", "c z z e", "e", "q") for i, w in words.items() if len(w & set(q.split())) >= max(len(q.split()) * 3 // 4, 1)}
+    assert {(r["query"], r["doc"]) for r in every.collect()} == want
+
+
+def test_common_tokens_alone_are_no_candidates(spark):
+    docs = spark.createDataFrame([(f"d{i:04}", f"brand w{i}") for i in range(3000)], "osm_id string, name string")
+    index = search.postings(docs, ["name"])
+    asked = search.query_tokens(spark.createDataFrame([(f"w{i} brand", f"w{i} brand x") for i in range(2000)], "query string, q string"))
+    start = time.time()
+    assert search.cross_fields(asked, index, search.corpus_statistics(index)).count() == 2000
+    assert time.time() - start < 20
