@@ -777,3 +777,21 @@ def test_common_tokens_alone_are_no_candidates(spark):
     start = time.time()
     assert search.cross_fields(asked, index, search.corpus_statistics(index)).count() == 2000
     assert time.time() - start < 20
+
+
+def test_words_with_enough_near_ones_skip_two_edits(spark):
+    words = [f"{i:06}" for i in range(4000)]
+    asked = search.query_tokens(spark.createDataFrame([(w, w) for w in words[::7]], "query string, q string"))
+    vocabulary = spark.createDataFrame([(w,) for w in words], "token string")
+    start = time.time()
+    got = {}
+    for r in search.fuzzy_tokens(asked, vocabulary, 2).collect():
+        got.setdefault(r.asked, []).append((r.edits, r.token))
+    assert time.time() - start < 30
+    for w in words[::700]:
+        def edits(v):
+            differ = [i for i in range(6) if v[i] != w[i]]
+            swap = len(differ) == 2 and differ[1] == differ[0] + 1 and v[differ[0]] == w[differ[1]] and v[differ[1]] == w[differ[0]]
+            return 1 if swap else len(differ)
+        one = sorted((edits(v), v) for v in words if v[:2] == w[:2] and edits(v) <= 1)
+        assert sorted(got[w])[: min(30, len(one))] == one[:30] and len(got[w]) == 30
