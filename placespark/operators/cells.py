@@ -107,22 +107,23 @@ def _homes(lat: Column, lon: Column, levels: dict[int, float]) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(i).alias("level"), home_cell(lat, lon, _step(m)).alias("cell")) for i, m in levels.items()]))
 
 
-def point_levels(points: DataFrame, counts: DataFrame, point_id: str, k: int, sizes: list[float]) -> DataFrame:
+def point_levels(points: DataFrame, counts: DataFrame, point_id: str, k: int, sizes: list[float], also: list[str] | None = None) -> DataFrame:
     """points with level: the size of cells to look in for k places, by counts of places in cells of all sizes.
 
     The smallest cell around a point that holds k gives a level; the one below it does if the cells that a circle of its size touches
     hold k. This only guides the search: any level gives right results.
     """
-    around = points.select(point_id, _homes(F.col("p_lat"), F.col("p_lon"), dict(enumerate(sizes))).alias("at")).select(point_id, "at.*")
-    around = around.join(counts.where(F.col("n") >= k), ["level", "cell"]).groupBy(point_id).agg(F.min("level").alias("own"))
+    on = also or []
+    around = points.select(point_id, *on, _homes(F.col("p_lat"), F.col("p_lon"), dict(enumerate(sizes))).alias("at")).select(point_id, *on, "at.*")
+    around = around.join(counts.where(F.col("n") >= k), ["level", "cell", *on]).groupBy(point_id).agg(F.min("level").alias("own"))
     own = written(points.join(around, point_id, "left").withColumn("own", F.coalesce("own", F.lit(len(sizes) - 1))))
     below = F.greatest(F.col("own") - 1, F.lit(0))
-    touched = own.select(point_id, below.alias("level"), F.explode(cells_of_box(*_circle_box(F.col("p_lat"), F.col("p_lon"), _of(sizes, below)), _of([_step(m) for m in sizes], below))).alias("cell"))
-    near = touched.join(counts, ["level", "cell"]).groupBy(point_id).agg(F.sum("n").alias("n")).where(F.col("n") >= k).select(point_id, F.lit(True).alias("near"))
+    touched = own.select(point_id, *on, below.alias("level"), F.explode(cells_of_box(*_circle_box(F.col("p_lat"), F.col("p_lon"), _of(sizes, below)), _of([_step(m) for m in sizes], below))).alias("cell"))
+    near = touched.join(counts, ["level", "cell", *on]).groupBy(point_id).agg(F.sum("n").alias("n")).where(F.col("n") >= k).select(point_id, F.lit(True).alias("near"))
     return own.join(near, point_id, "left").withColumn("level", F.when(F.col("near"), below).otherwise(F.col("own"))).drop("own", "near")
 
 
-def _bounds(asked: DataFrame, counts: DataFrame, point_id: str, k: int, sizes: list[float]) -> DataFrame:
+def _bounds(asked: DataFrame, counts: DataFrame, point_id: str, k: int, sizes: list[float], also: list[str] | None = None) -> DataFrame:
     """(point_id, bound): the k-th nearest place isn't further away.
 
     Of the cells two sizes below a point's level that stand in its own cells and hold k places, each bounds it: by the distance of the
@@ -135,38 +136,40 @@ def _bounds(asked: DataFrame, counts: DataFrame, point_id: str, k: int, sizes: l
             parts.append(F.struct(F.lit(fine).alias("fine"), F.lit(level).alias("level")))
     across = F.cos(F.radians(F.when((F.col("south") < 0) & (F.col("north") > 0), 0.0).otherwise(F.least(F.abs("south"), F.abs("north")))))
     half = F.radians((F.col("north") - F.col("south")) / 2 + (F.col("east") - F.col("west")) / 2 * across) * EARTH_M
-    boxes = counts.where(F.col("n") >= k).select(*[c.alias(n) for c, n in zip((*centre, half), ("lat", "lon", "half"), strict=True)], F.col("level").alias("own"), F.explode(F.array(*parts)).alias("part")).where("own = part.fine")
-    boxes = boxes.select("lat", "lon", "half", F.col("part.level").alias("level"), home_cell(F.col("lat"), F.col("lon"), _of(steps, F.col("part.level"))).alias("cell"))
+    on = also or []
+    boxes = counts.where(F.col("n") >= k).select(*on, *[c.alias(n) for c, n in zip((*centre, half), ("lat", "lon", "half"), strict=True)], F.col("level").alias("own"), F.explode(F.array(*parts)).alias("part")).where("own = part.fine")
+    boxes = boxes.select(*on, "lat", "lon", "half", F.col("part.level").alias("level"), home_cell(F.col("lat"), F.col("lon"), _of(steps, F.col("part.level"))).alias("cell"))
     reach = asked.withColumn("cell", F.explode(cells_of_box(*_circle_box(F.col("p_lat"), F.col("p_lon"), _of(sizes, F.col("level"))), _of(steps, F.col("level")))))
-    found = reach.join(boxes, ["level", "cell"]).groupBy(point_id).agg(F.min(haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")) + F.col("half")).alias("bound"))
+    found = reach.join(boxes, ["level", "cell", *on]).groupBy(point_id).agg(F.min(haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")) + F.col("half")).alias("bound"))
     globe = EARTH_M * 3.15
     own = F.when(F.col("level") == len(sizes) - 1, globe).otherwise(F.least(_of(sizes, F.col("level")) * 8, F.lit(globe)))
     return asked.join(found, point_id, "left").withColumn("bound", F.least(F.coalesce("bound", own), own) * 1.000001 + 0.001)
 
 
-def nearest(points: DataFrame, places: DataFrame, point_id: str, place_id: str, k: int = 1, first_m: float = 30.0) -> DataFrame:
+def nearest(points: DataFrame, places: DataFrame, point_id: str, place_id: str, k: int = 1, first_m: float = 30.0, also: list[str] | None = None) -> DataFrame:
     """The k nearest places (place_id, lat, lon) of every point (point_id, p_lat, p_lon and more): distance_m and rank; ties to the smaller id.
+    With also, of those that are equal in these columns.
 
     Places at one spot count as its k smallest ids. Counts of places by cells of several sizes say where to look and bound how far the
     k-th nearest can be (point_levels, _bounds); each point then meets, once, the places in the cells that the circle of its bound
     touches, of the smallest cells that are at least an eighth as wide as the bound. Points without coordinates, or places without, have no
     part; fewer than k places give fewer rows; no places, no rows.
     """
-    sizes = _levels(first_m)
-    own = places.where("lat IS NOT NULL AND lon IS NOT NULL").select(place_id, "lat", "lon")
-    spots = own.groupBy("lat", "lon").agg(F.min(place_id).alias(place_id)) if k == 1 else own.withColumn("at", F.row_number().over(Window.partitionBy("lat", "lon").orderBy(place_id))).where(F.col("at") <= k).drop("at")
+    sizes, on = _levels(first_m), also or []
+    own = places.where("lat IS NOT NULL AND lon IS NOT NULL").select(*on, place_id, "lat", "lon")
+    spots = own.groupBy(*on, "lat", "lon").agg(F.min(place_id).alias(place_id)) if k == 1 else own.withColumn("at", F.row_number().over(Window.partitionBy(*on, "lat", "lon").orderBy(place_id))).where(F.col("at") <= k).drop("at")
     spots = written(spots)
     box = [f(c).alias(n) for f, c, n in ((F.min, "lat", "south"), (F.max, "lat", "north"), (F.min, "lon", "west"), (F.max, "lon", "east"))]
-    counts = spots.select("lat", "lon", _homes(F.col("lat"), F.col("lon"), dict(enumerate(sizes))).alias("at")).select("lat", "lon", "at.*")
-    counts = written(counts.groupBy("level", "cell").agg(F.count("*").alias("n"), *box))
-    asked = point_levels(points.where("p_lat IS NOT NULL AND p_lon IS NOT NULL"), counts, point_id, k, sizes)
-    asked = _bounds(asked, counts, point_id, k, sizes)
+    counts = spots.select(*on, "lat", "lon", _homes(F.col("lat"), F.col("lon"), dict(enumerate(sizes))).alias("at")).select(*on, "lat", "lon", "at.*")
+    counts = written(counts.groupBy(*on, "level", "cell").agg(F.count("*").alias("n"), *box))
+    asked = point_levels(points.where("p_lat IS NOT NULL AND p_lon IS NOT NULL"), counts, point_id, k, sizes, on)
+    asked = _bounds(asked, counts, point_id, k, sizes, on)
     level = F.coalesce(*[F.when(F.lit(m) * 8 >= F.col("bound"), i) for i, m in enumerate(sizes)], F.lit(len(sizes) - 1))
     asked = written(asked.withColumn("level", level))
     used = sorted(r[0] for r in asked.select("level").distinct().collect())
     reach = asked.withColumn("cell", F.explode(cells_of_box(*_circle_box(F.col("p_lat"), F.col("p_lon"), F.col("bound")), _of([_step(m) for m in sizes], F.col("level")))))
-    held = spots.select(place_id, "lat", "lon", _homes(F.col("lat"), F.col("lon"), {i: sizes[i] for i in used or [0]}).alias("at")).select(place_id, "lat", "lon", "at.*")
-    found = reach.join(held, ["level", "cell"]).drop("cell", "level").withColumn("distance_m", haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")))
+    held = spots.select(*on, place_id, "lat", "lon", _homes(F.col("lat"), F.col("lon"), {i: sizes[i] for i in used or [0]}).alias("at")).select(*on, place_id, "lat", "lon", "at.*")
+    found = reach.join(held, ["level", "cell", *on]).drop("cell", "level").withColumn("distance_m", haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")))
     return _best(found.where(F.col("distance_m") <= F.col("bound")).drop("bound"), point_id, place_id, k)
 
 

@@ -806,6 +806,18 @@ def _street_rows(spark, seed, n, m):
         spark.createDataFrame(addresses, "osm_id string, street_norm string, number bigint, lat double, lon double, city string"))
 
 
+def test_numbers_around_a_point_without_the_whole_street(spark):
+    asked, known = _street_rows(spark, 3, 600, 300)
+    rows = lambda df: sorted(map(str, df.select("req_id", "asked", "exact", "low", "high").distinct().collect()))
+    want = rows(interpolate.bracketed(interpolate.nearest_cluster(interpolate.on_street(asked, known))))
+    assert len(want) > 150 and rows(interpolate.brackets(asked, known)) == want
+    many = asked.crossJoin(spark.range(40).select(F.col("id").alias("i"))).withColumn("req_id", F.concat_ws("-", "req_id", "i")).withColumns({"ref_lat": F.lit(30.01), "ref_lon": F.lit(31.01), "asked": F.coalesce("asked", F.lit(7))}).drop("i", "city")
+    copies = known.drop("city").crossJoin(spark.range(300).select(F.col("id").alias("i"))).withColumn("osm_id", F.concat_ws("-", "osm_id", "i")).drop("i")
+    start = time.time()
+    assert interpolate.brackets(many, copies).count() > 9_000
+    assert time.time() - start < 60
+
+
 def test_numbers_of_a_street_in_one_order(spark):
     asked, known = _street_rows(spark, 4, 500, 200)
     rows = lambda df: sorted(map(str, df.select("req_id", "asked", "exact", "low", "high").collect()))
