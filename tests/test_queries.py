@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from placespark.operators import search as operators
 from placespark.plans import catalog
 
 
@@ -46,3 +47,18 @@ def test_other_queries_run(spark, sf, name):
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+@pytest.mark.parametrize("name", ["clause_search"])
+def test_equal_texts_are_indexed_once(spark, sf, tmp_path, monkeypatch, name):
+    c, seen = duckdb.connect(), []
+    c.execute(f"CREATE TABLE part AS SELECT p_partkey + 1000 * i AS p_partkey, * EXCLUDE (p_partkey, i) FROM (SELECT * FROM read_parquet('{sf}/part.parquet') WHERE p_partkey < 60), range(5) r(i)")
+    c.execute(f"COPY part TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    postings = operators.postings
+    monkeypatch.setattr(operators, "postings", lambda docs, *a, **k: seen.append(docs.count()) or postings(docs, *a, **k))
+    frame = catalog.queries()[name](spark, str(tmp_path))
+    got = sorted(tuple(r) for r in frame.collect())
+    found = c.execute(f"SELECT {', '.join(frame.columns)} FROM ({catalog.oracle_sql()[name]})")
+    want = sorted(found.fetchall())
+    assert len(got) == len(want) > 0 and all(same(x, y) for r, s in zip(got, want, strict=True) for x, y in zip(r, s, strict=True))
+    assert seen and max(seen) <= 60
