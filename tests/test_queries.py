@@ -49,7 +49,7 @@ def test_entry(spark):
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("name", ["clause_search", "sloppy_phrase_match"])
+@pytest.mark.parametrize("name", ["clause_search", "sloppy_phrase_match", "sloppier_phrase_match"])
 def test_equal_texts_are_indexed_once(spark, sf, tmp_path, monkeypatch, name):
     c, seen = duckdb.connect(), []
     c.execute(f"CREATE TABLE part AS SELECT p_partkey + 1000 * i AS p_partkey, * EXCLUDE (p_partkey, i) FROM (SELECT * FROM read_parquet('{sf}/part.parquet') WHERE p_partkey < 60), range(5) r(i)")
