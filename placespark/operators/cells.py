@@ -59,13 +59,53 @@ def _circle_box(lat: Column, lon: Column, metres: Column | float) -> tuple[Colum
     return F.greatest(lat - up, F.lit(-90.0)), lon - wide, F.least(lat + up, F.lit(90.0)), lon + wide
 
 
+#: Rows at one spot that travel as one.
+FOLD = 256
+
+
+def folded(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows that are equal in keys as one, with an array name of their other columns, up to FOLD of them each."""
+    rest = [c for c in rows.columns if c not in keys]
+    order = Window.partitionBy(*keys).orderBy(F.lit(0))
+    part = rows.withColumn("part", F.floor((F.row_number().over(order) - 1) / FOLD))
+    return part.groupBy(*keys, "part").agg(F.collect_list(F.struct(*rest)).alias(name)).drop("part") if rest else rows.select(*keys, F.array(F.struct(F.lit(0).alias("none"))).alias(name))
+
+
+def unfolded(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    return rows.select("*", F.explode(name).alias("one")).drop(name).select("*", *[F.col("one")[c].alias(c) for c in columns]).drop("one")
+
+
+def spot_pairs(points: DataFrame, places: DataFrame, metres: float, also: list[str] | None = None, point_has_cells: bool = True) -> DataFrame:
+    """Rows of points (p_lat, p_lon) and places (lat, lon) within metres, with distance_m. One side is copied to the cells that its circle
+    touches: points, or else places; then all places of a point meet it in one task."""
+    step = max(metres / 2 / METRES_A_DEGREE, 1e-4)
+    reach = lambda lat, lon: F.explode(cells_of_box(*_circle_box(F.col(lat), F.col(lon), metres), step))
+    home = lambda lat, lon: home_cell(F.col(lat), F.col(lon), step)
+    own, held = (reach, home) if point_has_cells else (home, reach)
+    n, on = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["cell", *(also or [])]
+    dealt = points.withColumn("cell", own("p_lat", "p_lon")).repartition(n, *on)
+    joined = dealt.join(places.withColumn("cell", held("lat", "lon")).hint("shuffle_merge"), on).drop("cell").where(F.abs(F.col("p_lat") - F.col("lat")) <= metres / METRES_A_DEGREE * 1.0000001)
+    return joined.withColumn("distance_m", haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))).where(F.col("distance_m") <= metres)
+
+
+def radius_pairs(points: DataFrame, places: DataFrame, metres: float, also: list[str] | None = None) -> DataFrame:
+    """radius_join with points at one spot, and places at one, still as one row; what goes by the distance is worked out once for them all."""
+    on = also or []
+    return spot_pairs(folded(points, [*on, "p_lat", "p_lon"], "at_point"), folded(places, [*on, "lat", "lon"], "at_place"), metres, also)
+
+
+def apart(pairs: DataFrame, points: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows of radius_pairs with each point and place as a row of its own."""
+    keys = [c for c in pairs.columns if c not in ("at_point", "at_place")]
+    pairs = unfolded(pairs, "at_point", [c for c in points.columns if c not in keys])
+    return unfolded(pairs, "at_place", [c for c in places.columns if c not in keys])
+
+
 def radius_join(points: DataFrame, places: DataFrame, metres: float, also: list[str] | None = None) -> DataFrame:
     """points (p_lat, p_lon) with every place (lat, lon) within metres, of equal columns also, and distance_m."""
-    step = max(metres / METRES_A_DEGREE, 1e-4)
-    reach = points.withColumn("cell", F.explode(cells_of_box(*_circle_box(F.col("p_lat"), F.col("p_lon"), metres), step)))
-    held = places.withColumn("cell", home_cell(F.col("lat"), F.col("lon"), step))
-    joined = reach.join(held, ["cell", *(also or [])]).drop("cell").withColumn("distance_m", haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")))
-    return joined.where(F.col("distance_m") <= metres)
+    on = also or []
+    order = [*on, *[c for c in points.columns if c not in on], *[c for c in places.columns if c not in on]]
+    return apart(radius_pairs(points, places, metres, also), points, places).select(*order, "distance_m")
 
 
 def degree_join(points: DataFrame, places: DataFrame, degrees: float) -> DataFrame:
