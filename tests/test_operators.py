@@ -847,3 +847,19 @@ def test_rows_at_one_spot_meet_once(spark):
     asked = points.withColumnsRenamed({"p_id": "req_id", "p_lat": "ref_lat", "p_lon": "ref_lon"})
     found = every.withColumnsRenamed({"p_id": "req_id", "p_lat": "ref_lat", "p_lon": "ref_lon"})
     assert rows(interpolate.clusters(asked, places, 3000.0)) == rows(interpolate.nearest_cluster(found).select("req_id", "osm_id"))
+
+
+def test_pages_of_places_equal_sorting_all(spark):
+    draw = random.Random(9)
+    spots = [(30.0 + draw.randint(0, 20) * 0.002, 31.0 + draw.randint(0, 20) * 0.002) for _ in range(40)]
+    places = spark.createDataFrame([(f"n{i}", *draw.choice(spots), None, 1.0, draw.choice(["food", "shop"]), draw.choice(["bank", "fuel"]), draw.choice([None, 1.0, 5.0, 5.0000001]), float(draw.randint(0, 4))) for i in range(1500)],
+        "osm_id string, lat double, lon double, admin_level int, area_km2 double, category_group string, category_value string, offline_rank double, popularity double").persist()
+    points = spark.createDataFrame([(i, *draw.choice(spots)) for i in range(30)], "p_id int, p_lat double, p_lon double").persist()
+    every = points.crossJoin(places).withColumn("distance_m", geo.haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))).where("distance_m <= 2500").withColumn("score", F.round(nearby.best_score(2500.0), 6))
+    rows = lambda df: sorted(map(str, df.select("p_id", "osm_id", "distance_m", "score", "total", "rank", "has_more", "category_value").collect()))
+    for sort, offset, after in (("best", 0, None), ("best", 13, None), ("distance", 7, None), ("best", 0, (3.2, "n5")), ("distance", 0, (1200.0, "n5"))):
+        key = "-score" if sort == "best" else "round(distance_m, 6)"
+        want = every.withColumn("total", F.expr("count(*) over (partition by p_id)"))
+        want = want.where(True if not after else F.expr(f"{key} > {-after[0] if sort == 'best' else after[0]} OR ({key} = {-after[0] if sort == 'best' else after[0]} AND osm_id > '{after[1]}')")) if after else want
+        want = want.withColumn("rank", F.expr(f"row_number() over (partition by p_id order by {key}, osm_id)")).where(f"rank > {offset} AND rank <= {offset + 9}").withColumn("has_more", F.col("total") > offset + 9)
+        assert rows(nearby.nearby(points, places, 2500.0, sort=sort, limit=9, offset=offset, after=after)) == rows(want)
