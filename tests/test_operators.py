@@ -863,3 +863,12 @@ def test_pages_of_places_equal_sorting_all(spark):
         want = want.where(True if not after else F.expr(f"{key} > {-after[0] if sort == 'best' else after[0]} OR ({key} = {-after[0] if sort == 'best' else after[0]} AND osm_id > '{after[1]}')")) if after else want
         want = want.withColumn("rank", F.expr(f"row_number() over (partition by p_id order by {key}, osm_id)")).where(f"rank > {offset} AND rank <= {offset + 9}").withColumn("has_more", F.col("total") > offset + 9)
         assert rows(nearby.nearby(points, places, 2500.0, sort=sort, limit=9, offset=offset, after=after)) == rows(want)
+
+
+def test_many_places_around_many_points(spark):
+    places = spark.range(60_000).select(F.concat(F.lit("n"), F.col("id")).alias("osm_id"), (30.0 + F.col("id") % 10 * 0.001).alias("lat"), (31.0 + F.col("id") % 7 * 0.001).alias("lon"), F.lit(None).cast("int").alias("admin_level"),
+        F.lit(1.0).alias("area_km2"), F.lit("food").alias("category_group"), F.lit("bank").alias("category_value"), (F.col("id") % 1000 / 100).alias("offline_rank"), (F.col("id") % 77 / 10).alias("popularity"))
+    points = spark.range(1_500).select("id", (30.0 + F.col("id") % 30 * 0.0003).alias("p_lat"), (31.0 + F.col("id") % 50 * 0.0001).alias("p_lon")).withColumnRenamed("id", "p_id")
+    start = time.time()
+    found = nearby.nearby(points, places, 5000.0, limit=5).collect()
+    assert time.time() - start < 45 and len(found) == 7_500 and all(r.total == 60_000 for r in found)
