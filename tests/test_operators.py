@@ -872,3 +872,21 @@ def test_many_places_around_many_points(spark):
     start = time.time()
     found = nearby.nearby(points, places, 5000.0, limit=5).collect()
     assert time.time() - start < 45 and len(found) == 7_500 and all(r.total == 60_000 for r in found)
+
+
+def test_vectors_against_all_pairs(spark):
+    draw = random.Random(10)
+    rows = [(i, [float(draw.randint(-3, 3)) + 0.5 for _ in range(4)]) for i in range(3000)]
+    rows += [(3000 + i, v) for i, v in rows[:500]]
+    vectors = spark.createDataFrame(rows, "doc int, vector array<float>")
+    queries = spark.createDataFrame([(f"q{i}", v) for i, v in rows[:2100]], "query string, q_vector array<float>")
+    start = time.time()
+    got = {}
+    for r in search.vector_candidates(queries, vectors, 6).collect():
+        got.setdefault(r["query"], []).append((r["rank"], -r.cosine, r.doc))
+    assert time.time() - start < 25 and len(got) == 2100 and all(len(g) == 6 for g in got.values())
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    for i in range(0, 2100, 300):
+        q = rows[i][1]
+        want = sorted((-round(sum(x * y for x, y in zip(q, v, strict=True)) / (norm(q) * norm(v)), 6), d) for d, v in rows)[:6]
+        assert [x[1:] for x in sorted(got[f"q{i}"])] == want
