@@ -890,3 +890,17 @@ def test_vectors_against_all_pairs(spark):
         q = rows[i][1]
         want = sorted((-round(sum(x * y for x, y in zip(q, v, strict=True)) / (norm(q) * norm(v)), 6), d) for d, v in rows)[:6]
         assert [x[1:] for x in sorted(got[f"q{i}"])] == want
+
+
+def test_scan_equals_scoring_all(spark, monkeypatch):
+    draw = random.Random(11)
+    docs = spark.createDataFrame([(i, " ".join(draw.choice("abcdefgh") * draw.randint(1, 2) for _ in range(draw.randint(0, 12))) or None) for i in range(1500)], "osm_id int, text string")
+    queries = spark.createDataFrame([(i, " ".join(draw.choice("abcdxyz") for _ in range(draw.randint(0, 9)))) for i in range(25)], "query int, q string")
+    asked = search.query_tokens(queries)
+    index = search.postings(docs, ["text"])
+    every = search.match(asked, index, search.corpus_statistics(index)).groupBy("query", "doc").agg(F.round(F.sum("score") + 1e-12, 6).alias("score"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("query", "rank", "doc", "score").collect())
+    want = rows(search.top(every, 7))
+    monkeypatch.setattr(search, "SCAN_QUERIES", 10)
+    monkeypatch.setattr(search, "SCAN_DOCS", 64)
+    assert rows(search.best_by_scan(asked, docs, "text", 7)) == want
